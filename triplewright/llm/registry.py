@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triplewright.llm import hilbert
+from triplewright.llm import hilbert, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_hilbert_shards": hilbert.op5_hilbert_shards,
+    "op8_simhash": simhash.op8_simhash,
 }
 
 ORACLES: dict[str, str] = {}
