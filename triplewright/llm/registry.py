@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triplewright.llm import hilbert, simhash
+from triplewright.llm import hdlang, hilbert, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_hilbert_shards": hilbert.op5_hilbert_shards,
     "op8_simhash": simhash.op8_simhash,
+    "op10_hd_language": hdlang.op10_hd_language,
 }
 
 ORACLES: dict[str, str] = {}
