@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triplewright.llm import hdlang, hilbert, simhash
+from triplewright.llm import bpe, feistel, hdlang, hilbert, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_feistel_order": feistel.op4_feistel_order,
     "op5_hilbert_shards": hilbert.op5_hilbert_shards,
+    "op6_bpe_replay": bpe.op6_bpe_replay,
+    "op7_power_of_two": packing.op7_power_of_two,
     "op8_simhash": simhash.op8_simhash,
     "op10_hd_language": hdlang.op10_hd_language,
 }
