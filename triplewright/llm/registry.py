@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triplewright.llm import bpe, feistel, hdlang, hilbert, packing, simhash
+from triplewright.llm import additive_ann, bpe, feistel, hdlang, hilbert, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_feistel_order": feistel.op4_feistel_order,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe_replay": bpe.op6_bpe_replay,
     "op7_power_of_two": packing.op7_power_of_two,
     "op8_simhash": simhash.op8_simhash,
+    "op9_additive_ann": additive_ann.op9_additive_ann,
     "op10_hd_language": hdlang.op10_hd_language,
 }
 
