@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triplewright.llm import additive_ann, bpe, ctph, feistel, hdlang, hilbert, packing, simhash
+from triplewright.llm import additive_ann, bpe, ctph, feistel, hdlang, hilbert, packing, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ctph": ctph.op2_ctph,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_feistel_order": feistel.op4_feistel_order,
     "op5_hilbert_shards": hilbert.op5_hilbert_shards,
     "op6_bpe_replay": bpe.op6_bpe_replay,
