@@ -177,6 +177,18 @@ def identify(docs: DataFrame, names: list[str], profiles: np.ndarray) -> DataFra
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, cosine double")
 
 
+def keep_known(docs: DataFrame, names: list[str], profiles: np.ndarray) -> DataFrame:
+    """Rows of ``docs``, all columns, whose text has a language: it has letters and resembles a prototype."""
+    predict, at = predictor(names, profiles), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lang, _, cosine = predict([x or "" for x in b.column(at).to_pylist()])
+            yield b.filter(pa.array([k != UNKNOWN and c > 0 for k, c in zip(lang, cosine.tolist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(fold("doc_id", 4) != 2)
 

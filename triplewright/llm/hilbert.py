@@ -89,7 +89,7 @@ def quantise(df: DataFrame, dims: dict[str, str], bits: int = BITS) -> DataFrame
         bounds = row[c] or []
         below = F.lit(0)
         if bounds:
-            below = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b, v=F.col(c): b < v)), F.lit(0))
+            below = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(c))), F.lit(0))
         df = df.withColumn(cell, below)
     return df
 

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triplewright.llm import additive_ann, bpe, ctph, feistel, hdlang, hilbert, packing, simhash, toxicity
+import corpus_pipeline
+from triplewright.llm import additive_ann, bpe, ctph, feistel, hdlang, hilbert, packing, pii, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_weak_pii": pii.op1_weak_pii,
     "op2_ctph": ctph.op2_ctph,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_feistel_order": feistel.op4_feistel_order,
@@ -18,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash.op8_simhash,
     "op9_additive_ann": additive_ann.op9_additive_ann,
     "op10_hd_language": hdlang.op10_hd_language,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}
