@@ -1,0 +1 @@
+"""Operators: each takes DataFrames and returns a DataFrame."""

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from triplewright.plans import evaluation, graph, ranking, text
+from triplewright.plans.base import Query
+
+_GROUPS = (graph.group, text.group, ranking.group, evaluation.group)
+
+QUERIES: dict[str, Query] = {name: f for g in _GROUPS for name, f in g.queries.items()}
+ORACLES: dict[str, str] = {name: sql for g in _GROUPS for name, sql in g.sql.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Answers of "which region is … in" for the nations, linked, looked up and named."""
+    return graph.answer_region_questions(spark, sf_dir)

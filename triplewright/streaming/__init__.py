@@ -1,0 +1 @@
+"""The reference work is batch only: nothing here streams, and no streaming operator is claimed."""
