@@ -274,7 +274,7 @@ def rank_pairwise_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @group.query("ngram_scores")
 def ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.array_distinct(features.ngrams(F.split(F.lower("text"), " "), 1))
+    words = F.array_distinct(F.split(F.lower("text"), " "))
     docs = kb.table(spark, sf_dir, "documents").select("doc_id", words.alias("grams"))
     rows = docs.join(kb.table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
     model = models.fit_ngram_scorer(rows.select("label", "grams"), size=4096)
