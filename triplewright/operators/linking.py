@@ -172,3 +172,24 @@ def enrich_with_text(mentions: DataFrame, texts: DataFrame) -> DataFrame:
         .withColumn("text_match", hit)
         .drop("text_score")
     )
+
+
+def oracle_mentions(spans_: DataFrame, known: DataFrame) -> DataFrame:
+    """(q_id, tok_start, tok_end, id, kind): spans whose text without spaces is a known mention (mention, ids)."""
+    keyed = spans_.withColumn("mention", F.replace("span", F.lit(" "), F.lit("")))
+    return keyed.join(known, "mention").select("q_id", "tok_start", "tok_end", F.explode("ids").alias("e")).select("q_id", "tok_start", "tok_end", "e.id", "e.kind")
+
+
+def type_mode(types: DataFrame, key: str) -> DataFrame:
+    """(key, dominant, second): the two commonest types of a key, equals in order of their names."""
+    counts = types.groupBy(key, "type").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "type"))
+    top = counts.withColumn("place", place).where(F.col("place") <= 2)
+    at = lambda k: F.max(F.when(F.col("place") == k, F.col("type")))
+    return top.groupBy(key).agg(at(1).alias("dominant"), at(2).alias("second"))
+
+
+def neighbours(tokens: DataFrame, key: str = "q_id") -> DataFrame:
+    """Each token (key, at, token) with the one and the two after it; null past the end."""
+    w = Window.partitionBy(key).orderBy("at")
+    return tokens.select(key, "at", "token", F.lead("token", 1).over(w).alias("next"), F.lead("token", 2).over(w).alias("after_next"))

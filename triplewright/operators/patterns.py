@@ -62,6 +62,17 @@ def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(b.select("mediator", F.col("value").alias("value_b"), F.col("relation").alias("relation_b")), "mediator")
 
 
+def with_posting(results: DataFrame, posting: DataFrame) -> DataFrame:
+    """Results whose mediator another value holds too, with its relation as ``relation_c``."""
+    return results.join(posting.select("mediator", F.col("value").alias("value_c"), F.col("relation").alias("relation_c")), "mediator")
+
+
+def text_answer_ratio(results: DataFrame, texts: DataFrame) -> DataFrame:
+    """(q_id, ratio): the share of a question's results (q_id, target) that a text query (q_id, id) found too."""
+    found = texts.select("q_id", F.col("id").alias("target")).distinct().withColumn("hit", F.lit(1.0))
+    return results.join(found, ["q_id", "target"], "left").groupBy("q_id").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("ratio"))
+
+
 def nway_intersection(postings: DataFrame, wanted: DataFrame) -> DataFrame:
     """(q_id, mediator) where a mediator holds all values that ``wanted`` (q_id, value) names for a question."""
     need = wanted.distinct().groupBy("q_id").agg(F.count("*").alias("need"))

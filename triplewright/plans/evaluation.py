@@ -137,3 +137,14 @@ def parse_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     ents = F.when(k == 2, F.array(F.lit("m.3"))).otherwise(F.array(F.lit("m.1"), F.lit("m.2")))
     rels = F.when(k == 0, F.array(F.lit("r.a"), F.lit("r.b"))).when(k == 1, F.array(F.lit("r.x"))).otherwise(F.array(F.lit("r.b")))
     return kb.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("q_id"), metrics.parse_match(parse, ents, rels).alias("share"))
+
+
+@group.query(
+    "fold_averages",
+    f"""with {_PRF.format(empty=0)}, per as (select q_id % 6 as fold, avg(precision) as precision, avg(recall) as recall, avg(f1) as f1 from prf group by 1)
+       select round(avg(precision), 9) as precision, round(avg(recall), 9) as recall, round(avg(f1), 9) as f1 from per""",
+)
+def fold_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["precision", "recall", "f1"]
+    per_fold = _scored(spark, sf_dir).groupBy((F.col("q_id") % 6).alias("fold")).agg(*[F.avg(c).alias(c) for c in names])
+    return _rounded(metrics.fold_averages(per_fold, names))

@@ -208,3 +208,37 @@ def mediated_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         "rel_a string, rel_b string, words string",
     )
     return matching.mediated_index(pairs, kb.reverses(spark))
+
+
+@group.query(
+    "posting_filter",
+    f"""with {_POSTINGS}, c as (select 'customer:' || o_custkey as value, 'orders:' || o_orderkey as mediator from orders where o_custkey % 5 = 0)
+       select p.value as value_a, p.relation as relation_a, c.value as value_c from p join c using (mediator)""",
+)
+def posting_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts, _ = _sides(spark, sf_dir)
+    held = kb.table(spark, sf_dir, "orders").where("o_custkey % 5 = 0")
+    posting = held.select(kb.node("customer", "o_custkey").alias("value"), F.lit("trade.order.customer").alias("relation"), kb.node("orders", "o_orderkey").alias("mediator"))
+    found = patterns.with_posting(parts.withColumnsRenamed({"value": "value_a", "relation": "relation_a"}), posting)
+    return found.select("value_a", "relation_a", "value_c")
+
+
+@group.query(
+    "text_answer_ratio",
+    """select l_orderkey as q_id, round(avg(case when l_partkey % 4 = 0 then 1.0::double else 0 end), 9) as ratio
+       from (select distinct l_orderkey, l_partkey from lineitem) group by 1""",
+)
+def text_answer_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = kb.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("q_id"), F.col("l_partkey").alias("target")).distinct()
+    return patterns.text_answer_ratio(results, results.where("target % 4 = 0").withColumnRenamed("target", "id")).withColumn("ratio", F.round("ratio", 9))
+
+
+@group.query(
+    "domain_relations",
+    """select * from (values ('geo.nation.customers', 1), ('geo.nation.suppliers', 1), ('geo.nation.region', 1), ('geo.region.nations', 1),
+         ('org.customer.nation', 1), ('org.supplier.nation', 1)) t(relation, wanted)""",
+)
+def domain_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of the geographic domain, or whose reverse is of it."""
+    back = F.broadcast(kb.reverses(spark))
+    return patterns.in_domains(kb.reverses(spark).select("relation"), ["geo"], back).select("relation", F.lit(1).alias("wanted"))

@@ -294,3 +294,18 @@ def selected_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = kb.table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     grams = kb.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("gram"))
     return models.select_ngrams(grams.join(labels, "doc_id").select("label", "gram"), 0.01)
+
+
+@group.query(
+    "candidate_quality",
+    """with m as (select o_custkey as q_id, o_custkey % 10 as c_id, (o_orderkey % 7)::int as s, (o_orderkey % 7 + 1 + o_orderkey % 4)::int as e, (o_orderkey % 11)::double as score from orders),
+       t as (select q_id, c_id, unnest(range(s, e)) as t from m), c as (select q_id, c_id, count(distinct t)::int as covered from t group by 1, 2)
+       select q_id, c_id, covered, sum(score) as score from m join c using (q_id, c_id) group by 1, 2, 3""",
+)
+def candidate_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    mentions = kb.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("q_id"), (F.col("o_custkey") % 10).alias("c_id"), (k % 7).cast("int").alias("tok_start"),
+        (k % 7 + 1 + k % 4).cast("int").alias("tok_end"), (k % 11).cast("double").alias("score"),
+    )
+    return features.quality(mentions)

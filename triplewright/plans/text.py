@@ -57,7 +57,7 @@ def perfect_match_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """select p_partkey, regexp_replace(lower(p_name), '^the', '') as no_the,
          regexp_extract('trade.part.' || p_name, '[^.]+$') as suffix, 'trade' as domain,
          'http://rdf.freebase.com/ns/' || p_partkey as full_id, p_partkey::varchar as short_id,
-         p_name as literal, 'm.' || p_partkey as url_id, levenshtein(lower(p_name), lower(p_brand)) as distance,
+         p_name as literal, 'm.' || p_partkey as url_id, levenshtein(lower(p_name), lower(p_brand))::int as distance,
          case p_partkey % 3 when 0 then p_name || '.n' when 1 then p_name || '.v' end as derivation, 4 as complexity
        from part""",
 )
@@ -423,3 +423,58 @@ def feature_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = kb.table(spark, sf_dir, "events")
     return events.select("event_id", F.get(F.map_values(F.from_json("props", "map<string,string>")), 0).alias("first_value"))
+
+
+@group.query(
+    "oracle_spans",
+    f"""with {_QUESTIONS}, t as (select q_id, string_split(text, ' ') as w from qs), s as (select q_id, w, unnest(range(0, len(w))) as i from t),
+       e as (select q_id, w, i, unnest(range(i + 1, least(len(w), i + 8) + 1)) as j from s),
+       k as (select distinct replace(n_name, ' ', '') as mention, 'nation:' || n_nationkey as id from nation)
+       select q_id, i::int as tok_start, j::int as tok_end, id, 'entity' as kind from e join k on mention = array_to_string(w[i + 1 : j], '')""",
+)
+def oracle_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = kb.questions(spark, sf_dir).select("q_id", F.split("text", " ").alias("tokens"))
+    nation = kb.table(spark, sf_dir, "nation")
+    ids = F.array(F.struct(kb.node("nation", "n_nationkey").alias("id"), F.lit("entity").alias("kind")))
+    known = nation.select(F.replace("n_name", F.lit(" "), F.lit("")).alias("mention"), ids.alias("ids"))
+    return linking.oracle_mentions(linking.spans(tokens), known)
+
+
+@group.query(
+    "type_modes",
+    """with n as (select p_brand, p_type as type, count(*) as n from part group by 1, 2),
+       r as (select *, row_number() over (partition by p_brand order by n desc, type) as place from n)
+       select p_brand, max(case when place = 1 then type end) as dominant, max(case when place = 2 then type end) as second from r group by 1""",
+)
+def type_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.type_mode(kb.table(spark, sf_dir, "part").select("p_brand", F.col("p_type").alias("type")), "p_brand")
+
+
+@group.query(
+    "token_neighbours",
+    """with t as (select item_id as q_id, unnest(string_split(text, ' ')) as token, unnest(range(0, len(string_split(text, ' '))))::int as position from benchmark)
+       select q_id, position, token, lead(token, 1) over w as next_token, lead(token, 2) over w as after_next from t window w as (partition by q_id order by position)""",
+)
+def token_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = kb.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.posexplode(F.split("text", " ")).alias("at", "token"))
+    return linking.neighbours(tokens).withColumnsRenamed({"at": "position", "next": "next_token"})
+
+
+@group.query(
+    "question_years",
+    """with t as (select event_id as q_id, strftime(ts, '%Y-%m-%d') as token from events) select q_id, 1 as position, token[1:4] as year from t""",
+)
+def question_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = kb.table(spark, sf_dir, "events").select(F.col("event_id").alias("q_id"), F.array(F.lit("in"), F.date_format("ts", "yyyy-MM-dd")).alias("tokens"))
+    return linking.years(tokens).withColumnRenamed("at", "position")
+
+
+@group.query(
+    "text_enriched_mentions",
+    f"""with {_MENTIONS} select q_id, m_id, case when m_id % 2 = 0 then score + 5 else score end as score, case when m_id % 2 = 0 then 0.2::double * 10 else 0.2::double end as surface_score,
+         m_id % 2 = 0 as text_match from m""",
+)
+def text_enriched_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _mentions(spark, sf_dir).withColumn("id", F.col("m_id")).withColumn("surface_score", F.lit(0.2))
+    texts = m.where("m_id % 2 = 0").select("q_id", "id", F.lit(5.0).alias("text_score"))
+    return linking.enrich_with_text(m, texts).select("q_id", "m_id", "score", "surface_score", "text_match")
