@@ -297,3 +297,11 @@ def test_toxicity_held_out(spark):
     pos, neg = [s for s, y in held if y], [s for s, y in held if not y]
     assert np.mean([(p > n) + (p == n) / 2 for p in pos for n in neg]) > 0.85
     assert all(r["predicted"] == (r["score"] >= 0.5) for r in rows)
+
+
+def test_language_of_a_long_text_in_pieces(monkeypatch):
+    text = "the cat, and  the dog é " * 40
+    whole, _ = hdlang.document_vectors([text, "x"], 64)
+    monkeypatch.setattr(hdlang, "_CHARS_AT_ONCE", 50)
+    cut, has = hdlang.document_vectors([text, "x"], 64)
+    assert np.allclose(whole, cut, atol=1e-5) and has.tolist() == [True, True]

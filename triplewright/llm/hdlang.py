@@ -31,8 +31,9 @@ DIMENSIONS = 1024
 SHARPNESS = 20.0
 UNKNOWN = "und"
 MAX_LANGUAGES = 4096  # bound on what is broadcast: so many vectors of DIMENSIONS floats
-_CHARS_AT_ONCE = 1 << 20
-_CELLS_AT_ONCE = 1 << 23
+_CHARS_AT_ONCE = 1 << 19
+_TEXTS_AT_ONCE = 256
+_CELLS_AT_ONCE = 1 << 21
 
 
 @lru_cache(maxsize=1)
@@ -47,7 +48,7 @@ def _letters() -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def _letter_vector(code: int, dims: int) -> np.ndarray:
     return (np.random.default_rng([code, dims]).integers(0, 2, dims, dtype=np.int8) * 2 - 1).astype(np.int8)
 
@@ -92,21 +93,37 @@ def _gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grams, counts.astype(np.float32), np.bincount(own, minlength=len(texts)) > 0
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """A long text cut at spaces; no trigram with a letter in the middle reaches across one."""
+    while len(text) > _CHARS_AT_ONCE:
+        at = text.rfind(" ", 0, _CHARS_AT_ONCE)
+        at = at if at > 0 else text.find(" ", _CHARS_AT_ONCE)
+        if at < 0:
+            break
+        yield text[:at]
+        text = text[at:].lstrip(" ")
+    yield text
+
+
 def document_vectors(texts: list[str], dims: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of the texts (zero without letters), and whether each has a letter."""
     out, has = np.zeros((len(texts), dims), np.float32), np.zeros(len(texts), bool)
+    parts = [(n, p) for n, t in enumerate(texts) for p in _pieces(t)]
+    step = max(1, _CELLS_AT_ONCE // dims)
     at = 0
-    while at < len(texts):
+    while at < len(parts):
         end, chars = at, 0
-        while end < len(texts) and (end == at or chars + len(texts[end]) <= _CHARS_AT_ONCE):
-            chars += len(texts[end])
+        while end < len(parts) and end - at < _TEXTS_AT_ONCE and (end == at or chars + len(parts[end][1]) <= _CHARS_AT_ONCE):
+            chars += len(parts[end][1])
             end += 1
         if chars:
-            grams, counts, letters = _gram_counts(texts[at:end])
-            step = max(1, _CELLS_AT_ONCE // dims)
+            owners = np.array([n for n, _ in parts[at:end]])
+            grams, counts, letters = _gram_counts([p for _, p in parts[at:end]])
+            sums = np.zeros((end - at, dims), np.float32)
             for k in range(0, len(grams), step):
-                out[at:end] += counts[:, k : k + step] @ _trigram_vectors(grams[k : k + step], dims).astype(np.float32)
-            has[at:end] = letters
+                sums += counts[:, k : k + step] @ _trigram_vectors(grams[k : k + step], dims).astype(np.float32)
+            np.add.at(out, owners, sums)
+            np.logical_or.at(has, owners, letters)
         at = end
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm == 0, 1, norm), has
@@ -128,13 +145,10 @@ def train_profiles(rows: DataFrame, dims: int = DIMENSIONS) -> tuple[list[str],
 
     known = rows.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("text is not null and lang is not null")
     parts = known.mapInArrow(partial, "lang string, v array<double>")
-    profiles = parts.groupBy("lang").agg(F.collect_list("v").alias("vs"))
-    summed = profiles.select(
-        "lang",
-        F.aggregate(
-            "vs", F.array_repeat(F.lit(0.0), dims), lambda a, v: F.zip_with(a, v, lambda x, y: x + y)
-        ).alias("v"),
-    )
+    # summed place by place, so that no task holds the partial vectors of a language together
+    cells = parts.select("lang", F.posexplode("v").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda c: c["x"])
+    summed = cells.groupBy("lang").agg(whole.alias("v"))
     got = summed.limit(MAX_LANGUAGES + 1).collect()
     if len(got) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
