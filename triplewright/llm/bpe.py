@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 from triplewright.llm.common import read
 
 RANKS = "byte_bpe_50k.tiktoken"
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
+MEMO_PAIRS = 500_000
 _END = -1
 
 
@@ -50,18 +52,21 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.single = [self.ranks[bytes([i])] for i in range(256)]
-        self._pairs: dict[tuple[int, int], int] = {}
+        self.pairs: dict[int, int] = {}
 
     def merged(self, a: int, b: int) -> int:
         """Id of the token that ``a`` and ``b`` merge into, or -1."""
-        key = (a, b)
-        got = self._pairs.get(key)
+        key = a << 32 | b
+        got = self.pairs.get(key)
         if got is None:
-            if len(self._pairs) > 2_000_000:
-                self._pairs.clear()
-            got = self._pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
+            got = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
         return got
 
+    def trim(self) -> None:
+        """Keep the memo of pairs bounded."""
+        if len(self.pairs) > MEMO_PAIRS:
+            self.pairs.clear()
+
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
@@ -70,7 +75,8 @@ def vocabulary(path: str) -> Vocabulary:
 
 def replay(words: list[bytes], vocab: Vocabulary) -> list[list[int]]:
     """Token ids of each word: all merges in rank order over all words at once."""
-    single, merged = vocab.single, vocab.merged
+    vocab.trim()
+    single, merged, known = vocab.single, vocab.merged, vocab.pairs.get
     token: list[int] = []
     heads: list[int] = []
     for w in words:
@@ -78,18 +84,22 @@ def replay(words: list[bytes], vocab: Vocabulary) -> list[list[int]]:
         token += [single[c] for c in w]
         token.append(_END)
     size = len(token)
-    after = list(range(1, size + 1))
-    before = list(range(-1, size - 1))
+    token.append(_END)
+    after = list(range(1, size + 2))
+    before = list(range(-1, size))
     where: dict[int, list[int]] = {}
-    known: dict[tuple[int, int], int] = {}
-    for i in range(size - 1):
-        a, b = token[i], token[i + 1]
+    a = _END
+    for i, b in enumerate(token):
         if a >= 0 and b >= 0:
-            m = known.get((a, b))
+            m = known(a << 32 | b)
             if m is None:
-                m = known[a, b] = merged(a, b)
+                m = merged(a, b)
             if m >= 0:
-                where.setdefault(m, []).append(i)
+                if m in where:
+                    where[m].append(i - 1)
+                else:
+                    where[m] = [i - 1]
+        a = b
     order = list(where)
     heapify(order)
     early: set[int] = set()
@@ -99,45 +109,44 @@ def replay(words: list[bytes], vocab: Vocabulary) -> list[list[int]]:
         if places is None:
             continue
         places.sort()
+        high = rank << 32
         for i in places:
-            a = token[i]
-            if a < 0:
-                continue
-            j = after[i]
+            a, j = token[i], after[i]
             b = token[j]
             # the place may have changed since it was entered
-            if b < 0 or merged(a, b) != rank:
+            if a < 0 or b < 0 or known(a << 32 | b) != rank:
                 continue
             token[i] = rank
             token[j] = _END - 1
-            k = after[j]
-            after[i] = k
-            if k < size:
-                before[k] = i
-                c = token[k]
-                if c >= 0:
+            k = after[i] = after[j]
+            before[k] = i
+            c = token[k]
+            if c >= 0:
+                m = known(high | c)
+                if m is None:
                     m = merged(rank, c)
-                    if m >= 0:
-                        if m < rank:
-                            early.add(i)
-                        if m in where:
-                            where[m].append(i)
-                        else:
-                            where[m] = [i]
-                            heappush(order, m)
+                if m >= 0:
+                    if m < rank:
+                        early.add(i)
+                    if m in where:
+                        where[m].append(i)
+                    else:
+                        where[m] = [i]
+                        heappush(order, m)
             h = before[i]
-            if h >= 0:
-                c = token[h]
-                if c >= 0:
+            c = token[h] if h >= 0 else _END
+            if c >= 0:
+                m = known(c << 32 | rank)
+                if m is None:
                     m = merged(c, rank)
-                    if m >= 0:
-                        if m < rank:
-                            early.add(i)
-                        if m in where:
-                            where[m].append(h)
-                        else:
-                            where[m] = [h]
-                            heappush(order, m)
+                if m >= 0:
+                    if m < rank:
+                        early.add(i)
+                    if m in where:
+                        where[m].append(h)
+                    else:
+                        where[m] = [h]
+                        heappush(order, m)
     out = []
     for n, start in enumerate(heads):
         ids, i = [], start
@@ -177,40 +186,86 @@ def _one_by_one(word: bytes, vocab: Vocabulary) -> list[int]:
     return [t for t in token if t >= 0]
 
 
+#: Signs that may close a chunk; a run of them after letters is always a match of its own.
+CLOSING = ".,;:!?$%&*#|\"()"
+
+
 class ChunkEncoder:
     """Encodes texts through a bounded memo of chunks.
 
     A chunk reaches from a space before a visible character to the next such
     space. The pattern always starts a match at such a space and never looks
     across it, so chunks are split into matches independently of each other.
+    Letters and the signs that close them are matches of their own too, so a
+    word is encoded once, whatever follows it. When the memo is full it becomes
+    the old generation, from which entries are taken back when they are met.
+
+    A key of the memo is a chunk without its space, or, where a chunk does not
+    start at a space, the chunk after a mark.
     """
 
-    def __init__(self, encode_new: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES) -> None:
-        self.encode_new, self.entries, self.memo = encode_new, entries, {}
+    def __init__(self, encode_new: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES, by_core: bool = True) -> None:
+        """``by_core``: encode letters and closing signs apart; worth it where encoding costs more than cutting."""
+        self.encode_new, self.entries, self.by_core = encode_new, entries, by_core
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [_chunks(t) for t in texts]
+        split = [chunk_keys(t) for t in texts]
         if len(self.memo) > self.entries:
-            self.memo.clear()
-        memo = self.memo
-        new = list({c for chunks in split for c in chunks if c not in memo})
-        if new:
-            memo.update(zip(new, self.encode_new(new), strict=True))
-        get = memo.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
-
-
-def _chunks(text: str) -> list[str]:
-    """Cut at spaces that stand before a visible character; the joined pieces are the text."""
-    parts = text.split(" ")
-    out = [parts[0]]
-    for p in parts[1:]:
-        if p and not p[0].isspace():
-            out.append(" " + p)
+            self.old, self.memo = self.memo, {}
+        get = self.memo.get
+        found = [list(map(get, keys)) for keys in split]
+        gaps = [n for n, ids in enumerate(found) if None in ids]
+        if gaps:
+            self._learn({k for n in gaps for k, ids in zip(split[n], found[n], strict=True) if ids is None})
+            for n in gaps:
+                found[n] = [get(k) if ids is None else ids for k, ids in zip(split[n], found[n], strict=True)]
+        return [b"".join(ids) for ids in found]
+
+    def _learn(self, fresh: set[str]) -> None:
+        memo, old = self.memo, self.old
+        closed, need = [], set()
+        for key in fresh:
+            if key in old:
+                memo[key] = old[key]
+                continue
+            core = key.rstrip(CLOSING) if self.by_core else ""
+            if core and len(core) < len(key) and core.isalpha():
+                tail = MARK + key[len(core) :]
+                closed.append((key, core, tail))
+                for part in (core, tail):
+                    if part in old:
+                        memo[part] = old[part]
+                    elif part not in memo:
+                        need.add(part)
+            else:
+                need.add(key)
+        new = list(need)
+        memo.update(zip(new, self.encode_new([k[1:] if k[:1] == MARK else " " + k for k in new]), strict=True))
+        for key, core, tail in closed:
+            memo[key] = memo[core] + memo[tail]
+
+
+#: Before the key of a chunk that does not start at a space; a chunk never starts with it otherwise, see ``chunk_keys``.
+MARK = "\0"
+_LOOSE = re.compile(r" \s")
+
+
+def chunk_keys(text: str) -> list[str]:
+    """Cut at spaces that stand before a visible character; the chunks together are the text."""
+    keys = text.split(" ")
+    if keys[-1] and MARK not in text and not _LOOSE.search(text):
+        keys[0] = MARK + keys[0]
+        return keys
+    out = [MARK + keys[0]]
+    for k in keys[1:]:
+        if k and not k[0].isspace() and k[0] != MARK:
+            out.append(k)
         else:
             # inside a run of white space, or at the end: it stays with what comes before
-            out[-1] += " " + p
+            out[-1] = out[-1] + " " + k
     return out
 
 
@@ -223,15 +278,11 @@ def replay_encoder(path: str, entries: int = CACHE_ENTRIES) -> ChunkEncoder:
     """An encoder of this process that merges new words by replay."""
     vocab = vocabulary(path)
     pattern = regex.compile(public_tokenizers.PATTERN)
-    words: dict[str, bytes] = {}
 
     def encode_new(chunks: list[str]) -> list[bytes]:
-        if len(words) > entries:
-            words.clear()
         split = split_words(pattern, chunks)
-        new = list({w for ws in split for w in ws if w not in words})
-        for w, ids in zip(new, replay([w.encode("utf-8", "replace") for w in new], vocab), strict=True):
-            words[w] = np.array(ids, "<u4").tobytes()
+        new = list({w for ws in split for w in ws})
+        words = {w: np.array(ids, "<u4").tobytes() for w, ids in zip(new, replay([w.encode("utf-8", "replace") for w in new], vocab), strict=True)}
         return [b"".join(map(words.__getitem__, ws)) for ws in split]
 
     return ChunkEncoder(encode_new, entries)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from triplewright.llm.common import materialise, partitions, read, shared_dir
-from triplewright.llm.tokens import default_path, doc_texts, encoded_batches
+from triplewright.llm.tokens import doc_texts, encoded_batches, ranks_path
 
 LENGTH = 512
 SHARD_SLOTS = 2048
@@ -70,7 +70,7 @@ def record(length: int = LENGTH) -> np.dtype:
 
 def sequences(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """One row per sequence: ids as little-endian unsigned 16-bit, and its place in its task."""
-    path = path or default_path()
+    path = path or ranks_path()
     end = np.array([end_id], "<u2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,36 +119,36 @@ def write_shards(placed: DataFrame, path: str, length: int = LENGTH, slots: int
     """Write (shard, first_slot, records, stride, payload, crc32), one row per shard, to ``path``."""
     kind = record(length)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, buffer, count = None, np.zeros(slots, kind), 0
-
-        def flush() -> pa.RecordBatch:
-            payload = buffer[:count].tobytes()
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([shard], pa.int64()),
-                    pa.array([shard * slots], pa.int64()),
-                    pa.array([count], pa.int64()),
-                    pa.array([kind.itemsize], pa.int64()),
-                    pa.array([payload], pa.binary()),
-                    pa.array([zlib.crc32(payload)], pa.int64()),
-                ],
-                names=["shard", "first_slot", "records", "stride", "payload", "crc32"],
-            )
+    def pack(shard: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(parts)
+        payload = rows.tobytes()
+        values = [shard, shard * slots, len(rows), kind.itemsize]
+        columns = [pa.array([v], pa.int64()) for v in values] + [pa.array([payload], pa.binary()), pa.array([zlib.crc32(payload)], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["shard", "first_slot", "records", "stride", "payload", "crc32"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts = None, []
         for b in batches:
-            for doc_id, seq, ids, slot in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if slot // slots != shard:
+            if not b.num_rows:
+                continue
+            rows = np.zeros(b.num_rows, kind)
+            doc_id, ids = b.column(0), b.column(2)
+            rows["doc_id"] = doc_id.fill_null(0).to_numpy(zero_copy_only=False)
+            rows["has_id"] = doc_id.is_valid().to_numpy(zero_copy_only=False)
+            rows["seq"] = b.column(1).to_numpy(zero_copy_only=False)
+            data = ids.to_pylist()
+            rows["n"] = [len(x) // 2 for x in data]
+            rows["ids"][np.arange(length) < rows["n"][:, None]] = np.frombuffer(b"".join(data), "<u2")
+            of = b.column(3).to_numpy(zero_copy_only=False) // slots
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if of[start] != shard:
                     if shard is not None:
-                        yield flush()
-                    shard, count = slot // slots, 0
-                    buffer[:] = 0
-                at = buffer[count]
-                at["doc_id"], at["seq"], at["n"], at["has_id"] = doc_id or 0, seq, len(ids) // 2, doc_id is not None
-                at["ids"][: len(ids) // 2] = np.frombuffer(ids, "<u2")
-                count += 1
+                        yield pack(shard, parts)
+                    shard, parts = int(of[start]), []
+                parts.append(rows[start:end])
         if shard is not None:
-            yield flush()
+            yield pack(shard, parts)
 
     n = partitions(placed.sparkSession)
     ordered = placed.withColumn("shard", F.expr(f"slot div {slots}")).repartitionByRange(n, "shard").sortWithinPartitions("slot")
@@ -173,6 +173,8 @@ def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None
                 offset = np.arange(len(rows))
                 keep = (first + offset >= start) & (first + offset < end)
                 rows, offset = rows[keep], offset[keep]
+                flat = rows["ids"][np.arange(length) < rows["n"][:, None]]
+                ends = 2 * np.concatenate([[0], np.cumsum(rows["n"], dtype=np.int64)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(first + offset, pa.int64()),
@@ -180,7 +182,7 @@ def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None
                         pa.array(offset, pa.int64()),
                         pa.array(rows["doc_id"].astype(np.int64), pa.int64(), mask=rows["has_id"] == 0),
                         pa.array(rows["seq"].astype(np.int64)),
-                        pa.array([r["ids"][: r["n"]].tobytes() for r in rows], pa.binary()),
+                        pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.astype("<i4")), pa.py_buffer(flat)]),
                     ],
                     names=["slot", "shard", "offset", "doc_id", "seq", "ids"],
                 )

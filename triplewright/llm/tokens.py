@@ -1,9 +1,9 @@
-"""Token ids of documents by the ``tokenizers`` library, each distinct chunk of text once per worker."""
+"""Token ids of documents by a tokenizer library, each distinct chunk of text once per worker."""
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -12,43 +12,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triplewright.llm.bpe import ChunkEncoder
+from triplewright.llm.bpe import RANKS, ChunkEncoder, vocabulary
 
 TOKENIZER = "byte_bpe_50k.json"
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 _TEXTS_AT_ONCE = 256
 
 
-def _byte_lengths(tokenizer) -> np.ndarray:
-    """UTF-8 bytes that each id stands for: byte-level vocabularies write one character a byte."""
-    vocab = tokenizer.get_vocab(with_added_tokens=True)
-    out = np.zeros(max(vocab.values()) + 1, np.int64)
-    for token, i in vocab.items():
-        out[i] = len(token)
-    return out
-
-
-@lru_cache(maxsize=2)
-def library_encoder(path: str, entries: int = CACHE_ENTRIES) -> ChunkEncoder:
-    """An encoder of this process over a byte-level tokenizer file of the ``tokenizers`` library.
+def joined_encoder(
+    encode: Callable[[list[str]], list[list[int]]], lengths: np.ndarray, by_core: bool, entries: int = CACHE_ENTRIES
+) -> ChunkEncoder:
+    """A chunk encoder over a library's ``encode``; ``lengths`` are the UTF-8 bytes that each id stands for.
 
     New chunks that start at a space are joined and encoded as one text, then cut
-    apart again by the byte lengths of the ids; the tokenizer never merges across
-    the start of a chunk. Special tokens in a text are ordinary text.
+    apart again by the byte lengths of the ids; a tokenizer never merges across
+    the start of a chunk.
     """
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    lengths = _byte_lengths(tokenizer)
-
-    def encode(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_new(chunks: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(chunks)
-        joined = [i for i, c in enumerate(chunks) if c[:1] == " " and not c[1:2].isspace() and len(c) > 1]
+        joined = [i for i, c in enumerate(chunks) if len(c) > 1 and c[0] == " " and not c[1].isspace()]
         taken = set(joined)
         for at in range(0, len(joined), 2000):
             part = joined[at : at + 2000]
@@ -68,7 +51,31 @@ def library_encoder(path: str, entries: int = CACHE_ENTRIES) -> ChunkEncoder:
             out[i] = np.array(ids, "<u4").tobytes()
         return out
 
-    return ChunkEncoder(encode_new, entries)
+    return ChunkEncoder(encode_new, entries, by_core)
+
+
+@lru_cache(maxsize=2)
+def library_encoder(path: str) -> ChunkEncoder:
+    """An encoder of this process over a byte-level file of ``tokenizers`` (.json) or of ranks for ``tiktoken``.
+
+    Special tokens in a text are ordinary text.
+    """
+    if not path.endswith(".json"):
+        import tiktoken
+
+        vocab = vocabulary(path)
+        ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab.ranks, special_tokens={})
+        return joined_encoder(lambda texts: [ranked.encode_ordinary(t) for t in texts], np.array([len(t) for t in vocab.tokens]), by_core=False)
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    names = tokenizer.get_vocab(with_added_tokens=True)
+    lengths = np.zeros(max(names.values()) + 1, np.int64)
+    for token, i in names.items():
+        lengths[i] = len(token)  # byte-level vocabularies write one character a byte
+    return joined_encoder(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], lengths, by_core=True)
 
 
 def encoded_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, list[bytes]]]:
@@ -84,5 +91,9 @@ def default_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def ranks_path() -> str:
+    return public_tokenizers.path(RANKS)
+
+
 def doc_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
