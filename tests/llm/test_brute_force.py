@@ -146,6 +146,20 @@ def test_bpe_same_as_the_library():
                 assert bpe.decode(ids, vocab) == t.encode()
 
 
+def test_replay_is_one_merge_after_another():
+    import public_tokenizers
+
+    vocab = bpe.vocabulary(public_tokenizers.path(bpe.RANKS))
+    rnd = random.Random(5)
+    words = [bytes(rnd.choice(b"ababcaeth n") for _ in range(rnd.randrange(30))) for _ in range(4000)]
+    words += [bytes(rnd.randrange(256) for _ in range(rnd.randrange(1, 12))) for _ in range(4000)]
+    words += [b"a" * k for k in range(60)] + [b"ab" * k + b"a" for k in range(40)] + [b" " * k for k in range(80)]
+    words += [b"".join(rnd.choice(vocab.tokens) for _ in range(3)) for _ in range(8000)]
+    for word, ids in zip(words, bpe.replay(words, vocab), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == bpe._one_by_one(word, vocab)
+    assert bpe.replay([], vocab) == [] and bpe.replay([b""], vocab) == [b""]
+
+
 def test_bpe_memo_generations():
     seen = []
     e = bpe.ChunkEncoder(lambda chunks: (seen.append(chunks), [c.encode() for c in chunks])[1], entries=3)

@@ -3,9 +3,10 @@
 The distinct words of a slice of the corpus are laid out as one linked list of
 token ids. An inverted index maps each token pair that has a rank to the
 positions where it stands. Pairs are taken in rank order; a merge is applied at
-all its positions at once, and only the two neighbours of each are looked up
-again and entered in the index. A merge thus costs as much as it changes, and a
-word is merged once however often it occurs.
+all its positions, with array operations while ranks are low and positions
+many, and only the two neighbours of each are looked up again and entered in
+the index. A merge thus costs as much as it changes, and a word is merged once
+however often it occurs.
 
 The slice is what one task holds: the words its worker process has not met
 before. Replaying over the words of all tasks together would give the same ids
@@ -38,12 +39,13 @@ from triplewright.llm.common import read
 
 RANKS = "byte_bpe_50k.tiktoken"
 CACHE_ENTRIES = 200_000
-MEMO_PAIRS = 500_000
-_END = -1
+WORDS_AT_ONCE = 1 << 16
+COMMON = 2_000  # merges of lower rank have many places in a slice and are applied with array operations
+_END, _GONE = -1, -2
 
 
 class Vocabulary:
-    """Ranks of a public byte-level BPE vocabulary and a memo of which pairs merge."""
+    """Ranks of a public byte-level BPE vocabulary and the pairs of its tokens that merge."""
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
@@ -51,21 +53,25 @@ class Vocabulary:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.single = [self.ranks[bytes([i])] for i in range(256)]
+        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        rank_of = self.ranks.get
         self.pairs: dict[int, int] = {}
-
-    def merged(self, a: int, b: int) -> int:
-        """Id of the token that ``a`` and ``b`` merge into, or -1."""
-        key = a << 32 | b
-        got = self.pairs.get(key)
-        if got is None:
-            got = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-        return got
-
-    def trim(self) -> None:
-        """Keep the memo of pairs bounded."""
-        if len(self.pairs) > MEMO_PAIRS:
-            self.pairs.clear()
+        for token, rank in self.ranks.items():
+            for cut in range(1, len(token)):
+                left = rank_of(token[:cut])
+                right = rank_of(token[cut:]) if left is not None else None
+                if right is not None:
+                    self.pairs[left << 32 | right] = rank
+        self._keys = np.array(sorted(self.pairs), np.int64)
+        self._ranks = np.array([self.pairs[k] for k in self._keys.tolist()] + [-1], np.int64)
+
+    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ids of the tokens that pairs merge into; -1 for those that do not, ends of words among them."""
+        keys = left << 32 | right
+        at = np.searchsorted(self._keys, keys)
+        found = self._ranks[at]
+        found[(self._keys[np.minimum(at, len(self._keys) - 1)] != keys) | (left < 0) | (right < 0)] = -1
+        return found
 
 
 @lru_cache(maxsize=4)
@@ -73,36 +79,89 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def replay(words: list[bytes], vocab: Vocabulary) -> list[list[int]]:
-    """Token ids of each word: all merges in rank order over all words at once."""
-    vocab.trim()
-    single, merged, known = vocab.single, vocab.merged, vocab.pairs.get
-    token: list[int] = []
-    heads: list[int] = []
-    for w in words:
-        heads.append(len(token))
-        token += [single[c] for c in w]
-        token.append(_END)
+def _by_rank(rank_at: np.ndarray, below: float = np.inf) -> dict[int, np.ndarray]:
+    """The inverted index: for each rank, in order, the places where a pair of that rank stands."""
+    places = np.flatnonzero((rank_at >= 0) & (rank_at < below))
+    ranks = rank_at[places]
+    order = np.argsort(ranks, kind="stable")
+    found, starts = np.unique(ranks[order], return_index=True)
+    return dict(zip(found.tolist(), np.split(places[order], starts[1:]), strict=True)) if len(found) else {}
+
+
+def _merge_common(token: np.ndarray, rank_at: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Apply all merges of rank below ``COMMON`` in order, each at all its places at once.
+
+    Returns the tokens and pair ranks that are left, and places (of the input)
+    in words where a merge made a pair of lower rank than its own.
+    """
+    size = len(token)
+    after, before = np.arange(1, size + 1), np.arange(-1, size - 1)
+    where = {rank: [places] for rank, places in _by_rank(rank_at, COMMON).items()}
+    order, early = list(where), []
+    heapify(order)
+    taken = np.zeros(size, bool)
+
+    def enter(places: np.ndarray, ranks: np.ndarray, rank: int) -> None:
+        low = (ranks >= 0) & (ranks < COMMON)
+        places, ranks = places[low], ranks[low]
+        early.extend(places[ranks < rank].tolist())
+        by = np.argsort(ranks, kind="stable")
+        found, starts = np.unique(ranks[by], return_index=True)
+        for m, group in zip(found.tolist(), np.split(places[by], starts[1:]), strict=True) if len(found) else ():
+            if m in where:
+                where[m].append(group)
+            else:
+                where[m] = [group]
+                heappush(order, m)
+
+    while order:
+        rank = heappop(order)
+        groups = where.pop(rank, None)
+        if groups is None:
+            continue
+        at = groups[0] if len(groups) == 1 else np.unique(np.concatenate(groups))
+        at = at[rank_at[at] == rank]  # a place may have changed since it was entered
+        taken[at] = True
+        if taken[after[at]].any():
+            # places that overlap: the leftmost of a run goes first, then every other one
+            free, last = [], -1
+            for i in at.tolist():
+                if i != last:
+                    free.append(i)
+                    last = after[i]
+            taken[at] = False
+            at = np.array(free, np.int64)
+            taken[at] = True
+        gone = after[at]
+        right = after[gone]
+        seen = token[right]
+        token[at], token[gone], rank_at[gone] = rank, _GONE, -1
+        after[at], before[right] = right, at
+        beside = taken[right]
+        taken[at] = False
+        if beside.any():
+            # what the next place was before it merged, too
+            between = vocab.merged(token[at[beside]], seen[beside])
+            early.extend(at[beside][(between >= 0) & (between < rank)].tolist())
+        ranks = vocab.merged(token[at], token[right])
+        rank_at[at] = ranks
+        enter(at, ranks, rank)
+        left = before[at]
+        ranks = vocab.merged(token[left], token[at])
+        rank_at[left] = ranks
+        enter(left, ranks, rank)
+    alive = token != _GONE
+    return token[alive], rank_at[alive], early
+
+
+def _merge_rare(token: list[int], rank_at: list[int], vocab: Vocabulary) -> list[int]:
+    """Apply the other merges in order, place by place; changes ``token`` and returns places as ``_merge_common`` does."""
+    known, early = vocab.pairs.get, []
     size = len(token)
-    token.append(_END)
-    after = list(range(1, size + 2))
-    before = list(range(-1, size))
-    where: dict[int, list[int]] = {}
-    a = _END
-    for i, b in enumerate(token):
-        if a >= 0 and b >= 0:
-            m = known(a << 32 | b)
-            if m is None:
-                m = merged(a, b)
-            if m >= 0:
-                if m in where:
-                    where[m].append(i - 1)
-                else:
-                    where[m] = [i - 1]
-        a = b
+    after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+    where = {rank: places.tolist() for rank, places in _by_rank(np.array(rank_at, np.int64)).items()}
     order = list(where)
     heapify(order)
-    early: set[int] = set()
     while order:
         rank = heappop(order)
         places = where.pop(rank, None)
@@ -111,77 +170,78 @@ def replay(words: list[bytes], vocab: Vocabulary) -> list[list[int]]:
         places.sort()
         high = rank << 32
         for i in places:
-            a, j = token[i], after[i]
-            b = token[j]
-            # the place may have changed since it was entered
-            if a < 0 or b < 0 or known(a << 32 | b) != rank:
+            if rank_at[i] != rank:
                 continue
+            j = after[i]
             token[i] = rank
-            token[j] = _END - 1
+            token[j] = _GONE
+            rank_at[j] = -1
             k = after[i] = after[j]
             before[k] = i
-            c = token[k]
-            if c >= 0:
-                m = known(high | c)
-                if m is None:
-                    m = merged(rank, c)
-                if m >= 0:
-                    if m < rank:
-                        early.add(i)
-                    if m in where:
-                        where[m].append(i)
-                    else:
-                        where[m] = [i]
-                        heappush(order, m)
             h = before[i]
-            c = token[h] if h >= 0 else _END
-            if c >= 0:
-                m = known(c << 32 | rank)
-                if m is None:
-                    m = merged(c, rank)
+            for at, key, other in ((i, high | token[k], token[k]), (h, token[h] << 32 | rank, token[h])):
+                m = known(key, -1) if other >= 0 else -1
+                rank_at[at] = m
                 if m >= 0:
                     if m < rank:
-                        early.add(i)
+                        early.append(i)
                     if m in where:
-                        where[m].append(h)
+                        where[m].append(at)
                     else:
-                        where[m] = [h]
+                        where[m] = [at]
                         heappush(order, m)
-    out = []
-    for n, start in enumerate(heads):
-        ids, i = [], start
-        while token[i] >= 0:
-            ids.append(token[i])
-            i = after[i]
-        out.append(ids)
-    if early:
+    return early
+
+
+def replay(words: list[bytes], vocab: Vocabulary) -> list[bytes]:
+    """Token ids of each word, as little-endian unsigned 32-bit integers: all merges in rank order over all words at once."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1)
+    token = np.full(1 + int(ends[-1]) if len(words) else 1, _END)
+    letters = np.ones(len(token), bool)
+    letters[0] = False
+    letters[ends] = False
+    token[letters] = vocab.single[np.frombuffer(b"".join(words), np.uint8)]
+    rank_at = np.full(len(token), -1)
+    rank_at[:-1] = vocab.merged(token[:-1], token[1:])
+    token, rank_at, early = _merge_common(token, rank_at, vocab)
+    odd = set(np.searchsorted(ends, early).tolist())
+    left = token.tolist()
+    found = _merge_rare(left, rank_at.tolist(), vocab)
+    odd.update(np.searchsorted(np.flatnonzero(token == _END)[1:], found).tolist())
+    token = np.array(left, np.int64)
+    token = token[token != _GONE]
+    closed = np.flatnonzero(token == _END)
+    stops = (4 * (closed - np.arange(len(closed)))).tolist()
+    data = token[token >= 0].astype("<u4").tobytes()
+    out = [data[a:b] for a, b in zip(stops, stops[1:], strict=False)]
+    for n in odd:
         # a merge made a pair of lower rank: such a word is replayed alone, one place at a time
-        starts = np.array(heads)
-        for n in set((np.searchsorted(starts, np.array(sorted(early)), side="right") - 1).tolist()):
-            out[n] = _one_by_one(words[n], vocab)
+        out[n] = np.array(_one_by_one(words[n], vocab), "<u4").tobytes()
     return out
 
 
 def _one_by_one(word: bytes, vocab: Vocabulary) -> list[int]:
     """The leftmost pair of least rank merges first, again and again."""
-    token = [vocab.single[c] for c in word]
+    known = vocab.pairs.get
+    token = [int(vocab.single[c]) for c in word]
     size = len(token)
     after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-    heap = [(m, i) for i in range(size - 1) if (m := vocab.merged(token[i], token[i + 1])) >= 0]
+    heap = [(m, i) for i in range(size - 1) if (m := known(token[i] << 32 | token[i + 1], -1)) >= 0]
     heapify(heap)
     while heap:
         rank, i = heappop(heap)
         j = after[i]
-        if token[i] < 0 or j >= size or vocab.merged(token[i], token[j]) != rank:
+        if token[i] < 0 or j >= size or known(token[i] << 32 | token[j], -1) != rank:
             continue
         token[i], token[j] = rank, -1
         k = after[i] = after[j]
         if k < size:
             before[k] = i
-            if (m := vocab.merged(rank, token[k])) >= 0:
+            if (m := known(rank << 32 | token[k], -1)) >= 0:
                 heappush(heap, (m, i))
         h = before[i]
-        if h >= 0 and (m := vocab.merged(token[h], rank)) >= 0:
+        if h >= 0 and (m := known(token[h] << 32 | rank, -1)) >= 0:
             heappush(heap, (m, h))
     return [t for t in token if t >= 0]
 
@@ -282,7 +342,10 @@ def replay_encoder(path: str, entries: int = CACHE_ENTRIES) -> ChunkEncoder:
     def encode_new(chunks: list[str]) -> list[bytes]:
         split = split_words(pattern, chunks)
         new = list({w for ws in split for w in ws})
-        words = {w: np.array(ids, "<u4").tobytes() for w, ids in zip(new, replay([w.encode("utf-8", "replace") for w in new], vocab), strict=True)}
+        words: dict[str, bytes] = {}
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            part = new[at : at + WORDS_AT_ONCE]
+            words.update(zip(part, replay([w.encode("utf-8", "replace") for w in part], vocab), strict=True))
         return [b"".join(map(words.__getitem__, ws)) for ws in split]
 
     return ChunkEncoder(encode_new, entries)
