@@ -275,21 +275,20 @@ class ChunkEncoder:
         split = [chunk_keys(t) for t in texts]
         if len(self.memo) > self.entries:
             self.old, self.memo = self.memo, {}
-        get = self.memo.get
-        found = [list(map(get, keys)) for keys in split]
-        gaps = [n for n, ids in enumerate(found) if None in ids]
-        if gaps:
-            self._learn({k for n in gaps for k, ids in zip(split[n], found[n], strict=True) if ids is None})
-            for n in gaps:
-                found[n] = [get(k) if ids is None else ids for k, ids in zip(split[n], found[n], strict=True)]
-        return [b"".join(ids) for ids in found]
-
-    def _learn(self, fresh: set[str]) -> None:
+        memo = self.memo
+        fresh = [k for k in set().union(*split) if k not in memo]
+        if fresh:
+            self._learn(fresh)
+        known = memo.__getitem__
+        return [b"".join(map(known, keys)) for keys in split]
+
+    def _learn(self, fresh: list[str]) -> None:
         memo, old = self.memo, self.old
         closed, need = [], set()
         for key in fresh:
-            if key in old:
-                memo[key] = old[key]
+            ids = old.get(key)
+            if ids is not None:
+                memo[key] = ids
                 continue
             core = key.rstrip(CLOSING) if self.by_core else ""
             if core and len(core) < len(key) and core.isalpha():
