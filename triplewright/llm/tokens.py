@@ -1,4 +1,4 @@
-"""Token ids of documents by a tokenizer library, each distinct chunk of text once per worker."""
+"""Token ids of documents by a tokenizer library: whole texts by ranks, or each distinct chunk of text once per worker."""
 
 from __future__ import annotations
 
@@ -54,18 +54,27 @@ def joined_encoder(
     return ChunkEncoder(encode_new, entries, by_core)
 
 
+class RankedEncoder:
+    """Encodes whole texts by ranks with ``tiktoken``, which is quicker than looking up the chunks of a memo."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        import tiktoken
+
+        self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        return [np.array(self.ranked.encode_ordinary(t), "<u4").tobytes() for t in texts]
+
+
 @lru_cache(maxsize=2)
-def library_encoder(path: str) -> ChunkEncoder:
+def library_encoder(path: str) -> RankedEncoder | ChunkEncoder:
     """An encoder of this process over a byte-level file of ``tokenizers`` (.json) or of ranks for ``tiktoken``.
 
     Special tokens in a text are ordinary text.
     """
     if not path.endswith(".json"):
-        import tiktoken
-
-        vocab = vocabulary(path)
-        ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab.ranks, special_tokens={})
-        return joined_encoder(lambda texts: [ranked.encode_ordinary(t) for t in texts], np.array([len(t) for t in vocab.tokens]), by_core=False)
+        return RankedEncoder(vocabulary(path).ranks)
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
