@@ -146,6 +146,21 @@ def test_bpe_same_as_the_library():
                 assert bpe.decode(ids, vocab) == t.encode()
 
 
+def test_settled_texts_have_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokens.default_path()
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    ranks = tokens.byte_ranks(path)
+    assert ranks == bpe.vocabulary(tokens.ranks_path()).ranks
+    rnd = random.Random(8)
+    signs = [chr(c) for c in range(0x250)] + list("  's aeiouth\n\t.,019") * 20
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(60))) for _ in range(4000)] + ["<|endoftext|> x", "it\u2019s \u4f60\u597d", ""]
+    for text, ids in zip(texts, tokens.library_encoder(path).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_replay_is_one_merge_after_another():
     import public_tokenizers
 

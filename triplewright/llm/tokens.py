@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -67,8 +69,42 @@ class RankedEncoder:
         return [np.array(self.ranked.encode_ordinary(t), "<u4").tobytes() for t in texts]
 
 
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """Ranks by the bytes of the tokens in a ``tokenizers`` file of a byte-level model; None if its merges are not in the order of ids."""
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    vocab, added = whole["model"]["vocab"], {t["content"] for t in whole.get("added_tokens", [])}
+    # printable bytes stand for themselves, the others for the characters from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(shown))}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in whole["model"]["merges"]]
+    made = [vocab["".join(m)] for m in merges]
+    ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocab.items() if t not in added}
+    if made != sorted(made) or len(ranks) != len(made) + 256:
+        return None
+    return ranks
+
+
+#: Characters on whose classes (letter, number, space) all versions of Unicode agree.
+_SETTLED = re.compile("[^\x00-\u024f]")
+
+
+class SettledEncoder:
+    """Texts of settled characters by ranks, as wholes; other texts by the ``tokenizers`` library itself."""
+
+    def __init__(self, ranks: dict[bytes, int], other: ChunkEncoder) -> None:
+        self.ranked, self.other = RankedEncoder(ranks), other
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        settled = [t.isascii() or not _SETTLED.search(t) for t in texts]
+        by_rank = iter(self.ranked.encode([t for t, s in zip(texts, settled, strict=True) if s]))
+        by_library = iter(self.other.encode([t for t, s in zip(texts, settled, strict=True) if not s]))
+        return [next(by_rank if s else by_library) for s in settled]
+
+
 @lru_cache(maxsize=2)
-def library_encoder(path: str) -> RankedEncoder | ChunkEncoder:
+def library_encoder(path: str) -> RankedEncoder | SettledEncoder | ChunkEncoder:
     """An encoder of this process over a byte-level file of ``tokenizers`` (.json) or of ranks for ``tiktoken``.
 
     Special tokens in a text are ordinary text.
@@ -84,7 +120,9 @@ def library_encoder(path: str) -> RankedEncoder | ChunkEncoder:
     lengths = np.zeros(max(names.values()) + 1, np.int64)
     for token, i in names.items():
         lengths[i] = len(token)  # byte-level vocabularies write one character a byte
-    return joined_encoder(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], lengths, by_core=True)
+    chunks = joined_encoder(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], lengths, by_core=True)
+    ranks = byte_ranks(path)
+    return SettledEncoder(ranks, chunks) if ranks else chunks
 
 
 def encoded_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, list[bytes]]]:
