@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triplewright.llm import hdlang, packing, pii, simhash, toxicity
+from triplewright.llm import hdlang, near_copies, packing, pii, toxicity
 from triplewright.llm.common import materialise, read
 
 
@@ -25,8 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: one document of each class stays."""
-    return simhash.keep_one_of_each(docs)
+    """Operator 8: one document of each class of near copies (similarity of five-word shingles 0.8 or more) stays."""
+    return near_copies.keep_one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
