@@ -17,6 +17,7 @@ gives an empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -30,10 +31,13 @@ from triplewright.llm.common import fold, read
 DIMENSIONS = 1024
 SHARPNESS = 20.0
 UNKNOWN = "und"
+NOISE = 4.0  # standard deviations of the cosine of unrelated vectors; less is no likeness
+JUDGED = 20  # distinct trigrams below which a text is too short to be called unlike every language
 MAX_LANGUAGES = 4096  # bound on what is broadcast: so many vectors of DIMENSIONS floats
 _CHARS_AT_ONCE = 1 << 19
 _TEXTS_AT_ONCE = 256
 _CELLS_AT_ONCE = 1 << 21
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @lru_cache(maxsize=1)
@@ -191,14 +195,36 @@ def identify(docs: DataFrame, names: list[str], profiles: np.ndarray) -> DataFra
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, cosine double")
 
 
+def distinct_trigrams(text: str, most: int) -> int:
+    """How many different trigrams a text has, counted up to ``most``."""
+    low, seen = _letters(), set()
+    for word in _LETTERS.findall(text):
+        codes = [0, *(int(low[ord(c)]) for c in word), 0]
+        seen.update(zip(codes, codes[1:], codes[2:], strict=False))
+        if len(seen) >= most:
+            return most
+    return len(seen)
+
+
+def resembles(texts: list[str], cosine: np.ndarray, dims: int) -> list[bool]:
+    """Whether each text's largest cosine is above the noise, or the text has too few distinct trigrams to be judged.
+
+    Unrelated vectors have cosines of standard deviation ``1 / sqrt(dims)``, and few trigrams, often repeated, come close to
+    a prototype only by chance even in their own language.
+    """
+    bound = NOISE / np.sqrt(dims)
+    return [bool(c > bound or distinct_trigrams(t, JUDGED) < JUDGED) for t, c in zip(texts, cosine.tolist(), strict=True)]
+
+
 def keep_known(docs: DataFrame, names: list[str], profiles: np.ndarray) -> DataFrame:
     """Rows of ``docs``, all columns, whose text has a language: it has letters and resembles a prototype."""
-    predict, at = predictor(names, profiles), docs.columns.index("text")
+    predict, at, dims = predictor(names, profiles), docs.columns.index("text"), profiles.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, _, cosine = predict([x or "" for x in b.column(at).to_pylist()])
-            yield b.filter(pa.array([k != UNKNOWN and c > 0 for k, c in zip(lang, cosine.tolist(), strict=True)], pa.bool_()))
+            texts = [x or "" for x in b.column(at).to_pylist()]
+            lang, _, cosine = predict(texts)
+            yield b.filter(pa.array([k != UNKNOWN and r for k, r in zip(lang, resembles(texts, cosine, dims), strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
