@@ -20,6 +20,7 @@ null ``component_id``; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +28,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from triplewright.llm.common import materialise
 from triplewright.llm.simhash import components, shingle_hashes
 
 WORDS = 5
 LEAST = (4, 5)
-SAMPLE = 8  # one text of so many is looked at for common shingles
-COMMON = 8  # texts of the sample that make a shingle common
+SAMPLE = 4  # one text of so many is looked at for common shingles
+COMMON = 3  # texts of the sample that make a shingle common
 MOST_COMMON = 100_000  # bound on what is sent to the tasks; it changes the order only
 
 
@@ -123,8 +125,11 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFr
     return texts.select("text").mapInArrow(run, "id long, held binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets are alike."""
+def confirmed(docs: DataFrame, pairs: DataFrame, distinct: DataFrame, words: int = WORDS) -> DataFrame:
+    """The pairs (a, b) of set ids whose sets are alike; ``distinct`` has (id, copy)."""
+    pairs = materialise(pairs, "near-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = materialise(whole_sets(docs, distinct.join(wanted, "id", "left_semi").select("copy"), words), "near-sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,26 +144,33 @@ def near_copy_classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, copy, root, component_id) for every row of ``docs``."""
     p, q = LEAST
     table = materialise(shingle_sets(docs, words), "near-table")
-    held = [F.first(c).alias(c) for c in ("n", "tokens")]
-    distinct = materialise(table.groupBy("id").agg(F.min("doc_id").alias("least"), F.min("copy").alias("copy"), *held), "near-distinct")
-    postings = distinct.select("id", "n", F.explode("tokens").alias("token"))
-    heads = postings.groupBy("token").agg(F.min(F.struct("id", "n")).alias("head"), F.max("id").alias("last")).where("head.id < last")
-    shared = materialise(postings.join(heads.select("token", "head"), "token"), "near-shared")
-    members = distinct.join(shared.select("id").distinct(), "id", "left_semi").select("copy")
-    sets = materialise(whole_sets(docs, members, words), "near-sets")
-
-    def sized(x: str, y: str) -> Column:
-        return (F.col(x) * q >= F.col(y) * p) & (F.col(y) * q >= F.col(x) * p)
-
-    stars = shared.where("id != head.id").where(sized("n", "head.n")).select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()
-    first = confirmed(stars, sets)
+    distinct = materialise(table.groupBy("id").agg(F.min("doc_id").alias("least"), F.min("copy").alias("copy")), "near-distinct")
+    # copies of a set are left in here, so that the prefixes are moved once only
+    postings = table.select("id", "n", F.posexplode("tokens").alias("at", "token"))
+    group = Window.partitionBy("token")
+    heads = postings.withColumn("head", F.min(F.struct("id", "n", "at")).over(group)).withColumn("last", F.max("id").over(group))
+    shared = materialise(heads.where("head.id < last").drop("last").dropDuplicates(["token", "id"]), "near-shared")
+
+    def possible(n: str, at: str, m: str, to: str) -> Column:
+        """Whether sets of so many shingles can be alike if these places hold the first shingle that both have."""
+        most = F.least(F.col(n) - F.col(at), F.col(m) - F.col(to))
+        return most * (p + q) >= (F.col(n) + F.col(m)) * p
+
+    stars = shared.where("id != head.id").where(possible("n", "at", "head.n", "head.at")).select(F.col("head.id").alias("a"), F.col("id").alias("b"))
+    tried = materialise(stars.distinct(), "near-stars")
+    first = confirmed(docs, tried, distinct, words)
     roots = materialise(components(first, "near-first"), "near-first-roots").withColumnRenamed("node", "id")
-    placed = materialise(shared.join(roots, "id", "left").select("token", "id", "n", F.coalesce("root", "id").alias("root")), "near-placed")
+    placed = materialise(shared.join(roots, "id", "left").select("token", "id", "n", "at", F.coalesce("root", "id").alias("root")), "near-placed")
     split = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
     left = materialise(placed.join(split, "token", "left_semi"), "near-split")
-    a, b = (left.select("token", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}")) for k in "ab")
-    pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & sized("na", "nb")).select("a", "b").distinct()
-    second = confirmed(pairs, sets)
+    a, b = (left.select("token", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("at").alias(f"p{k}"), F.col("root").alias(f"r{k}")) for k in "ab")
+    apart = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
+    # sizes of sets that are alike lie in the same or in neighbouring bands
+    band = lambda n: F.floor(F.log(F.col(n)) / math.log(1.3))
+    a = a.withColumn("band", F.explode(F.array(*[band("na") + k for k in (-1, 0, 1)])))
+    pairs = a.join(b.withColumn("band", band("nb")), ["token", "band"]).where(apart & possible("na", "pa", "nb", "pb")).select("a", "b").distinct()
+    # the stars that were turned down are not compared again
+    second = confirmed(docs, pairs.join(tried, ["a", "b"], "left_anti"), distinct, words)
     roots = materialise(components(first.unionByName(second), "near-all"), "near-roots")
     rooted = distinct.join(roots, distinct["id"] == roots["node"], "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     rooted = materialise(rooted, "near-rooted")
