@@ -138,8 +138,7 @@ def test_bpe_same_as_the_library():
     rnd, signs = random.Random(1), " \n\t\r  's'tab12€é 　ß你̀😀-_.,'d!?$%&*#|\"()ʰⅫ²\0\x1c<|endoftext|>"
     texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(40))) for _ in range(3000)] + ["a" * 5000 + "b" * 100, "the cat's  hat ", ""]
     want = [library.encode_ordinary(t) for t in texts]
-    encoders = [bpe.replay_encoder(public_tokenizers.path(bpe.RANKS)), tokens.library_encoder(tokens.ranks_path()), tokens.library_encoder(tokens.default_path())]
-    for e in encoders:
+    for e in [bpe.replay_encoder(public_tokenizers.path(bpe.RANKS)), tokens.library_encoder(tokens.ranks_path())]:
         for at in range(0, len(texts), 100):
             for t, ids, w in zip(texts[at:], e.encode(texts[at : at + 100]), want[at:], strict=False):
                 assert np.frombuffer(ids, "<u4").tolist() == w
@@ -151,16 +150,35 @@ def test_settled_texts_have_the_ids_of_the_library():
 
     path = tokens.default_path()
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
+    assert library.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [31373, 220, 50256, 995]
     ranks = tokens.byte_ranks(path)
     assert ranks == bpe.vocabulary(tokens.ranks_path()).ranks
     rnd = random.Random(8)
     signs = [chr(c) for c in range(0x250)] + list("  's aeiouth\n\t.,019") * 20
-    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(60))) for _ in range(4000)] + ["<|endoftext|> x", "it\u2019s \u4f60\u597d", ""]
+    signs += ["<|endoftext|>"] * 3
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(60))) for _ in range(4000)] + ["it\u2019s \u4f60\u597d  <|endoftext|>\u4f60", ""]
     for text, ids in zip(texts, tokens.library_encoder(path).encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_every_code_point_is_cut_as_the_libraries_cut_it():
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    vocab = bpe.vocabulary(public_tokenizers.path(bpe.RANKS))
+    ranked = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab.ranks, special_tokens={})
+    library = Tokenizer.from_file(tokens.default_path())
+    mine, other = bpe.replay_encoder(public_tokenizers.path(bpe.RANKS)), tokens.library_encoder(tokens.default_path())
+    points = [*range(0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE0200)]
+    for at in range(0, len(points), 4096):
+        texts = [f"a {chr(c)}'s {chr(c)}a1{chr(c)}1 \u4f60{chr(c)}. {chr(c)}  {chr(c)}" for c in points[at : at + 4096]]
+        for t, ids, w in zip(texts, mine.encode(texts), ranked.encode_ordinary_batch(texts, num_threads=4), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == w, hex(ord(t[2]))
+        for t, ids, w in zip(texts, other.encode(texts), library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == w.ids, hex(ord(t[2]))
+
+
 def test_replay_is_one_merge_after_another():
     import public_tokenizers
 
@@ -184,14 +202,16 @@ def test_bpe_memo_generations():
 
 
 def test_packing(spark):
+    from tokenizers import Tokenizer
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = packing.op7_power_of_two(spark, SF).collect()
-    encoder = tokens.library_encoder(tokens.default_path())
+    library = Tokenizer.from_file(tokens.default_path())
     by = {}
     for r in rows:
         by.setdefault(r["doc_id"], []).append(r)
     for d in docs.collect():
-        ids = np.frombuffer(encoder.encode([d["text"] or ""])[0], "<u4").tolist() + [0]
+        ids = library.encode(d["text"] or "", add_special_tokens=False).ids + [0]
         at = 0
         for r in sorted(by[d["doc_id"]], key=lambda r: r["start"]):
             n = r["length"]

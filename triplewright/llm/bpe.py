@@ -31,7 +31,6 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -250,6 +249,11 @@ def _one_by_one(word: bytes, vocab: Vocabulary) -> list[int]:
 CLOSING = ".,;:!?$%&*#|\"()"
 
 
+def ascii_letters(core: str) -> bool:
+    """Letters in every version of Unicode."""
+    return core.isascii() and core.isalpha()
+
+
 class ChunkEncoder:
     """Encodes texts through a bounded memo of chunks.
 
@@ -264,9 +268,11 @@ class ChunkEncoder:
     start at a space, the chunk after a mark.
     """
 
-    def __init__(self, encode_new: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES, by_core: bool = True) -> None:
-        """``by_core``: encode letters and closing signs apart; worth it where encoding costs more than cutting."""
-        self.encode_new, self.entries, self.by_core = encode_new, entries, by_core
+    def __init__(
+        self, encode_new: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES, letters: Callable[[str], object] = ascii_letters
+    ) -> None:
+        """``letters``: whether a string is a run of letters by the tables of the encoder; such a run and the signs that close it are encoded apart."""
+        self.encode_new, self.entries, self.letters = encode_new, entries, letters
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -290,8 +296,8 @@ class ChunkEncoder:
             if ids is not None:
                 memo[key] = ids
                 continue
-            core = key.rstrip(CLOSING) if self.by_core else ""
-            if core and len(core) < len(key) and core.isalpha():
+            core = key.rstrip(CLOSING)
+            if core and len(core) < len(key) and self.letters(core):
                 tail = MARK + key[len(core) :]
                 closed.append((key, core, tail))
                 for part in (core, tail):
@@ -328,18 +334,38 @@ def chunk_keys(text: str) -> list[str]:
     return out
 
 
-def split_words(pattern: regex.Pattern, chunks: list[str]) -> list[list[str]]:
-    return [pattern.findall(c) for c in chunks]
+@lru_cache(maxsize=1)
+def tiktoken_patterns() -> tuple[re.Pattern, re.Pattern]:
+    """``PATTERN`` over the letters, numbers and spaces that ``tiktoken`` knows, and a run of its letters.
+
+    Versions of Unicode differ in thousands of characters, so the library itself is asked: an encoding whose pattern is one
+    class keeps the characters of that class.
+    """
+    import tiktoken
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+
+    def members(kind: str) -> str:
+        asked = tiktoken.Encoding(kind, pat_str=kind, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        codes = np.frombuffer(bytes(asked.encode_ordinary(every)).decode().encode("utf-32-le"), "<u4")
+        runs = np.split(codes, np.flatnonzero(np.diff(codes) != 1) + 1)
+        return "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs)
+
+    letter, number, space = members(r"\p{L}"), members(r"\p{N}"), members(r"\s")
+    own = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letter}{number}]")
+    for kind, inside in ((r"\p{L}", f"[{letter}]"), (r"\p{N}", f"[{number}]"), (r"\s", f"[{space}]"), (r"\S", f"[^{space}]")):
+        own = own.replace(kind, inside)
+    return re.compile(own), re.compile(f"[{letter}]+")
 
 
 @lru_cache(maxsize=4)
 def replay_encoder(path: str, entries: int = CACHE_ENTRIES) -> ChunkEncoder:
     """An encoder of this process that merges new words by replay."""
     vocab = vocabulary(path)
-    pattern = regex.compile(public_tokenizers.PATTERN)
+    pattern, letters = tiktoken_patterns()
 
     def encode_new(chunks: list[str]) -> list[bytes]:
-        split = split_words(pattern, chunks)
+        split = [pattern.findall(c) for c in chunks]
         new = list({w for ws in split for w in ws})
         words: dict[str, bytes] = {}
         for at in range(0, len(new), WORDS_AT_ONCE):
@@ -347,7 +373,7 @@ def replay_encoder(path: str, entries: int = CACHE_ENTRIES) -> ChunkEncoder:
             words.update(zip(part, replay([w.encode("utf-8", "replace") for w in part], vocab), strict=True))
         return [b"".join(map(words.__getitem__, ws)) for ws in split]
 
-    return ChunkEncoder(encode_new, entries)
+    return ChunkEncoder(encode_new, entries, lambda core: ascii_letters(core) or letters.fullmatch(core))
 
 
 def decode(ids: bytes, vocab: Vocabulary) -> bytes:

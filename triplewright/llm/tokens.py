@@ -22,7 +22,7 @@ _TEXTS_AT_ONCE = 256
 
 
 def joined_encoder(
-    encode: Callable[[list[str]], list[list[int]]], lengths: np.ndarray, by_core: bool, entries: int = CACHE_ENTRIES
+    encode: Callable[[list[str]], list[list[int]]], lengths: np.ndarray, entries: int = CACHE_ENTRIES
 ) -> ChunkEncoder:
     """A chunk encoder over a library's ``encode``; ``lengths`` are the UTF-8 bytes that each id stands for.
 
@@ -53,7 +53,7 @@ def joined_encoder(
             out[i] = np.array(ids, "<u4").tobytes()
         return out
 
-    return ChunkEncoder(encode_new, entries, by_core)
+    return ChunkEncoder(encode_new, entries)
 
 
 class RankedEncoder:
@@ -90,24 +90,29 @@ _SETTLED = re.compile("[^\x00-\u024f]")
 
 
 class SettledEncoder:
-    """Texts of settled characters by ranks, as wholes; other texts by the ``tokenizers`` library itself."""
+    """Texts of settled characters by ranks, as wholes; other texts by the ``tokenizers`` library itself.
 
-    def __init__(self, ranks: dict[bytes, int], other: ChunkEncoder) -> None:
-        self.ranked, self.other = RankedEncoder(ranks), other
+    A text that holds the string of a special token goes through the library as a whole, which reads the string as that token.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], chunks: ChunkEncoder, whole: Callable[[list[str]], list[list[int]]], special: list[str]) -> None:
+        self.ranked, self.chunks, self.whole = RankedEncoder(ranks), chunks, whole
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        settled = [t.isascii() or not _SETTLED.search(t) for t in texts]
-        by_rank = iter(self.ranked.encode([t for t, s in zip(texts, settled, strict=True) if s]))
-        by_library = iter(self.other.encode([t for t, s in zip(texts, settled, strict=True) if not s]))
-        return [next(by_rank if s else by_library) for s in settled]
+        kinds = [2 if self.special and self.special.search(t) else int(not t.isascii() and bool(_SETTLED.search(t))) for t in texts]
+        part = [[t for t, k in zip(texts, kinds, strict=True) if k == kind] for kind in range(3)]
+        whole = [np.array(ids, "<u4").tobytes() for ids in self.whole(part[2])] if part[2] else []
+        found = [iter(self.ranked.encode(part[0])), iter(self.chunks.encode(part[1]) if part[1] else []), iter(whole)]
+        return [next(found[k]) for k in kinds]
 
 
 @lru_cache(maxsize=2)
-def library_encoder(path: str) -> RankedEncoder | SettledEncoder | ChunkEncoder:
+def library_encoder(path: str) -> RankedEncoder | SettledEncoder:
     """An encoder of this process over a byte-level file of ``tokenizers`` (.json) or of ranks for ``tiktoken``.
 
-    Special tokens in a text are ordinary text.
+    The strings of special tokens are those tokens for the first, as the library reads them, and ordinary text for the second.
     """
     if not path.endswith(".json"):
         return RankedEncoder(vocabulary(path).ranks)
@@ -115,14 +120,18 @@ def library_encoder(path: str) -> RankedEncoder | SettledEncoder | ChunkEncoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+
+    def whole(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     names = tokenizer.get_vocab(with_added_tokens=True)
     lengths = np.zeros(max(names.values()) + 1, np.int64)
     for token, i in names.items():
         lengths[i] = len(token)  # byte-level vocabularies write one character a byte
-    chunks = joined_encoder(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], lengths, by_core=True)
     ranks = byte_ranks(path)
-    return SettledEncoder(ranks, chunks) if ranks else chunks
+    if ranks is None:
+        raise ValueError("the merges of the file are not in the order of its ids")
+    return SettledEncoder(ranks, joined_encoder(whole, lengths), whole, [t.content for t in tokenizer.get_added_tokens_decoder().values()])
 
 
 def encoded_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, list[bytes]]]:
