@@ -348,6 +348,29 @@ def test_toxicity_held_out(spark):
     assert all(r["predicted"] == (r["score"] >= 0.5) for r in rows)
 
 
+def test_language_of_many_characters(monkeypatch):
+    rnd = random.Random(6)
+    texts = ["".join(chr(rnd.randrange(0x4E00, 0x9000)) if rnd.random() < 0.9 else " " for _ in range(200)) for _ in range(9)] + ["", "the cat"]
+    whole, _ = hdlang.document_vectors(texts, 64)
+    monkeypatch.setattr(hdlang, "_CELLS_AT_ONCE", 640)
+    cut, has = hdlang.document_vectors(texts, 64)
+    assert np.array_equal(whole, cut) and has.tolist() == [True] * 9 + [False, True]
+
+
+def test_language_is_that_of_the_nearest_prototype(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    vectors, has = hdlang.document_vectors([r["text"] or "" for r in docs])
+    learned = [zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None and r["text"] is not None for r in docs]
+    names = sorted({r["lang"] for r, k in zip(docs, learned, strict=True) if k})
+    sums = np.array([sum(v.astype(float) for v, r, k in zip(vectors, docs, learned, strict=True) if k and r["lang"] == n) for n in names])
+    cosine = vectors @ (sums / np.linalg.norm(sums, axis=1, keepdims=True)).T
+    got = {r["doc_id"]: r for r in hdlang.op10_hd_language(spark, SF).collect()}
+    for r, h, c in zip(docs, has, cosine, strict=True):
+        first, second = np.sort(c)[::-1][:2]
+        assert not h and got[r["doc_id"]]["lang_pred"] == "und" or h and (first - second < 1e-5 or got[r["doc_id"]]["lang_pred"] == names[c.argmax()])
+        assert not h or abs(got[r["doc_id"]]["cosine"] - first) < 1e-4
+
+
 def test_language_of_a_long_text_in_pieces(monkeypatch):
     text = "the cat, and  the dog é " * 40
     whole, _ = hdlang.document_vectors([text, "x"], 64)

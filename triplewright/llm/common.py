@@ -17,10 +17,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder in ``spark.checkpoint.dir``; where the session names none, one in the warehouse.
+
+    A local session without either, as in tests, gets a temporary folder: there driver and tasks share the machine.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="triplewright-")
+        if spark.conf.get("spark.master", "local").startswith("local"):
+            path = "file://" + tempfile.mkdtemp(prefix="triplewright-")
+        else:
+            path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_triplewright"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 

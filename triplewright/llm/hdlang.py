@@ -12,7 +12,8 @@ is shuffled is one vector per language and task.
 Defined results: a null text, or one without a letter, is ``und`` with score 0
 and no cosine; without any training row every text is ``und``; ties go to the
 language first in order; repeated rows get the same answer; an empty table
-gives an empty result; other columns of the input are ignored.
+gives an empty result; other columns of the input are ignored. More than
+``MAX_LANGUAGES`` different languages raise an error, never drop one.
 """
 
 from __future__ import annotations
@@ -65,8 +66,8 @@ def _trigram_vectors(grams: np.ndarray, dims: int) -> np.ndarray:
     return np.roll(table, 2, axis=1)[at[:, 0]] * np.roll(table, 1, axis=1)[at[:, 1]] * table[at[:, 2]]
 
 
-def _gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct trigrams of the texts, and (text, trigram) counts as a dense matrix over them; whether a text has letters."""
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct trigrams of the texts, and for every occurrence the place of its trigram among them and its text."""
     codes = np.frombuffer(" ".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
     lengths = np.array([len(t) + 1 for t in texts])
     owner = np.repeat(np.arange(len(texts)), lengths)
@@ -92,9 +93,29 @@ def _gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         column = column[key]
     else:
         used, column = np.unique(key, return_inverse=True)
-    grams = alphabet[np.stack([used // (size * size), used // size % size, used % size], axis=1)]
-    counts = np.bincount(own * len(used) + column, minlength=len(texts) * len(used)).reshape(len(texts), len(used))
-    return grams, counts.astype(np.float32), np.bincount(own, minlength=len(texts)) > 0
+    return alphabet[np.stack([used // (size * size), used // size % size, used % size], axis=1)], column, own
+
+
+def _gram_sums(texts: list[str], dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the vectors of each text's trigrams, and whether it has a letter.
+
+    Counts are a dense matrix of texts and trigrams, some trigrams at a time: at most twice ``_CELLS_AT_ONCE`` cells,
+    however many different characters the texts hold.
+    """
+    grams, column, own = _grams(texts)
+    n, sums = len(texts), np.zeros((len(texts), dims), np.float32)
+    step = max(1, _CELLS_AT_ONCE // max(dims, n))
+    width = len(grams) if n * len(grams) <= 2 * _CELLS_AT_ONCE else step  # trigrams counted at once
+    if width < len(grams):
+        order = np.argsort(column, kind="stable")
+        column, own = column[order], own[order]
+    for at in range(0, len(grams), width):
+        begin, end = np.searchsorted(column, (at, at + width)) if width < len(grams) else (0, len(column))
+        some = min(width, len(grams) - at)
+        counts = np.bincount(own[begin:end] * some + (column[begin:end] - at), minlength=n * some).reshape(n, some).astype(np.float32)
+        for k in range(0, some, step):
+            sums += counts[:, k : k + step] @ _trigram_vectors(grams[at + k : at + min(k + step, some)], dims).astype(np.float32)
+    return sums, np.bincount(own, minlength=n) > 0
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -113,7 +134,6 @@ def document_vectors(texts: list[str], dims: int = DIMENSIONS) -> tuple[np.ndarr
     """Unit vectors of the texts (zero without letters), and whether each has a letter."""
     out, has = np.zeros((len(texts), dims), np.float32), np.zeros(len(texts), bool)
     parts = [(n, p) for n, t in enumerate(texts) for p in _pieces(t)]
-    step = max(1, _CELLS_AT_ONCE // dims)
     at = 0
     while at < len(parts):
         end, chars = at, 0
@@ -122,10 +142,7 @@ def document_vectors(texts: list[str], dims: int = DIMENSIONS) -> tuple[np.ndarr
             end += 1
         if chars:
             owners = np.array([n for n, _ in parts[at:end]])
-            grams, counts, letters = _gram_counts([p for _, p in parts[at:end]])
-            sums = np.zeros((end - at, dims), np.float32)
-            for k in range(0, len(grams), step):
-                sums += counts[:, k : k + step] @ _trigram_vectors(grams[k : k + step], dims).astype(np.float32)
+            sums, letters = _gram_sums([p for _, p in parts[at:end]], dims)
             np.add.at(out, owners, sums)
             np.logical_or.at(has, owners, letters)
         at = end
@@ -217,7 +234,11 @@ def resembles(texts: list[str], cosine: np.ndarray, dims: int) -> list[bool]:
 
 
 def keep_known(docs: DataFrame, names: list[str], profiles: np.ndarray) -> DataFrame:
-    """Rows of ``docs``, all columns, whose text has a language: it has letters and resembles a prototype."""
+    """Rows of ``docs``, all columns, whose text has a language: it has letters and resembles a prototype.
+
+    Null and empty texts have none and go; repeated rows stay or go together; a row is judged by its text alone, so nulls and
+    clashing names in other columns do not matter; without any prototype no row stays; an empty table gives an empty result.
+    """
     predict, at, dims = predictor(names, profiles), docs.columns.index("text"), profiles.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
