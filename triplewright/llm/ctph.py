@@ -80,7 +80,7 @@ def _signature(rolled: np.ndarray, summed: np.ndarray) -> str:
     while len(first) > MOST_LETTERS:
         block *= 2
         first = _letters(rolled, summed, block)
-    return f"{block}:{_text(first)}:{_text(_letters(rolled, summed, 2 * block)[: 2 * MOST_LETTERS])}"
+    return f"{block}:{_text(first)}:{_text(_letters(rolled, summed, 2 * block))}"
 
 
 def fingerprints(texts: list[bytes]) -> list[str]:

@@ -38,6 +38,7 @@ VOTERS = 5
 PATTERNS = 3**VOTERS
 SLOTS = PATTERNS + SHAPES + 2 * EDGES
 ACCEPT = 0.0  # log-odds
+BLOCK = 256  # matches whose places are summed in one fold
 
 # The contract's patterns. Possessive repeats and the anchors before them change no match; they keep
 # the search linear and free of recursion on very long runs.
@@ -84,12 +85,38 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 _FOUND = "array<struct<s:int,e:int,val:string,left:string,right:string>>"
 
 
+def _running(items: Column, width: Callable[[Column], Column], place: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``place(item, sum of the widths before it)`` for each item.
+
+    A fold that adds to an array copies it each time, so items are folded in blocks and the blocks' sums in a fold of their own.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+    summed = F.transform(blocks, lambda b: F.struct(b.alias("b"), F.aggregate(b, F.lit(0), lambda a, it: a + width(it)).alias("n")))
+    zero = lambda: F.struct(F.lit(0).alias("pos"), F.array().cast(kind).alias("out"))
+
+    def based(all_: Column) -> Column:
+        start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out"))
+        bases = F.aggregate(
+            all_, start, lambda a, b: F.struct((a["pos"] + b["n"]).alias("pos"), F.concat(a["out"], F.array(a["pos"])).alias("out")), lambda a: a["out"]
+        )
+        return let(bases, lambda at: F.flatten(F.transform(all_, lambda b, i: inside(b["b"], F.get(at, i)))))
+
+    def inside(block: Column, base: Column) -> Column:
+        def add(a: Column, it: Column) -> Column:
+            row = place(it, base + a["pos"])
+            return F.struct((a["pos"] + width(it)).alias("pos"), F.concat(a["out"], F.array(row)).alias("out"))
+
+        return F.aggregate(block, zero(), add)["out"]
+
+    return let(summed, based)
+
+
 def matches(text: Column, pattern: str, worth: str) -> Column:
     """Leftmost non-overlapping matches with their places, what stands to the left, and the next character."""
     both = F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
 
-    def place(z: Column) -> Column:
-        items = F.transform(
+    def found(z: Column) -> Column:
+        return F.transform(
             z["m"],
             lambda x, i: F.struct(
                 x.alias("val"),
@@ -99,17 +126,13 @@ def matches(text: Column, pattern: str, worth: str) -> Column:
                 F.left(F.get(z["g"], i + 1), F.lit(1)).alias("right"),
             ),
         )
-        start = F.struct(F.lit(0).alias("pos"), F.array().cast(_FOUND).alias("out"))
-
-        def add(a: Column, it: Column) -> Column:
-            s = a["pos"] + it["skip"]
-            e = s + it["n"]
-            row = F.struct(s.alias("s"), e.alias("e"), it["val"].alias("val"), it["left"].alias("left"), it["right"].alias("right"))
-            return F.struct(e.alias("pos"), F.concat(a["out"], F.array(row)).alias("out"))
 
-        return F.aggregate(items, start, add)["out"]
+    def place(it: Column, before: Column) -> Column:
+        s = before + it["skip"]
+        return F.struct(s.alias("s"), (s + it["n"]).alias("e"), it["val"].alias("val"), it["left"].alias("left"), it["right"].alias("right"))
 
-    return F.when(text.rlike(worth), let(both, place)).otherwise(F.array().cast(_FOUND))
+    placed = let(let(both, found), lambda items: _running(items, lambda it: it["skip"] + it["n"], place, _FOUND))
+    return F.when(text.rlike(worth), placed).otherwise(F.array().cast(_FOUND))
 
 
 def _luhn(digits: Column) -> Column:
@@ -284,8 +307,26 @@ def train(found: DataFrame) -> list[float]:
     return out
 
 
-def _apart(a: Column, b: Column) -> Column:
-    return (a["e"] <= b["s"]) | (b["e"] <= a["s"])
+def covers(of: Column) -> Column:
+    """For each kind, which places of the text its spans cover: one byte a place up to the last span, 1 at a first place, 2 after it, else 0.
+
+    Spans of one kind are disjoint. Asking these about a span costs its length, however many spans there are.
+    """
+
+    def cover(spans_: Column) -> Column:
+        gap = lambda x, i: x["s"] - F.when(i > 0, F.get(spans_, i - 1)["e"]).otherwise(0)
+        parts = F.transform(spans_, lambda x, i: F.concat(F.repeat(F.lit("0"), gap(x, i)), F.lit("1"), F.repeat(F.lit("2"), x["e"] - x["s"] - 1)))
+        return F.array_join(parts, "").cast("binary")
+
+    def of_kind(k: int) -> Column:
+        return F.array_sort(F.filter(of, lambda x: x["k"] == k))
+
+    return F.array(*[let(of_kind(k), cover) for k in range(len(KINDS))])
+
+
+def _touches(x: Column, cover: Column) -> Column:
+    there = F.substring(cover, x["s"] + 1, x["e"] - x["s"])
+    return F.contains(there, F.lit(b"1")) | F.contains(there, F.lit(b"2"))
 
 
 def accepted(base: Column, proposed: Column, weights: list[float]) -> Column:
@@ -299,13 +340,15 @@ def accepted(base: Column, proposed: Column, weights: list[float]) -> Column:
             out = out + F.get(table, at + 1 + s)
         return out
 
-    good = F.filter(proposed, lambda x: F.forall(base, lambda b: _apart(x, b)) & (odds(x) > ACCEPT))
-    return F.transform(good, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
+    likely = F.transform(F.filter(proposed, lambda x: odds(x) > ACCEPT), lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
+    apart = lambda kept: let(covers(base), lambda c: F.filter(kept, lambda x: ~F.exists(c, lambda one: _touches(x, one))))
+    return let(likely, lambda kept: F.when((F.size(kept) == 0) | (F.size(base) == 0), kept).otherwise(apart(kept)))
 
 
 def alone(added: Column) -> Column:
     """Where accepted proposals of two kinds overlap, the kind listed first has it."""
-    return F.filter(added, lambda x: F.forall(added, lambda o: (o["k"] >= x["k"]) | _apart(x, o)))
+    earlier = lambda x, c: F.exists(F.slice(c, F.lit(1), x["k"]), lambda one: _touches(x, one))
+    return F.when(F.size(added) < 2, added).otherwise(let(covers(added), lambda c: F.filter(added, lambda x: ~earlier(x, c))))
 
 
 def spans(found: DataFrame, weights: list[float]) -> DataFrame:
@@ -317,35 +360,52 @@ def spans(found: DataFrame, weights: list[float]) -> DataFrame:
 
 
 def redacted(text: Column, of: Column) -> Column:
-    """``text`` with every span, or run of overlapping spans, replaced by its kind in brackets."""
+    """``text`` with every span, or run of overlapping spans, replaced by the kind of its first span in brackets."""
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    in_order = F.array_sort(F.transform(of, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
 
-    def cut(a: Column, x: Column) -> Column:
-        fresh = x["s"] >= a["pos"]
-        kept = F.substring(text, a["pos"] + 1, x["s"] - a["pos"])
-        return F.struct(
-            F.greatest(a["pos"], x["e"]).alias("pos"), F.when(fresh, F.concat(a["out"], kept, F.get(tags, x["k"]))).otherwise(a["out"]).alias("out")
-        )
+    def replaced(z: Column) -> Column:
+        goes_on = lambda at: F.exists(z["cover"], lambda c: F.substring(c, at + 1, F.lit(1)) == F.lit(b"2"))
+        # a run begins where no span goes on from before, and ends where none goes on behind
+        begins = F.filter(z["all"], lambda x, i: ~goes_on(x["s"]) & ((i == 0) | (F.get(z["all"], i - 1)["s"] != x["s"])))
+        ends = F.array_sort(F.array_distinct(F.transform(F.filter(z["all"], lambda x: ~goes_on(x["e"])), lambda x: x["e"])))
+        wide = F.encode(text, "UTF-32")  # four bytes a code point: a piece is found without counting from the start
+        return let(F.struct(begins.alias("b"), ends.alias("e"), wide.alias("w")), pieces)
 
-    in_order = F.array_sort(F.transform(of, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
-    done = F.aggregate(in_order, start, cut)
-    rest = let(done, lambda d: F.concat(d["out"], F.substring(text, d["pos"] + 1, F.char_length(text))))
-    return F.when(F.size(of) == 0, text).otherwise(rest)
+    def pieces(z: Column) -> Column:
+        piece = lambda a, n: F.decode(F.substring(z["w"], a * 4 + 1, n * 4), "UTF-32")
+        before = lambda i: F.when(i > 0, F.get(z["e"], i - 1)).otherwise(0)
+        kept = F.transform(z["b"], lambda x, i: F.concat(piece(before(i), x["s"] - before(i)), F.get(tags, x["k"])))
+        last = F.element_at(z["e"], -1)
+        return F.concat(F.array_join(kept, ""), piece(last, F.floor(F.octet_length(z["w"]) / 4).cast("int") - last))
+
+    both = F.struct(in_order.alias("all"), covers(of).alias("cover"))
+    return F.when(F.size(of) == 0, text).otherwise(let(both, replaced))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with all personal data in ``text`` replaced; ``n_chars``, where there is one, follows the text."""
+    """``docs`` with all personal data in ``text`` replaced; ``n_chars``, where there is one, follows the text.
+
+    A null text stays null, an empty one and one without personal data stay as they are, with their ``n_chars``; nulls in other
+    columns do not matter; repeated rows give repeated rows; columns of any name are kept; an empty table gives an empty result.
+    """
     weights = train(materialise(candidates(docs), "pii-candidates"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base, proposed = span_columns(text)
-    held = docs.withColumns({"__base": base, "__proposed": proposed})
-    held = held.withColumn("__added", accepted(F.col("__base"), F.col("__proposed"), weights))
-    held = held.withColumn("__all", F.concat("__base", alone(F.col("__added"))))
-    out = held.withColumn("text", F.when(F.col("text").isNotNull(), redacted(text, F.col("__all"))))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__all") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(*docs.columns)
+    added = lambda z: let(accepted(z["base"], z["proposed"], weights), lambda a: F.concat(z["base"], alone(a)))
+    every = let(F.struct(base.alias("base"), proposed.alias("proposed")), added)
+    has_count = "n_chars" in docs.columns
+
+    def changed(of: Column) -> Column:
+        out = [F.when(F.col("text").isNotNull(), redacted(text, of)).alias("text")]
+        return F.struct(*out, (F.size(of) > 0).alias("any"))
+
+    # one array value holds what is computed, so no name of the input can clash
+    done = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), let(every, changed).alias("done"))
+    columns = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("done.text")}
+    if has_count:
+        columns["n_chars"] = F.when(F.col("done.any"), F.char_length("done.text").cast("long")).otherwise(F.col("row.n_chars"))
+    return done.select(*[columns[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def joined(of: Column) -> Column:
