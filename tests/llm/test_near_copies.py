@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from triplewright.llm import near_copies
 
@@ -41,8 +43,7 @@ def test_stage_drops_the_near_copies_of_all_pairs(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == want
 
 
-def test_stage_on_chains_groups_and_common_lines(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "SAMPLE", 1)
+def test_stage_on_chains_groups_and_common_lines(spark):
     rnd = random.Random(7)
     word = lambda: f"w{rnd.randrange(5000)}"
     line = " ".join(word() for _ in range(12))
@@ -64,8 +65,66 @@ def test_stage_on_chains_groups_and_common_lines(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == kept_by_all_pairs(by_id)
 
 
-def test_rows_without_ids(spark):
+def test_rows_without_ids_and_repeated_ids(spark):
     a = " ".join(f"w{i}" for i in range(60))
-    docs = spark.createDataFrame([(None, a), (None, a + " x"), (None, "other"), (None, "other"), (3, "kept"), (None, "kept")], "doc_id long, text string")
-    got = near_copies.keep_one_of_each(docs).collect()
-    assert sorted(r["text"][:4] for r in got) == ["kept", "othe", "w0 w"] and [r["doc_id"] for r in got if r["text"] == "kept"] == [3]
+    for rows, want in (
+        ([(None, a), (None, a + " x"), (None, "other"), (None, "other"), (3, "kept"), (None, "kept")], [("kept", 3), ("othe", None), ("w0 w", None)]),
+        ([(5, "text a"), (5, "text b"), (9, "text b")], [("text", 5), ("text", 5)]),
+        ([(1, "t"), (None, "t"), (None, "u")], [("t", 1), ("u", None)]),
+        ([(2, "t"), (2, "t"), (1, "t")], [("t", 1)]),
+    ):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = near_copies.keep_one_of_each(docs).collect()
+        assert sorted((r["text"][:4], r["doc_id"]) for r in got) == want
+
+
+def test_forest_is_minimal():
+    rng = np.random.default_rng(3)
+    for n, m in ((2, 1), (5, 20), (60, 100), (60, 900)):
+        i, j, d = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 9, m)
+        parent = list(range(n))
+
+        def root(v, parent=parent):
+            while parent[v] != v:
+                v = parent[v]
+            return v
+
+        want = []
+        for k in np.argsort(d, kind="stable").tolist():
+            u, v = root(i[k]), root(j[k])
+            if u != v:
+                parent[u] = v
+                want.append(k)
+        got = near_copies.forest(n, i, j, d)
+        assert sorted(got.tolist()) == sorted(want)
+
+
+def test_blocks_and_second_round_find_every_pair(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(near_copies, "SUBTILE", 8)
+    sets = [rng.integers(0, 1 << 63, 100, dtype=np.uint64)]
+    for _ in range(99):
+        x = sets[rng.integers(0, len(sets))].copy()
+        x[rng.integers(0, len(x), 12)] = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+        sets.append(x if rng.random() < 0.7 else rng.integers(0, 1 << 63, int(rng.integers(80, 120)), dtype=np.uint64))
+    sets = [np.unique(x) for x in sets]
+    prints = [np.frombuffer(near_copies.wide_fingerprint(x), np.uint64) for x in sets]
+    near = {
+        (i, j)
+        for i in range(100)
+        for j in range(i + 1, 100)
+        if np.bitwise_count(prints[i] ^ prints[j]).sum() <= near_copies.RADIUS and 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j]))
+    }
+    rows = [(i, len(x), bytearray(p.tobytes()), i) for i, (x, p) in enumerate(zip(sets, prints, strict=True))]
+    df = spark.createDataFrame(rows, "id long, n int, print binary, label long")
+    assert {tuple(r) for r in near_copies.candidates(df, thin=False, block_rows=7).collect()} == near
+    forest = {tuple(r) for r in near_copies.candidates(df, thin=True, block_rows=7).collect()}
+    assert forest <= near
+    for edges in (near, forest):
+        parent = list(range(100))
+        for _ in range(100):
+            for i, j in edges:
+                parent[i] = parent[j] = min(parent[i], parent[j])
+        if edges is near:
+            want = parent
+    assert parent == want

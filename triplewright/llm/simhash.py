@@ -33,7 +33,7 @@ from triplewright.llm.common import materialise, read
 WORDS = 3
 RADIUS = 3
 SEED = 42
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 1 << 16  # half a megabyte; a larger block is sent to fewer pairs
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
 _FOLD = bytes.maketrans(_UPPER, _LOWER)
@@ -246,23 +246,6 @@ def near_duplicate_classes(docs: DataFrame, words: int = WORDS, radius: int = RA
     return table.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each class: the row with the smallest id, a single copy of it.
-
-    A class without any id keeps one row for each distinct text.
-    """
-    classes = near_duplicate_classes(docs, words, radius)
-    kept = materialise(classes.where("component_id is not null").select("component_id").distinct(), "simhash-kept")
-    named = docs.join(kept, docs["doc_id"] == kept["component_id"], "left_semi").dropDuplicates(["doc_id"])
-    nameless = classes.where("doc_id is null and component_id is null").select("fp").distinct()
-    without = docs.where("doc_id is null")
-    if without.limit(1).count():
-        bare = fingerprint_table(without.select("doc_id", "text").distinct()).join(nameless, "fp", "left_semi")
-        if bare.limit(1).count():
-            named = named.unionByName(without.dropDuplicates(["text"]))
-    return named
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicate_classes(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
