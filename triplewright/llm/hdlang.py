@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplewright.llm.common import fold, read
+from triplewright.llm.common import fold, read, slices
 
 DIMENSIONS = 1024
 SHARPNESS = 20.0
@@ -35,9 +35,9 @@ UNKNOWN = "und"
 NOISE = 4.0  # standard deviations of the cosine of unrelated vectors; less is no likeness
 JUDGED = 20  # distinct trigrams below which a text is too short to be called unlike every language
 MAX_LANGUAGES = 4096  # bound on what is broadcast: so many vectors of DIMENSIONS floats
-_CHARS_AT_ONCE = 1 << 19
+_CHARS_AT_ONCE = 1 << 18
 _TEXTS_AT_ONCE = 256
-_CELLS_AT_ONCE = 1 << 21
+_CELLS_AT_ONCE = 1 << 20
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -155,7 +155,7 @@ def train_profiles(rows: DataFrame, dims: int = DIMENSIONS) -> tuple[list[str],
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches, 2048):
             vectors, _ = document_vectors(b.column(0).to_pylist(), dims)
             langs = np.array(b.column(1).to_pylist(), object)
             for lang in set(langs):
@@ -202,7 +202,7 @@ def identify(docs: DataFrame, names: list[str], profiles: np.ndarray) -> DataFra
     predict = predictor(names, profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2048):
             lang, score, cosine = predict([x or "" for x in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(cosine)], names=["doc_id", "lang_pred", "score", "cosine"]
@@ -242,7 +242,7 @@ def keep_known(docs: DataFrame, names: list[str], profiles: np.ndarray) -> DataF
     predict, at, dims = predictor(names, profiles), docs.columns.index("text"), profiles.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2048):
             texts = [x or "" for x in b.column(at).to_pylist()]
             lang, _, cosine = predict(texts)
             yield b.filter(pa.array([k != UNKNOWN and r for k, r in zip(lang, resembles(texts, cosine, dims), strict=True)], pa.bool_()))

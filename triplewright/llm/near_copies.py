@@ -34,10 +34,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triplewright.llm.common import materialise
+from triplewright.llm.common import materialise, slices
 from triplewright.llm.simhash import components, shingle_hashes
 
 WORDS = 5
@@ -89,36 +89,39 @@ def wide_fingerprint(x: np.ndarray) -> bytes:
     return np.packbits(counts * 2 > len(x), bitorder="little").tobytes()
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, copy): copy is a hash by which a text is found again."""
+def _keyed(docs: DataFrame) -> list[Column]:
+    """Of each row: its id, a hash of its text by which the text is found again, and one of all its columns that tells rows apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("copy", F.xxhash64("text"))
+    plain = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), F.xxhash64(*plain).alias("tie")]
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(*_keyed(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, copy, id, n, print) for every row: the set's id, its size and its fingerprint."""
+    """(doc_id, copy, tie, id, n, print) for every row: the set's id, its size and its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids, sizes, prints = [], [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(3).to_pylist():
                 x = shingle_set(t, words)
                 ids.append(_set_id(x))
                 sizes.append(len(x))
                 prints.append(wide_fingerprint(x))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.binary())],
-                names=["doc_id", "copy", "id", "n", "print"],
-            )
+            found = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *found], names=["doc_id", "copy", "tie", "id", "n", "print"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, copy long, id long, n int, print binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, copy long, tie long, id long, n int, print binary")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
     """(id, held): the whole sets, as bytes, of the texts named by ``wanted`` (copy)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 128):
             sets = [shingle_set(t, words) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "held"]
@@ -131,10 +134,12 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFr
 def confirmed(docs: DataFrame, pairs: DataFrame, distinct: DataFrame, words: int = WORDS) -> DataFrame:
     """The pairs (a, b) of set ids whose sets are alike; ``distinct`` has (id, copy)."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialise(whole_sets(docs, distinct.join(wanted, "id", "left_semi").select("copy"), words), "near-sets")
+    # written, so that its size is known: a small table is sent to the texts, for a large one the texts are shuffled
+    texts = materialise(distinct.join(wanted, "id", "left_semi").select("copy"), "near-wanted")
+    sets = materialise(whole_sets(docs, texts, words), "near-sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 128):
             held = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
             yield b.filter(pa.array([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in held], pa.bool_())).select(["a", "b"])
 
@@ -303,9 +308,9 @@ def linked_sets(docs: DataFrame, distinct: DataFrame, words: int = WORDS) -> Dat
 
 
 def distinct_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(id, n, print, copy, kept) of the different sets: a text that has it, and the first of its rows by id (rows without one last) and text."""
+    """(id, n, print, copy, kept) of the different sets; kept is the first of its rows by id (rows without one last), text and other columns."""
     table = shingle_sets(docs, words)
-    row = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "copy")
+    row = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "copy", "tie")
     found = table.groupBy("id").agg(F.first("n").alias("n"), F.first("print").alias("print"), F.min("copy").alias("copy"), F.min(row).alias("kept"))
     return materialise(found, "near-distinct")
 
@@ -320,14 +325,17 @@ def first_rows(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``docs`` with one row of each class: the one with the smallest id, then the smallest text hash; rows without an id come last.
 
-    Of rows with the same id and text, the one whose other columns hash least stays. Columns of any name and nulls in them are kept.
+    Of rows with the same id and text, the one whose columns hash least stays. Columns of any name and nulls in them are kept.
     """
-    chosen = materialise(first_rows(docs, words), "near-chosen").select("kept.*")
-    copy = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    plain = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("key"), copy.alias("copy"), F.xxhash64(*plain).alias("tie"), F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    )
-    same = rows["key"].eqNullSafe(chosen["doc_id"]) & (rows["copy"] == chosen["copy"])
-    held = rows.join(chosen, same, "left_semi").groupBy("key", "copy").agg(F.min_by("row", "tie").alias("row"))
-    return held.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    chosen = materialise(first_rows(docs, words).select("kept.doc_id", "kept.copy", "kept.tie"), "near-chosen")
+    rows = docs.select(F.struct(*_keyed(docs)).alias("k"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    same = rows["k.doc_id"].eqNullSafe(chosen["doc_id"]) & (rows["k.copy"] == chosen["copy"]) & (rows["k.tie"] == chosen["tie"])
+    held = rows.join(chosen, same, "left_semi")
+    whole = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    # rows equal in all columns are left; only these are moved
+    again = materialise(held.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("again")), "near-again")
+    if again.isEmpty():
+        return held.select(*whole)
+    repeated = held["k"].eqNullSafe(again["again"])
+    one = held.join(again, repeated, "left_semi").groupBy("k").agg(F.first("row").alias("row"))
+    return held.join(again, repeated, "left_anti").select(*whole).unionByName(one.select(*whole))
