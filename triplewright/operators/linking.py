@@ -54,10 +54,11 @@ def content_tokens(questions: DataFrame) -> DataFrame:
 
 def surface_index(entities: DataFrame) -> DataFrame:
     """(surface, id, name, score, surface_score): an entity's share of the popularity of its normalised name."""
-    w = Window.partitionBy("surface")
     named = entities.withColumn("surface", normalise_name(F.col("name")))
-    total = F.sum("score").over(w)
-    return named.withColumn("surface_score", F.when(total > 0, F.col("score") / total).otherwise(0.0))
+    # summed and joined back, so that a common surface is not gathered in one task
+    totals = named.groupBy("surface").agg(F.sum("score").alias("__total"))
+    shared = named.join(totals, "surface", "left")
+    return shared.withColumn("surface_score", F.when(F.col("__total") > 0, F.col("score") / F.col("__total")).otherwise(0.0)).drop("__total")
 
 
 def candidates_for(spans_: DataFrame, surfaces: DataFrame, text: str = "span") -> DataFrame:
@@ -193,3 +194,18 @@ def neighbours(tokens: DataFrame, key: str = "q_id") -> DataFrame:
     """Each token (key, at, token) with the one and the two after it; null past the end."""
     w = Window.partitionBy(key).orderBy("at")
     return tokens.select(key, "at", "token", F.lead("token", 1).over(w).alias("next"), F.lead("token", 2).over(w).alias("after_next"))
+
+
+def usable_questions(questions: DataFrame, gold: DataFrame) -> DataFrame:
+    """Questions (q_id, text) that have a gold answer (q_id) and do not ask how many."""
+    return questions.where(~F.lower("text").startswith("how many")).join(gold.select("q_id").distinct(), "q_id", "left_semi")
+
+
+def names_to_ids(rows: DataFrame, known: DataFrame, unknown: str = "UNK") -> DataFrame:
+    """Add the id of each ``name``; ``known`` has (name, id)."""
+    return rows.join(known.select("name", "id"), "name", "left").withColumn("id", F.coalesce("id", F.lit(unknown)))
+
+
+def boost_perfect(mentions: DataFrame, factor: int = 60) -> DataFrame:
+    """Mentions whose text is the entity's main name count for more."""
+    return mentions.withColumn("score", F.when(F.col("perfect"), F.col("score") * factor).otherwise(F.col("score")))

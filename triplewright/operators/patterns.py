@@ -74,10 +74,21 @@ def text_answer_ratio(results: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def nway_intersection(postings: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(q_id, mediator) where a mediator holds all values that ``wanted`` (q_id, value) names for a question."""
-    need = wanted.distinct().groupBy("q_id").agg(F.count("*").alias("need"))
-    held = wanted.distinct().join(postings.select("value", "mediator").distinct(), "value").groupBy("q_id", "mediator").agg(F.count("*").alias("held"))
-    return held.join(need, "q_id").where("held = need").select("q_id", "mediator")
+    """(q_id, mediator) where a mediator holds all values that ``wanted`` (q_id, value) names for a question.
+
+    Only the postings of each question's rarest value are read out; the other values are looked up at these mediators.
+    """
+    held = postings.select("value", "mediator").distinct()
+    sizes = held.groupBy("value").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.coalesce("n", F.lit(0)), "value"))
+    ranked = wanted.select("q_id", "value").distinct().join(sizes, "value", "left").withColumn("place", place)
+    found = ranked.where("place = 1").join(held, "value").select("q_id", "mediator")
+    others = ranked.where("place > 1").groupBy("q_id").agg(F.collect_list("value").alias("values"))
+    open_ = found.join(others, "q_id", "left").withColumn("need", F.coalesce(F.size("values"), F.lit(0)))
+    alone = open_.where("need <= 0").select("q_id", "mediator")
+    checks = open_.where("need > 0").select("q_id", "mediator", "need", F.explode("values").alias("value")).join(held, ["value", "mediator"], "left_semi")
+    whole = checks.groupBy("q_id", "mediator").agg(F.count("*").alias("held"), F.first("need").alias("need")).where("held = need")
+    return alone.unionByName(whole.select("q_id", "mediator"))
 
 
 def relation_suggestions(facts: DataFrame, anchors: DataFrame, most: int = 300) -> DataFrame:

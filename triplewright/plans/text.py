@@ -107,11 +107,6 @@ def mention_span_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.spans(kb.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.split("text", " ").alias("tokens")), longest=3)
 
 
-def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = kb.questions(spark, sf_dir).select("q_id", F.split("text", " ").alias("tokens"))
-    return linking.candidates_for(linking.spans(tokens), linking.surface_index(kb.entities(spark, sf_dir)))
-
-
 _LINKED = f"""{_ENTITIES}, {_QUESTIONS}, surf as (select *, {_NORM.format("name")} as surface from ents),
        t as (select q_id, string_split(text, ' ') as w from qs), s as (select q_id, w, unnest(range(0, len(w))) as i from t),
        e as (select q_id, w, i, unnest(range(i + 1, least(len(w), i + 8) + 1)) as j from s),
@@ -125,8 +120,10 @@ _LINKED = f"""{_ENTITIES}, {_QUESTIONS}, surf as (select *, {_NORM.format("name"
        select q_id, tok_start, tok_end, id, score, place from l where place <= 3""",
 )
 def link_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = linking.top_per_span(_linked(spark, sf_dir), ["q_id", "tok_start", "tok_end"], [F.desc("score"), F.asc("id")], 3)
-    return top.select("q_id", "tok_start", "tok_end", "id", "score", F.col("place").cast("long").alias("place"))
+    # a span has one surface, so the best three of a surface are those of each of its spans
+    best = linking.top_per_span(linking.surface_index(kb.entities(spark, sf_dir)), ["surface"], [F.desc("score"), F.asc("id")], 3)
+    tokens = kb.questions(spark, sf_dir).select("q_id", F.split("text", " ").alias("tokens"))
+    return linking.candidates_for(linking.spans(tokens), best).select("q_id", "tok_start", "tok_end", "id", "score", F.col("place").cast("long").alias("place"))
 
 
 @group.query(
