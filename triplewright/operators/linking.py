@@ -155,9 +155,13 @@ def text_entities(words: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     ``words`` has (doc_id, word, n); ``wanted`` has (q_id, word).
     """
-    need = wanted.distinct().groupBy("q_id").agg(F.count("*").alias("need"))
-    hits = wanted.distinct().join(words, "word").groupBy("q_id", "doc_id").agg(F.count("*").alias("held"), F.sum("n").alias("score"))
-    full = hits.join(need, "q_id").where("held = need")
+    asked = wanted.distinct()
+    # only the texts with a question's rarest word are looked at; its other words are then looked up in these
+    common = asked.join(words.groupBy("word").agg(F.count("*").alias("texts")), "word", "left")
+    rare = common.groupBy("q_id").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "word"))["word"].alias("word"), F.count("*").alias("need"))
+    tried = rare.join(words, "word").select("q_id", "need", "doc_id")
+    hits = tried.join(asked, "q_id").join(words, ["doc_id", "word"]).groupBy("q_id", "doc_id", "need").agg(F.count("*").alias("held"), F.sum("n").alias("score"))
+    full = hits.where("held = need")
     w = Window.partitionBy("q_id").orderBy(F.desc("score"), "doc_id")
     return full.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("q_id", "doc_id", "score", "place")
 

@@ -19,7 +19,7 @@ def rank_by(candidates: DataFrame, order: list[Column], most: int | None = None)
 
 def shuffled(key: str, seed: int) -> Column:
     """A fixed order that follows nothing in the data."""
-    return F.xxhash64(F.col(key).cast("string"), F.lit(seed))
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
 
 
 def simple_score(mentions: DataFrame, matches: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def folds(df: DataFrame, key: str, k: int = 6, seed: int = 999) -> DataFrame:
 
 def train_pairs(labelled: DataFrame, most: int, seed: int = 999) -> DataFrame:
     """Correct candidates of a question with up to ``most`` wrong ones, both ways round (label 1: the first is correct)."""
-    w = Window.partitionBy("q_id").orderBy(F.xxhash64("c_id", F.lit(seed)), "c_id")
+    w = Window.partitionBy("q_id").orderBy(shuffled("c_id", seed), "c_id")
     wrong = labelled.where("label = 0").withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
     right = labelled.where("label = 1")
     a = right.select("q_id", F.col("c_id").alias("x")).join(wrong.select("q_id", F.col("c_id").alias("y")), "q_id")

@@ -234,15 +234,28 @@ def fallback_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.fallback_relation(r.withColumn("objects", F.col("objects") * 10 + F.length("relation")))
 
 
-@group.query("fold_sizes")
+_WRONG = 200  # wrong candidates that a question gives to the training pairs at most
+_SHUFFLED = "('0x' || substr(md5({} || ':999'), 1, 8))::bigint"
+
+
+@group.query(
+    "fold_sizes",
+    f"""with {_CANDS}, f as (select distinct q_id, ({_SHUFFLED.format("q_id")} % 6)::int as fold from cands) select fold, count(*) as n from f group by 1""",
+)
 def fold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.folds(_cands(spark, sf_dir).select("q_id").distinct(), "q_id").groupBy("fold").agg(F.count("*").alias("n"))
 
 
-@group.query("train_pairs")
+@group.query(
+    "train_pairs",
+    f"""with {_CANDS}, l as (select q_id, c_id, answer_match > 0.8 as good, row_number() over (partition by q_id, answer_match > 0.8
+         order by {_SHUFFLED.format("c_id")}, c_id) as n from cands),
+       p as (select a.q_id, a.c_id as x, b.c_id as y from l a join l b on a.q_id = b.q_id and a.good and not b.good and b.n <= 200)
+       select q_id, x as c_id_a, y as c_id_b, 1::int as label from p union all select q_id, y, x, 0::int from p""",
+)
 def train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = _cands(spark, sf_dir).select("q_id", "c_id", (F.col("answer_match") > 0.8).cast("int").alias("label"))
-    return ranking.train_pairs(labelled, 5)
+    return ranking.train_pairs(labelled, _WRONG)
 
 
 _SIMPLE = ["coverage", "avg_em_surface_score", "n_literal_entities", "n_word_relation_tokens", "matches_answer_type"]
@@ -266,8 +279,8 @@ def rank_pairwise_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = rows.where("q_id % 2 = 0").select("q_id", "c_id", "label")
     ab = ranking.pair_features(ranking.candidate_pairs(rows.drop("label")), _SIMPLE)
     names = [f"{f}_{s}" for s in ("diff", "a", "b") for f in _SIMPLE]
-    chosen = ranking.train_pairs(keep, 5).where("c_id_a < c_id_b").join(ab, ["q_id", "c_id_a", "c_id_b"])
-    model = models.fit_pair_ranker(chosen.select("label", *names), names, trees=20)
+    chosen = ranking.train_pairs(keep, _WRONG).where("c_id_a < c_id_b").join(ab, ["q_id", "c_id_a", "c_id_b"])
+    model = models.fit_pair_ranker(chosen.select("label", *names), names)
     won = models.positive_share(model.transform(ab)).select("q_id", "c_id_a", "c_id_b", "p_a")
     return ranking.rank_by_wins(rows.select("q_id", "c_id"), won)
 
@@ -277,7 +290,7 @@ def ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_distinct(F.split(F.lower("text"), " "))
     docs = kb.table(spark, sf_dir, "documents").select("doc_id", words.alias("grams"))
     rows = docs.join(kb.table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
-    model = models.fit_ngram_scorer(rows.select("label", "grams"), size=4096)
+    model = models.fit_ngram_scorer(rows.select("label", "grams"))
     return models.positive_share(model.transform(docs), "p").select("doc_id", F.round("p", 3).alias("score"))
 
 
@@ -289,11 +302,19 @@ def answer_type_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.positive_share(model.transform(asked), "p").select("q_id", F.round("p", 3).alias("p"))
 
 
-@group.query("selected_ngrams")
+@group.query(
+    "selected_ngrams",
+    """with w as (select doc_id, unnest(list_distinct(string_split(lower(text), ' '))) as gram from documents),
+       t as (select gram, count(*) as n, sum(toxic)::bigint as pos from w join labels using (doc_id) group by 1),
+       b as (select sum(pos)::bigint as p, sum(n)::bigint as total from t), e as (select gram, n, pos, n * p / total as want from t, b),
+       c as (select gram, pow(pos - want, 2) / want + pow(want - pos, 2) / (n - want) as chi2, count(*) over () as grams from e),
+       r as (select gram, chi2, row_number() over (order by chi2 desc, gram) as place, grams from c)
+       select gram, round(chi2, 6) as chi2 from r where place <= greatest(1, floor(0.01 * grams))""",
+)
 def selected_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = kb.table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     grams = kb.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("gram"))
-    return models.select_ngrams(grams.join(labels, "doc_id").select("label", "gram"), 0.01)
+    return models.select_ngrams(grams.join(labels, "doc_id").select("label", "gram"), 0.01).withColumn("chi2", F.round("chi2", 6))
 
 
 @group.query(

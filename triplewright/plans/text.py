@@ -100,11 +100,11 @@ def date_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @group.query(
     "mention_span_explode",
     """with t as (select item_id, string_split(text, ' ') as w from benchmark),
-       s as (select item_id, w, unnest(range(0, len(w))) as i from t), e as (select item_id, w, i, unnest(range(i + 1, least(len(w), i + 3) + 1)) as j from s)
+       s as (select item_id, w, unnest(range(0, len(w))) as i from t), e as (select item_id, w, i, unnest(range(i + 1, least(len(w), i + 8) + 1)) as j from s)
        select item_id as q_id, i::int as tok_start, j::int as tok_end, array_to_string(w[i + 1 : j], ' ') as span from e""",
 )
 def mention_span_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linking.spans(kb.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.split("text", " ").alias("tokens")), longest=3)
+    return linking.spans(kb.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.split("text", " ").alias("tokens")))
 
 
 _LINKED = f"""{_ENTITIES}, {_QUESTIONS}, surf as (select *, {_NORM.format("name")} as surface from ents),
@@ -185,11 +185,20 @@ def disjoint_mention_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.disjoint_pairs(_mentions(spark, sf_dir))
 
 
-@group.query("maximal_mention_sets")
+# a maximal set is a chain of mentions with no other mention before the first, between two neighbours or after the last
+@group.query(
+    "maximal_mention_sets",
+    f"""with recursive {_MENTIONS}, first as (select * from m where not exists (select 1 from m k where k.q_id = m.q_id and k.tok_end <= m.tok_start)),
+       next as (select a.m_id as a, b.m_id as b, b.tok_end from m a join m b on a.q_id = b.q_id and a.tok_end <= b.tok_start
+         where not exists (select 1 from m k where k.q_id = a.q_id and a.tok_end <= k.tok_start and k.tok_end <= b.tok_start)),
+       chain as (select q_id, m_id as last, tok_end, [m_id] as members from first
+         union all select c.q_id, n.b, n.tok_end, list_append(c.members, n.b) from chain c join next n on n.a = c.last)
+       select q_id, array_to_string(list_sort(members), ',') as members from chain c
+       where not exists (select 1 from m k where k.q_id = c.q_id and c.tok_end <= k.tok_start)""",
+)
 def maximal_mention_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three mentions of each question at most, as the linker would leave."""
-    few = linking.top_per_span(_mentions(spark, sf_dir), ["q_id"], [F.desc("score"), F.asc("m_id")], 6)
-    return linking.maximal_sets(linking.overlapping(few))
+    sets = linking.maximal_sets(linking.overlapping(_mentions(spark, sf_dir)))
+    return sets.select("q_id", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
 @group.query(
@@ -344,14 +353,14 @@ def frequent_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @group.query(
     "text_entity_topk",
     """with w as (select doc_id, unnest(string_split(lower(text), ' ')) as word from documents), n as (select doc_id, word, count(*) as n from w group by 1, 2),
-       q as (select distinct item_id as q_id, unnest(string_split(lower(text), ' ')[1:3]) as word from benchmark), need as (select q_id, count(*) as need from q group by 1),
+       q as (select distinct item_id as q_id, unnest(string_split(lower(text), ' ')) as word from benchmark), need as (select q_id, count(*) as need from q group by 1),
        h as (select q_id, doc_id, count(*) as held, sum(n)::bigint as score from q join n using (word) group by 1, 2),
        r as (select q_id, doc_id, score, row_number() over (partition by q_id order by score desc, doc_id) as place from h join need using (q_id) where held = need)
        select * from r where place <= 10""",
 )
 def text_entity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = kb.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    wanted = kb.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.explode(F.slice(F.split(F.lower("text"), " "), 1, 3)).alias("word"))
+    wanted = kb.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.explode(F.split(F.lower("text"), " ")).alias("word"))
     return linking.text_entities(words, wanted, 10).withColumn("place", F.col("place").cast("long"))
 
 
