@@ -12,8 +12,9 @@ candidate is confirmed on the whole sets.
 
 A dense group is not paired out. A task returns a minimum spanning forest of
 its candidates, nearest first; these are confirmed, and only between components
-that a refused candidate touches are all pairs of fingerprints looked at, and
-confirmed, in a second round. So each pair within the radius is confirmed or
+that a refused candidate touches are all pairs of fingerprints looked at in a
+second round. There blocks carry the whole sets, so that a task confirms its
+pairs itself and returns only links that join components. So each pair within the radius is confirmed or
 joined by confirmed links. The radius is the one part that can miss: two sets
 with a similarity of exactly 0.8 differ in 39 of 256 bits on average with a
 standard deviation of 5.7, and ``RADIUS`` is three deviations above that; for
@@ -46,6 +47,7 @@ LANES = 4  # 64-bit words of a fingerprint
 RADIUS = 56  # bits of 256
 FIRST = 25  # bits of the first lane: five deviations above the mean at the least similarity, so it only saves work on the others
 BLOCK_ROWS = 1 << 15
+BLOCK_HASHES = 1 << 21  # shingle hashes of a block in the second round (16 MB), or one set
 SUBTILE = 256
 _HASHES_AT_ONCE = 1 << 14
 _EDGES_AT_ONCE = 1 << 18
@@ -178,14 +180,19 @@ def forest(nodes: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarra
 class Block:
     """Sets of a block in order of size, as arrays; ``label`` tells components apart in the second round."""
 
-    def __init__(self, ids: bytes, sizes: bytes, prints: bytes, labels: bytes) -> None:
+    def __init__(self, ids: bytes, sizes: bytes, prints: bytes, labels: bytes, held: bytes = b"") -> None:
         self.ids, self.sizes, self.labels = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int32), np.frombuffer(labels, np.int64)
         self.prints = np.frombuffer(prints, np.uint64).reshape(-1, LANES)
+        self.held, self.ends = np.frombuffer(held, np.uint64), np.cumsum(self.sizes, dtype=np.int64)
         starts = np.arange(0, len(self.ids), SUBTILE)
         ones = np.bitwise_count(self.prints).astype(np.int16)
         self.low, self.high = np.minimum.reduceat(ones, starts), np.maximum.reduceat(ones, starts)
         self.least, self.most = np.minimum.reduceat(self.sizes, starts), np.maximum.reduceat(self.sizes, starts)
 
+    def whole(self, k: int) -> np.ndarray:
+        """The set at place ``k``; only where the block carries the sets."""
+        return self.held[self.ends[k] - self.sizes[k] : self.ends[k]]
+
 
 def near_pairs(a: Block, b: Block | None, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places (i in a, j in b) of sets that can be alike and lie within the radius, and their distances, sub-tile by sub-tile."""
@@ -234,28 +241,56 @@ def thinned(a: Block, b: Block | None, radius: int = RADIUS) -> tuple[np.ndarray
     return a.ids[i], (a.ids if b is None else b.ids)[j - base]
 
 
-def candidates(sets: DataFrame, thin: bool, radius: int = RADIUS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def joining(a: Block, b: Block | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the ends of links, confirmed on the whole sets, that join the labels of the blocks as far as links do."""
+    other = a if b is None else b
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    found: list[tuple[int, int]] = []
+    for i, j, d in near_pairs(a, b, radius):
+        for k in np.argsort(d, kind="stable"):
+            x, y = root(int(a.labels[i[k]])), root(int(other.labels[j[k]]))
+            if x != y and alike(a.whole(i[k]), other.whole(j[k])):
+                parent[x] = y
+                found.append((int(a.ids[i[k]]), int(other.ids[j[k]])))
+    ends = np.array(found, np.int64).reshape(-1, 2)
+    return ends[:, 0], ends[:, 1]
+
+
+def candidates(sets: DataFrame, thin: bool = True, radius: int = RADIUS, block_rows: int = BLOCK_ROWS, block_hashes: int = BLOCK_HASHES) -> DataFrame:
     """Pairs (a, b), a < b, of sets (id, n, print, label) within the radius and with different labels.
 
-    ``thin``: only a spanning forest for each pair of blocks.
+    ``thin``: only a spanning forest for each pair of blocks (otherwise every pair, for small tables). Where ``sets`` has the
+    sets themselves (held), only confirmed links are returned, those that join labels.
     """
     spark = sets.sparkSession
+    whole = "held" in sets.columns
     # sets that are alike lie in the same or in neighbouring bands of size
     band = F.floor(F.log(F.col("n")) / math.log(LEAST[1] / LEAST[0] * (1 + 1e-9))).cast("int")
     banded = sets.where("n > 0").withColumn("band", band)
     # about a hundred bands exist, however many rows there are
-    counts = banded.groupBy("band").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("subs")).collect()
+    blocks_of = F.ceil(F.count("*") / block_rows)
+    blocks_of = F.greatest(blocks_of, F.ceil(F.sum("n") / block_hashes)) if whole else blocks_of
+    counts = banded.groupBy("band").agg(blocks_of.cast("int").alias("subs")).collect()
     bands = spark.createDataFrame([tuple(r) for r in counts], "band int, subs int")
     placed = banded.join(F.broadcast(bands), "band").withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int"))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n", "id"])
         held = {k: [rows[c].to_numpy(t).tobytes()] for k, c, t in (("ids", "id", np.int64), ("sizes", "n", np.int32), ("labels", "label", np.int64))}
-        return pd.DataFrame({"band": rows["band"].iloc[:1].to_list(), "sub": rows["sub"].iloc[:1].to_list(), **held, "prints": [b"".join(rows["print"])]})
+        held |= {k: [b"".join(rows[c])] for k, c in (("prints", "print"), ("held", "held"))}
+        return pd.DataFrame({"band": rows["band"].iloc[:1].to_list(), "sub": rows["sub"].iloc[:1].to_list(), **held})
 
-    schema = "band int, sub int, ids binary, sizes binary, labels binary, prints binary"
-    blocks = placed.select("band", "sub", "id", "n", "print", "label").groupBy("band", "sub").applyInPandas(pack, schema)
-    blocks = materialise(blocks, "near-blocks").select("band", "sub", F.struct("ids", "sizes", "prints", "labels").alias("block"))
+    schema = "band int, sub int, ids binary, sizes binary, labels binary, prints binary, held binary"
+    held = F.col("held") if whole else F.lit(b"").alias("held")
+    blocks = placed.select("band", "sub", "id", "n", "print", "label", held).groupBy("band", "sub").applyInPandas(pack, schema)
+    blocks = materialise(blocks, "near-blocks").select("band", "sub", F.struct("ids", "sizes", "prints", "labels", "held").alias("block"))
     near = bands.select(F.col("band").alias("u"), F.col("subs").alias("nu"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("v"))
     work = (
         near.join(F.broadcast(bands.select(F.col("band").alias("v"), F.col("subs").alias("nv"))), "v")
@@ -269,25 +304,23 @@ def candidates(sets: DataFrame, thin: bool, radius: int = RADIUS, block_rows: in
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
         for rows in batches:
             for k in range(rows.num_rows):
                 same, x, y = (rows.column(c)[k].as_py() for c in range(3))
                 a, b = Block(**{n: x[n] for n in x}), None if same else Block(**{n: y[n] for n in y})
-                if thin:
-                    yield batch(*thinned(a, b, radius))
-                    continue
-                for i, j, _ in near_pairs(a, b, radius):
-                    yield batch(a.ids[i], (a if b is None else b).ids[j])
+                if whole or thin:
+                    left, right = (joining if whole else thinned)(a, b, radius)
+                else:
+                    every = [(a.ids[i], (a if b is None else b).ids[j]) for i, j, _ in near_pairs(a, b, radius)]
+                    left, right = (np.concatenate([np.zeros(0, np.int64), *ends]) for ends in ([x for x, _ in every], [y for _, y in every]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
 
     return work.select("same", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
 def linked_sets(docs: DataFrame, distinct: DataFrame, words: int = WORDS) -> DataFrame:
     """(id, root) of the sets (id, n, print, copy) that are linked with others: root is the least id reachable."""
-    tried = materialise(candidates(distinct.withColumn("label", F.col("id")), thin=True), "near-first")
+    tried = materialise(candidates(distinct.withColumn("label", F.col("id"))), "near-first")
     links = confirmed(docs, tried, distinct, words)
     roots = materialise(components(links, "near-components"), "near-roots").select(F.col("node").alias("id"), "root")
     refused = tried.join(links, ["a", "b"], "left_anti")
@@ -300,8 +333,8 @@ def linked_sets(docs: DataFrame, distinct: DataFrame, words: int = WORDS) -> Dat
     # a pair that was never tried lies between two components that refused candidates touch
     labelled = distinct.join(roots, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
     left = materialise(labelled.join(touched, "label", "left_semi"), "near-left")
-    more = materialise(candidates(left, thin=False).join(tried, ["a", "b"], "left_anti"), "near-second")
-    found = confirmed(docs, more, distinct, words)
+    held = materialise(whole_sets(docs, left.select("copy"), words), "near-sets")
+    found = materialise(candidates(left.join(held, "id")), "near-second")
     if found.isEmpty():
         return roots
     return materialise(components(links.unionByName(found), "near-components"), "near-roots").select(F.col("node").alias("id"), "root")
