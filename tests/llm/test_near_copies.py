@@ -128,3 +128,28 @@ def test_blocks_and_second_round_find_every_pair(spark, monkeypatch):
         if edges is near:
             want = parent
     assert parent == want
+
+
+def test_second_round_joins_what_confirmed_links_join(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(near_copies, "SUBTILE", 8)
+    sets = [rng.integers(0, 1 << 63, 100, dtype=np.uint64)]
+    for _ in range(59):
+        x = sets[rng.integers(0, len(sets))].copy()
+        x[rng.integers(0, len(x), 11)] = rng.integers(0, 1 << 63, 11, dtype=np.uint64)
+        sets.append(x)
+    sets = [np.unique(x) for x in sets]
+    rows = [(i, len(x), bytearray(near_copies.wide_fingerprint(x)), i // 2, bytearray(x.tobytes())) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "id long, n int, print binary, label long, held binary")
+    got = {tuple(r) for r in near_copies.candidates(df, block_hashes=900).collect()}
+    alike = {(i, j) for i in range(60) for j in range(i + 1, 60) if near_copies.alike(sets[i], sets[j])}
+    assert got and got <= alike
+
+    def roots(edges):
+        parent = list(range(60))
+        for _ in range(60):
+            for i, j in [*edges, *((i, i + 1) for i in range(0, 60, 2))]:
+                parent[i] = parent[j] = min(parent[i], parent[j])
+        return parent
+
+    assert roots(got) == roots(alike)
