@@ -74,8 +74,9 @@ def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
 
 
 def order_code(c: Column) -> Column:
-    """A number that orders strings by their first seven bytes."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long"), F.lit(0).cast("long"))
+    """A number that orders strings by their first four bytes and tells those that share them apart by a hash of the whole."""
+    head = F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 4)), 8, "0"), 16, 10).cast("long")
+    return F.coalesce(head * (1 << 24) + F.pmod(F.xxhash64(c), F.lit(1 << 24)), F.lit(0).cast("long"))
 
 
 def quantise(df: DataFrame, dims: dict[str, str], bits: int = BITS) -> DataFrame:
