@@ -61,3 +61,17 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(
         F.get(f, 0).alias("text"), F.from_json(F.get(f, 1), "array<string>").alias("gold"), F.from_json(F.get(f, 2), "array<string>").alias("pred")
     )
+
+
+def write_result_info(summary: DataFrame, path: str) -> None:
+    """The figures of a run, one JSON object a row."""
+    summary.write.mode("overwrite").json(path)
+
+
+def write_candidates(candidates: DataFrame, path: str) -> None:
+    """Candidates with their features, to be ranked again without linking and matching."""
+    candidates.write.mode("overwrite").parquet(path)
+
+
+def read_candidates(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
