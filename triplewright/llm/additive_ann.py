@@ -13,7 +13,7 @@ all that any answer can need of them, so a vector shared by a third of all rows
 costs one entry. Query vectors meet vectors in blocks of fixed size: a pair of
 blocks moves their vectors once and makes ``QUERY_ROWS * BLOCK_ROWS`` scores from
 them. The share that is reranked, ``RERANK`` of ``BLOCK_ROWS``, is the same at
-every size, so recall does not fall as the table grows.
+every size; recall depends on how well the sampled codebooks fit the other rows.
 
 Fitted on at most ``SAMPLE`` vectors; every row is indexed.
 
@@ -40,7 +40,7 @@ CODEBOOKS = 8
 CODEWORDS = 256
 BEAM = 4
 SAMPLE = 8192
-RERANK = 192
+RERANK = 448
 BLOCK_ROWS = 4096
 QUERY_ROWS = 4096
 NEIGHBOURS = 20
