@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from triplewright.llm import additive_ann, bpe, ctph, feistel, hdlang, hilbert, packing, pii, simhash, toxicity
+from triplewright.llm import additive_ann, bpe, centroids, ctph, feistel, hdlang, hilbert, packing, pii, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weak_pii": pii.op1_weak_pii,
@@ -20,7 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash.op8_simhash,
     "op9_additive_ann": additive_ann.op9_additive_ann,
     "op10_hd_language": hdlang.op10_hd_language,
+    "op13_centroids": centroids.op13_centroids,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_centroids": centroids.ORACLE}
