@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline
-from triplewright.llm import additive_ann, alignment, bpe, ctph, feistel, hdlang, hilbert, packing, pii, simhash, toxicity
+from triplewright.llm import additive_ann, alignment, bpe, ctph, feistel, hdlang, hilbert, ngram_join, packing, pii, simhash, toxicity
 
 ROWS = 12
 
@@ -22,6 +22,7 @@ OPERATORS = {
     "hilbert": lambda d, s: hilbert.hilbert_shards(d),
     "bpe": lambda d, s: bpe.digests(bpe.encoded(d)),
     "simhash": lambda d, s: simhash.near_duplicate_classes(d),
+    "ngram_join": lambda d, s: ngram_join.similar_classes(d),
     "alignment": lambda d, s: alignment.align_documents(d),
     "language": lambda d, s: hdlang.identify(d, *hdlang.train_profiles(d)),
 }

@@ -59,7 +59,7 @@ def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, words), np.uint64))
 
 
-def _set_id(x: np.ndarray) -> int:
+def set_id(x: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63)
 
 
@@ -110,7 +110,7 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
             ids, sizes, prints = [], [], []
             for t in b.column(3).to_pylist():
                 x = shingle_set(t, words)
-                ids.append(_set_id(x))
+                ids.append(set_id(x))
                 sizes.append(len(x))
                 prints.append(wide_fingerprint(x))
             found = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.binary())]
@@ -126,7 +126,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFr
         for b in slices(batches, 128):
             sets = [shingle_set(t, words) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "held"]
+                [pa.array([set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "held"]
             )
 
     texts = _texts(docs).join(wanted, "copy", "left_semi").dropDuplicates(["copy"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from triplewright.llm import additive_ann, alignment, bpe, centroids, ctph, feistel, hdlang, hilbert, packing, pii, simhash, toxicity
+from triplewright.llm import additive_ann, alignment, bpe, centroids, ctph, feistel, hdlang, hilbert, ngram_join, packing, pii, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weak_pii": pii.op1_weak_pii,
@@ -20,9 +20,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash.op8_simhash,
     "op9_additive_ann": additive_ann.op9_additive_ann,
     "op10_hd_language": hdlang.op10_hd_language,
+    "op11_ngram_join": ngram_join.op11_ngram_join,
     "op12_token_alignment": alignment.op12_token_alignment,
     "op13_centroids": centroids.op13_centroids,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op13_centroids": centroids.ORACLE}
+ORACLES: dict[str, str] = {"op11_ngram_join": ngram_join.ORACLE, "op13_centroids": centroids.ORACLE}
