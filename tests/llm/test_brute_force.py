@@ -306,6 +306,41 @@ def test_ann_recall(spark):
     assert hit / (150 * 20) >= 0.9
 
 
+@pytest.mark.parametrize("large", [1e20, 1e39, 1e200])
+def test_ann_recall_beside_a_large_vector(spark, large):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4000, 32))
+    x[3, 5] = large
+    x[8] = 1e-200 * x[8]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in additive_ann.search(df, rerank=400).collect():  # a tenth of the one block
+        got.setdefault(r["query_id"], set()).add((r["vec_id"], r["score"]))
+    hit = 0
+    for q in range(0, 4000, 20):
+        score = x @ x[q]
+        order = [i for i in np.lexsort((np.arange(4000), -score)) if i != q][:20]
+        hit += len(set(order) & {v for v, _ in got[q]})
+        assert all(np.isclose(score[v], s, rtol=1e-9) for v, s in got[q]) and len(got[q]) == 20
+    assert hit / (200 * 20) >= 0.9
+
+
+def test_ann_answers_are_merged_in_levels(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    x = rng.integers(-3, 4, size=(600, 8)).astype(float)  # many ties
+    x[0] = 1
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").where("vec_id != 60")
+    monkeypatch.setattr(additive_ann, "_MERGED", 3)
+    found = additive_ann.search(df, k=5, block_rows=20, rerank=20).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    usable = [i for i in range(600) if i != 60 and x[i].any()]
+    assert sorted(got) == [q for q in usable if q % 20 == 0]
+    for q, rows in got.items():
+        assert rows == sorted(((i, float(x[i] @ x[q])) for i in usable if i != q), key=lambda r: (-r[1], r[0]))[:5]
+
+
 def test_language(spark):
     rows = [r for r in hdlang.op10_hd_language(spark, SF).collect()]
     langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by additive quantisation.
 
-A vector is approximated by a sum of one full-dimensional codeword from each
-codebook. Codebooks start from k-means on residuals and are refitted by least
-squares; encoding is a beam search over the codebooks in turn. The norm of each
-vector is stored with its codes, and the approximation is scaled to it. A query
+A vector is divided by its norm (by its largest component first, so that no
+finite vector overflows) and approximated by a sum of one full-dimensional
+codeword from each codebook. Codebooks start from k-means on residuals and are
+refitted by least squares; encoding is a beam search over the codebooks in turn.
+The norm of each vector is stored with its codes, in double precision, and the
+approximation is scaled to it. A query
 builds one table of inner products per codebook; a block of codes is scored by
 looking its codes up and adding, and the best ``RERANK`` of a block are scored
 again exactly, in double precision, on the original vectors.
@@ -21,7 +23,8 @@ Defined results: vectors that are null, zero or hold null or non-finite
 components take no part, nor do ids that are null or vectors of another length
 than the most common; ties go to the smaller id; repeated rows count as rows of
 their own; fewer candidates than ``k`` give all of them; an empty table gives
-an empty result; other columns of the input are ignored.
+an empty result; other columns of the input are ignored. An inner product that
+overflows a double is infinite, and one that is no number counts as the least.
 """
 
 from __future__ import annotations
@@ -36,14 +39,23 @@ from pyspark.sql import functions as F
 
 from triplewright.llm.common import materialise, read
 
-CODEBOOKS = 8
+CODEBOOKS = 12
 CODEWORDS = 256
 BEAM = 4
 SAMPLE = 8192
-RERANK = 448
+RERANK = 320
 BLOCK_ROWS = 4096
 QUERY_ROWS = 4096
 NEIGHBOURS = 20
+_MERGED = 64  # answers of a question that are merged at once
+
+
+def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length 1, and a 1,024th of each row's norm, which a double holds whatever the finite components are."""
+    scale = np.abs(x).max(axis=1)
+    y = x / scale[:, None]
+    length = np.sqrt((y * y).sum(axis=1))
+    return y / length[:, None], scale / 1024 * length
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -137,7 +149,9 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
 
     parts = rows.mapInArrow(merge, "vec binary, ids array<long>, asked boolean")
     ids = F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep)
-    return parts.groupBy("vec").agg(ids.alias("ids"), F.max("asked").alias("asked"))
+    # in two steps, so that no row gathers the lists of all tasks
+    some = parts.groupBy("vec", F.pmod(F.spark_partition_id(), F.lit(1024)).alias("of")).agg(ids.alias("ids"), F.max("asked").alias("asked"))
+    return some.groupBy("vec").agg(ids.alias("ids"), F.max("asked").alias("asked"))
 
 
 def fit_sample(distinct: DataFrame, total: int, sample: int = SAMPLE, **kwargs) -> np.ndarray:
@@ -147,23 +161,26 @@ def fit_sample(distinct: DataFrame, total: int, sample: int = SAMPLE, **kwargs)
     bound = min(1 << 48, -(-12 * sample * (1 << 48) // (10 * max(total, 1))))
     chosen = distinct.select("vec", place.alias("place")).where(F.col("place") < F.lit(bound)).orderBy("place", "vec").limit(sample)
     x = np.stack([np.frombuffer(r["vec"], "<f8") for r in chosen.collect()])
-    return fit(x, **kwargs)
+    return fit(unit(x)[0], **kwargs)
 
 
 def search_block(
     queries: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, rerank: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """For each query: rows of the block chosen by table look-up, and their exact inner products."""
-    table = np.einsum("qd,mkd->mqk", queries.astype(np.float32), books)
-    rough = np.zeros((len(queries), len(vectors)), np.float32)
+    # the length of a query changes no order
+    table = np.einsum("qd,mkd->mqk", unit(queries)[0].astype(np.float32), books)
+    near = np.zeros((len(queries), len(vectors)), np.float32)
     for m in range(len(books)):
-        rough += table[m][:, codes[:, m]]
-    rough *= norms
+        near += table[m][:, codes[:, m]]
+    rough = near * norms
     if rerank < len(vectors):
         rows = np.argpartition(-rough, rerank - 1, axis=1)[:, :rerank]
     else:
         rows = np.tile(np.arange(len(vectors)), (len(queries), 1))
-    return rows, np.einsum("qd,qrd->qr", queries, vectors[rows])
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = np.einsum("qd,qrd->qr", queries, vectors[rows])
+    return rows, np.where(np.isnan(score), -np.inf, score)
 
 
 def search(
@@ -186,17 +203,18 @@ def search(
 
     def index(group: pd.DataFrame) -> pd.DataFrame:
         x = np.stack([np.frombuffer(v, "<f8") for v in group["vec"]])
-        codes = encode(x, books)
+        direction, length = unit(x)
+        codes = encode(direction, books)
         near = sum(books[m][codes[:, m]] for m in range(len(books)))
         # the stored factor brings the approximation to the norm of the vector
-        norms = np.linalg.norm(x, axis=1) / np.maximum(np.linalg.norm(near, axis=1), 1e-12)
+        norms = length / np.maximum(np.linalg.norm(near, axis=1), 1e-12)
         ids = [np.asarray(i, "<i8") for i in group["ids"]]
         return pd.DataFrame(
             {
                 "block": [group["block"].iloc[0]],
                 "vecs": [x.tobytes()],
                 "codes": [codes.tobytes()],
-                "norms": [norms.astype("<f4").tobytes()],
+                "norms": [norms.astype("<f8").tobytes()],
                 "ids": [np.concatenate(ids).tobytes()],
                 "sizes": [np.array([len(i) for i in ids], "<i8").tobytes()],
             }
@@ -225,9 +243,9 @@ def search(
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for q, n, vecs, codes, norms, ids, sizes in zip(*(b.column(c).to_pylist() for c in range(7)), strict=True):
+            for block, q, n, vecs, codes, norms, ids, sizes in zip(*(b.column(c).to_pylist() for c in range(8)), strict=True):
                 queries = np.frombuffer(q, "<f8").reshape(n, -1)
-                norm = np.frombuffer(norms, "<f4")
+                norm = np.frombuffer(norms, "<f8")
                 x = np.frombuffer(vecs, "<f8").reshape(len(norm), -1)
                 member, size = np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<i8")
                 start = np.cumsum(size) - size
@@ -242,16 +260,21 @@ def search(
                         near.append([{"far": f, "id": i} for f, i in sorted(pairs)[: k + 1]])
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array([block] * n, pa.int64()),
                         pa.array([queries[i].tobytes() for i in range(n)], pa.binary()),
                         pa.array(near, pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())]))),
                     ],
-                    names=["vec", "near"],
+                    names=["block", "vec", "near"],
                 )
 
-    found = work.select("questions", "n", "vecs", "codes", "norms", "ids", "sizes").mapInArrow(
-        answer, "vec binary, near array<struct<far: double, id: long>>"
+    found = work.select("block", "questions", "n", "vecs", "codes", "norms", "ids", "sizes").mapInArrow(
+        answer, "block long, vec binary, near array<struct<far: double, id: long>>"
     )
     best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1)
+    # some blocks' answers at a time, so that no row gathers those of all blocks
+    while blocks > _MERGED:
+        found = found.groupBy("vec", F.expr(f"block div {_MERGED}").alias("block")).agg(best.alias("near"))
+        blocks = -(-blocks // _MERGED)
     best = materialise(found.groupBy("vec").agg(best.alias("near")), "ann-answers")
     asking = query_rows_of(rows)
     own = asking.join(best, "vec").select("query_id", F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k).alias("near"))
