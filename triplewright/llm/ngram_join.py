@@ -320,8 +320,8 @@ def searched_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> Dat
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sets, pa.binary())], names=[*columns, "held"])
 
     texts = docs.select(F.xxhash64(_text()).alias("copy"), _text().alias("text"))
-    # one text of each copy, and only of those that are wanted
-    texts = texts.join(wanted.select("copy"), "copy", "left_semi").dropDuplicates(["copy"])
+    # one text of each copy, each task keeping one of its own before they are moved, and of these the wanted ones
+    texts = texts.dropDuplicates(["copy"])
     schema = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in columns)
     return texts.join(wanted, "copy").select(*columns, "text").mapInArrow(run, f"{schema}, held binary")
 
