@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from triplewright.llm import near_copies
@@ -109,12 +110,14 @@ def test_blocks_and_second_round_find_every_pair(spark, monkeypatch):
         sets.append(x if rng.random() < 0.7 else rng.integers(0, 1 << 63, int(rng.integers(80, 120)), dtype=np.uint64))
     sets = [np.unique(x) for x in sets]
     prints = [np.frombuffer(near_copies.wide_fingerprint(x), np.uint64) for x in sets]
-    near = {
-        (i, j)
-        for i in range(100)
-        for j in range(i + 1, 100)
-        if np.bitwise_count(prints[i] ^ prints[j]).sum() <= near_copies.RADIUS and 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j]))
-    }
+    whole, first = near_copies.radii()
+
+    def within(i, j):
+        m, n = sorted((len(sets[i]), len(sets[j])))
+        apart = np.bitwise_count(prints[i] ^ prints[j])
+        return apart.sum() <= whole[min(m, 64)] and apart[0] <= first[min(m, 64)] and 5 * m >= 4 * n
+
+    near = {(i, j) for i in range(100) for j in range(i + 1, 100) if within(i, j)}
     rows = [(i, len(x), bytearray(p.tobytes()), i) for i, (x, p) in enumerate(zip(sets, prints, strict=True))]
     df = spark.createDataFrame(rows, "id long, n int, print binary, label long")
     assert {tuple(r) for r in near_copies.candidates(df, thin=False, block_rows=7).collect()} == near
@@ -153,3 +156,45 @@ def test_second_round_joins_what_confirmed_links_join(spark, monkeypatch):
         return parent
 
     assert roots(got) == roots(alike)
+
+
+@pytest.mark.parametrize("small, large", [(4, 5), (5, 6), (8, 10), (12, 15), (31, 38), (64, 80), (150, 187)])
+def test_short_and_long_sets_that_are_just_alike_are_compared(small, large):
+    rng = np.random.default_rng(small)
+    missed, tries = 0, 500
+    for _ in range(tries):
+        y = np.unique(rng.integers(0, 1 << 63, large, dtype=np.uint64))
+        x = np.sort(rng.permutation(y)[:small])
+        assert near_copies.alike(x, y)
+        rows = [(i, len(s), near_copies.wide_fingerprint(s)) for i, s in enumerate((x, y))]
+        ids, sizes = np.array([r[0] for r in rows], np.int64).tobytes(), np.array([r[1] for r in rows], np.int32).tobytes()
+        missed += not list(near_copies.near_pairs(near_copies.Block(ids, sizes, b"".join(r[2] for r in rows), ids), None))
+    assert missed == 0
+
+
+def test_chance_of_a_bit_by_counting():
+    for both, left, right in [(4, 0, 1), (3, 1, 0), (5, 1, 1), (0, 2, 3), (6, 2, 1)]:
+        n, total = both + left + right, 0
+        for bits in range(1 << n):
+            at = [bits >> k & 1 for k in range(n)]
+            a, b = at[: both + left], at[:both] + at[both + left :]
+            total += (2 * sum(a) > len(a)) != (2 * sum(b) > len(b))
+        assert abs(near_copies.bit_differs(both, left, right) - total / (1 << n)) < 1e-12
+
+
+def test_stage_keeps_one_of_each_pair_of_short_texts(spark):
+    # eight words and the same with one more: 4 and 5 shingles
+    rnd = random.Random(9)
+    texts = []
+    for _ in range(400):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(9)]
+        texts += [" ".join(words[:8]), " ".join(words)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_copies.keep_one_of_each(docs).collect()) == list(range(0, 800, 2))
+
+
+def test_rows_that_differ_in_a_map(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, text, {"a": k, "b": 0}) for k in (3, 1, 2)]
+    kept = [near_copies.keep_one_of_each(spark.createDataFrame(order, "doc_id long, text string, m map<string,int>")).collect() for order in (rows, rows[::-1])]
+    assert len(kept[0]) == 1 and kept[0] == kept[1]

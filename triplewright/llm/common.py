@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,29 +19,48 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_LOCAL_DIRS: dict[str, str] = {}  # by application
+_WRITTEN: list[list[str]] = []  # folders of the scopes that are open
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where the session names none, one in the warehouse.
+    """The folder in ``spark.checkpoint.dir``; where a cluster's session names none, one in a warehouse that all machines see.
 
-    A local session without either, as in tests, gets a temporary folder: there driver and tasks share the machine.
+    A local session without the setting, as in tests, gets a temporary folder: there driver and tasks share the machine.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if spark.conf.get("spark.master", "local").startswith("local"):
-            path = "file://" + tempfile.mkdtemp(prefix="triplewright-")
-        else:
-            path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_triplewright"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
+    if path:
+        return path.rstrip("/")
+    if spark.conf.get("spark.master", "local").startswith("local"):
+        return _LOCAL_DIRS.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="triplewright-"))
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if ":" not in warehouse or warehouse.startswith("file:"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return warehouse.rstrip("/") + "/_triplewright"
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage; ``keep`` it after ``temporary_tables``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/triplewright/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _WRITTEN and not keep:
+        _WRITTEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised inside, but for those to keep, are deleted at the end; nothing that reads them may be used after it."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        for path in _WRITTEN.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches a few rows at a time, so that a task holds few texts as Python values."""
     for b in batches:
@@ -87,4 +107,4 @@ def fold(doc_id: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-__all__ = ["Window", "fold", "materialise", "ordered_slots", "partitions", "read", "shared_dir", "slices"]
+__all__ = ["Window", "fold", "materialise", "ordered_slots", "partitions", "read", "shared_dir", "slices", "temporary_tables"]

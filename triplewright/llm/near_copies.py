@@ -15,10 +15,14 @@ its candidates, nearest first; these are confirmed, and only between components
 that a refused candidate touches are all pairs of fingerprints looked at in a
 second round. There blocks carry the whole sets, so that a task confirms its
 pairs itself and returns only links that join components. So each pair within the radius is confirmed or
-joined by confirmed links. The radius is the one part that can miss: two sets
-with a similarity of exactly 0.8 differ in 39 of 256 bits on average with a
-standard deviation of 5.7, and ``RADIUS`` is three deviations above that; for
-more similar sets the chance of a miss falls fast.
+joined by confirmed links. The radius is the one part that can miss. It comes
+from the exact law of the majority bits: for every way in which a set of a given
+size can be alike with one as large or larger, the chance that a bit differs is
+summed over what the shared shingles can add up to, and the radius of that size
+is the number of bits that the least favourable pair exceeds with a chance of
+``MISSED`` at most (so is the number for the first lane, which is looked at first
+and saves work on the others). Small sets differ in more bits (a set of 4 and one
+of 5 that holds it in 48 on average) than large ones (39 at a similarity of 0.8).
 
 Defined results: a null text is empty; texts without words are one class;
 repeated rows get the same class; rows without an id belong to the classes of
@@ -30,6 +34,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,8 +49,9 @@ from triplewright.llm.simhash import components, shingle_hashes
 WORDS = 5
 LEAST = (4, 5)
 LANES = 4  # 64-bit words of a fingerprint
-RADIUS = 56  # bits of 256
-FIRST = 25  # bits of the first lane: five deviations above the mean at the least similarity, so it only saves work on the others
+MISSED = 1e-4  # chance that two sets which are only just alike are further apart than the radius
+MISSED_FIRST = 1e-5  # the same for the first lane alone
+_EXACT_SIZES = 64  # radii of larger sets are the one of this size: the chances hardly change beyond it
 BLOCK_ROWS = 1 << 15
 BLOCK_HASHES = 1 << 21  # shingle hashes of a block in the second round (16 MB), or one set
 SUBTILE = 256
@@ -91,11 +97,59 @@ def wide_fingerprint(x: np.ndarray) -> bytes:
     return np.packbits(counts * 2 > len(x), bitorder="little").tobytes()
 
 
+@lru_cache(maxsize=1 << 14)
+def _one_of(k: int) -> np.ndarray:
+    """Chances that k fair bits add up to 0 … k."""
+    return np.array([math.comb(k, i) for i in range(k + 1)], float) / 2.0**k
+
+
+def bit_differs(both: int, left: int, right: int) -> float:
+    """Chance that a majority bit differs between sets that share ``both`` hashes and have ``left`` and ``right`` of their own."""
+
+    def set_given(own: int) -> np.ndarray:
+        # a bit is set if more than half of both + own hashes have it
+        need = np.maximum(0, (both + own) // 2 + 1 - np.arange(both + 1))
+        above = np.append(np.cumsum(_one_of(own)[::-1])[::-1], 0.0)
+        return above[np.minimum(need, own + 1)]
+
+    a, b = set_given(left), set_given(right)
+    return float((_one_of(both) * (a * (1 - b) + b * (1 - a))).sum())
+
+
+def _exceeded(bits: int, p: float, chance: float) -> int:
+    """Least r for which more than r of ``bits`` differ with at most this chance."""
+    mass, tail = [math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(bits + 1)], 0.0
+    for r in range(bits, 0, -1):
+        tail += mass[r]
+        if tail > chance:
+            return r
+    return 0
+
+
+@lru_cache(maxsize=1)
+def radii() -> tuple[np.ndarray, np.ndarray]:
+    """Bits in which sets may differ, of all lanes and of the first, by the size of the smaller set (the last for all larger sizes)."""
+    p, q = LEAST
+    worst = np.zeros(_EXACT_SIZES + 1)
+    for n in range(1, _EXACT_SIZES + 1):
+        for both in range(-(-n * p // q), n + 1):
+            own = n - both
+            # the other set is as large or larger, and q * both >= p * (size of the union)
+            for more in range(own, both * q // p - n + 1):
+                worst[n] = max(worst[n], bit_differs(both, own, more))
+    # never less than for any larger size
+    worst = np.maximum.accumulate(worst[::-1])[::-1]
+    lanes = [(64 * LANES, MISSED), (64, MISSED_FIRST)]
+    whole, first = (np.array([_exceeded(bits, x, chance) for x in worst], np.int32) for bits, chance in lanes)
+    return whole, first
+
+
 def _keyed(docs: DataFrame) -> list[Column]:
     """Of each row: its id, a hash of its text by which the text is found again, and one of all its columns that tells rows apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    plain = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
-    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), F.xxhash64(*plain).alias("tie")]
+    # maps have no hash of their own
+    told = [F.to_json(F.struct(c)) if "map<" in docs.schema[c].dataType.simpleString() else F.col(c) for c in docs.columns]
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), F.xxhash64(*told).alias("tie")]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -194,19 +248,22 @@ class Block:
         return self.held[self.ends[k] - self.sizes[k] : self.ends[k]]
 
 
-def near_pairs(a: Block, b: Block | None, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places (i in a, j in b) of sets that can be alike and lie within the radius, and their distances, sub-tile by sub-tile."""
+def near_pairs(a: Block, b: Block | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places (i in a, j in b) of sets that can be alike and lie within the radius of their sizes, and their distances, sub-tile by sub-tile."""
     p, q = LEAST
+    whole, first = radii()
     same = b is None
     b = a if same else b
     for s in range(len(a.least)):
         sized = (b.least.astype(np.int64) * p <= int(a.most[s]) * q) & (int(a.least[s]) * p <= b.most.astype(np.int64) * q)
         gap = np.maximum(0, np.maximum(b.low - a.high[s], a.low[s] - b.high)).sum(axis=1)
-        for t in np.flatnonzero(sized & (gap <= radius)):
+        # radii fall with the size, so those of the least size hold for the whole sub-tile
+        least = np.minimum(np.minimum(b.least, a.least[s]), _EXACT_SIZES)
+        for t in np.flatnonzero(sized & (gap <= whole[least])):
             if same and t < s:
                 continue
             x, y = a.prints[s * SUBTILE : (s + 1) * SUBTILE], b.prints[t * SUBTILE : (t + 1) * SUBTILE]
-            i, j = np.nonzero(np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]) <= FIRST)
+            i, j = np.nonzero(np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]) <= first[least[t]])
             if same and s == t:
                 i, j = i[i < j], j[i < j]
             if not len(i):
@@ -214,18 +271,18 @@ def near_pairs(a: Block, b: Block | None, radius: int = RADIUS) -> Iterator[tupl
             d = np.bitwise_count(x[i] ^ y[j]).sum(axis=1, dtype=np.int32)
             i, j = i + s * SUBTILE, j + t * SUBTILE
             m, n = a.sizes[i].astype(np.int64), b.sizes[j].astype(np.int64)
-            ok = (d <= radius) & (np.minimum(m, n) * q >= np.maximum(m, n) * p) & (a.labels[i] != b.labels[j])
+            ok = (d <= whole[np.minimum(np.minimum(m, n), _EXACT_SIZES)]) & (np.minimum(m, n) * q >= np.maximum(m, n) * p) & (a.labels[i] != b.labels[j])
             if ok.any():
                 yield i[ok], j[ok], d[ok]
 
 
-def thinned(a: Block, b: Block | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def thinned(a: Block, b: Block | None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the ends of a minimum spanning forest of ``near_pairs``."""
     base = 0 if b is None else len(a.ids)
     nodes = len(a.ids) + (0 if b is None else len(b.ids))
     held = [np.zeros((3, 0), np.int64)]
     size = 0
-    for i, j, d in near_pairs(a, b, radius):
+    for i, j, d in near_pairs(a, b):
         if len(d) > 2 * SUBTILE:
             ends, places = np.unique(np.concatenate([i, j + base]), return_inverse=True)
             keep = forest(len(ends), places[: len(i)], places[len(i) :], d)
@@ -241,7 +298,7 @@ def thinned(a: Block, b: Block | None, radius: int = RADIUS) -> tuple[np.ndarray
     return a.ids[i], (a.ids if b is None else b.ids)[j - base]
 
 
-def joining(a: Block, b: Block | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def joining(a: Block, b: Block | None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the ends of links, confirmed on the whole sets, that join the labels of the blocks as far as links do."""
     other = a if b is None else b
     parent: dict[int, int] = {}
@@ -253,7 +310,7 @@ def joining(a: Block, b: Block | None, radius: int = RADIUS) -> tuple[np.ndarray
         return x
 
     found: list[tuple[int, int]] = []
-    for i, j, d in near_pairs(a, b, radius):
+    for i, j, d in near_pairs(a, b):
         for k in np.argsort(d, kind="stable"):
             x, y = root(int(a.labels[i[k]])), root(int(other.labels[j[k]]))
             if x != y and alike(a.whole(i[k]), other.whole(j[k])):
@@ -263,7 +320,7 @@ def joining(a: Block, b: Block | None, radius: int = RADIUS) -> tuple[np.ndarray
     return ends[:, 0], ends[:, 1]
 
 
-def candidates(sets: DataFrame, thin: bool = True, radius: int = RADIUS, block_rows: int = BLOCK_ROWS, block_hashes: int = BLOCK_HASHES) -> DataFrame:
+def candidates(sets: DataFrame, thin: bool = True, block_rows: int = BLOCK_ROWS, block_hashes: int = BLOCK_HASHES) -> DataFrame:
     """Pairs (a, b), a < b, of sets (id, n, print, label) within the radius and with different labels.
 
     ``thin``: only a spanning forest for each pair of blocks (otherwise every pair, for small tables). Where ``sets`` has the
@@ -309,9 +366,9 @@ def candidates(sets: DataFrame, thin: bool = True, radius: int = RADIUS, block_r
                 same, x, y = (rows.column(c)[k].as_py() for c in range(3))
                 a, b = Block(**{n: x[n] for n in x}), None if same else Block(**{n: y[n] for n in y})
                 if whole or thin:
-                    left, right = (joining if whole else thinned)(a, b, radius)
+                    left, right = (joining if whole else thinned)(a, b)
                 else:
-                    every = [(a.ids[i], (a if b is None else b).ids[j]) for i, j, _ in near_pairs(a, b, radius)]
+                    every = [(a.ids[i], (a if b is None else b).ids[j]) for i, j, _ in near_pairs(a, b)]
                     left, right = (np.concatenate([np.zeros(0, np.int64), *ends]) for ends in ([x for x, _ in every], [y for _, y in every]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
 
