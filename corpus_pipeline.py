@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from triplewright.llm import hdlang, near_copies, packing, pii, toxicity
-from triplewright.llm.common import materialise, read
+from triplewright.llm.common import materialise, read, temporary_tables
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's table. What a stage writes for itself is deleted when the stage has been written."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with temporary_tables(spark):
+            docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return docs
