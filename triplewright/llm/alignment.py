@@ -38,16 +38,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplewright.llm.common import materialise, read
+from triplewright.llm.common import materialise, read, slices
 from triplewright.llm.tokens import SettledEncoder, byte_ranks, doc_texts, joined_encoder
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 PIECE_TOKENIZER = "piece_bpe_32k.model"
-BUCKET_PAIRS = 1 << 16  # different id pairs of a bucket, about
-PIECE_PAIRS = 1 << 21  # pairs of documents that a task holds at once (48 MB)
-_BYTES_AT_ONCE = 1 << 20  # of texts, or one text
-_LINKS_AT_ONCE = 1 << 20
-_HELD = 1 << 20  # different pairs that a counting task holds
+BUCKET_PAIRS = 1 << 15  # different id pairs of a bucket, about
+PIECE_PAIRS = 1 << 19  # pairs of documents that a task holds at once (12 MB)
+_TEXT_AT_ONCE = 1 << 19  # letters of texts, or one text
+_LINKS_AT_ONCE = 1 << 19
+_HELD = 1 << 19  # pairs that a task gathers before it counts or sends them
 
 
 class Tokenizers:
@@ -107,7 +107,9 @@ def tokenizers(byte_path: str, piece_path: str) -> Tokenizers:
 
 def groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First A token, A tokens, first B token and B tokens of each group, from the ascending end offsets of both sides."""
-    ends = np.union1d(ends_a, ends_b)  # one elementary interval, and one overlap, before each
+    # the union of both arrays (as union1d gives it, but a stable sort merges what is in order): an elementary interval ends at each
+    ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+    ends = ends[np.diff(ends, prepend=-1) != 0]
     own_a, own_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
     closed = np.flatnonzero((ends_a[own_a] == ends) & (ends_b[own_b] == ends)) if len(ends) else np.zeros(0, np.int64)
     opened = np.concatenate([[0], closed[:-1] + 1]) if len(closed) else closed
@@ -200,12 +202,12 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizers(byte_path, piece_path)
-        for b in batches:
+        for b in slices(batches, 256):
             texts = [x or "" for x in b.column(1).to_pylist()]
             sizes = np.cumsum([len(x) for x in texts])
             start = 0
             while start < len(texts):
-                stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + _BYTES_AT_ONCE, side="right")))
+                stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + _TEXT_AT_ONCE, side="right")))
                 counts, doc, pair, links = align(texts[start:stop], t)
                 at = np.searchsorted(doc, np.arange(stop - start + 1))
                 cuts = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
@@ -263,7 +265,7 @@ def document_sums(table: DataFrame, counts: DataFrame, size_b: int, bucket_pairs
     spark = table.sparkSession
     buckets = max(1, -(-counts.count() // bucket_pairs))
     bucket = F.pmod(F.xxhash64("a"), F.lit(buckets)).cast("int")
-    # one row a bucket, and a bucket for each 65,536 different pairs: a product of two vocabularies bounds them
+    # one row a bucket, and a bucket for each 32,768 different pairs: a product of two vocabularies bounds them
     salts = counts.groupBy(bucket.alias("bucket")).agg(F.ceil(F.sum("docs") / piece_pairs).cast("int").alias("salts")).collect()
     of_bucket = {r["bucket"]: r["salts"] for r in salts}
     salted = spark.createDataFrame([(b, s) for b, s in of_bucket.items()] or [(0, 1)], "bucket int, salts int")
