@@ -15,17 +15,53 @@ CONTENT_TAGS = ["NN", "NNS", "VB", "VBD", "VBN", "VBZ", "CD", "NNP", "JJ", "VBP"
 SPAN_TAGS = r"^(UH|\.|TO|PRP.?|#|FW|IN|VB.?|RB|CC|HYPH|WP|XX|NNP.?|NN.?|JJ.?|CD|DT|MD|POS)+$"
 
 
-def spans(questions: DataFrame, tokens: str = "tokens", longest: int = 8) -> DataFrame:
-    """(q_id, tok_start, tok_end, span): every run of up to ``longest`` tokens; the end is exclusive."""
+def spans(questions: DataFrame, tokens: str = "tokens", longest: int = 8, reach: int | None = None) -> DataFrame:
+    """(q_id, tok_start, tok_end, span): every run of up to ``longest`` tokens; the end is exclusive.
+
+    With ``reach``, the letters of the longest known surface (see ``longest_surface``), runs end by their normalised letters
+    and not by their tokens: no name is too long.
+    """
     n = F.size(tokens)
-    start = questions.where(n > 0).select("q_id", tokens, F.explode(F.sequence(F.lit(0), n - 1)).alias("tok_start"))
-    last = F.least(F.size(tokens), F.col("tok_start") + longest)
+    found = questions.where(n > 0)
+    if reach is None:
+        last = F.least(F.size(tokens), F.col("tok_start") + longest)
+    else:
+        # letters up to each token; a run that starts behind a token goes on while it has no more than ``reach``
+        letters = F.transform(tokens, lambda t: F.length(normalise_name(t)))
+        upto = F.transform(letters, lambda _, i: F.aggregate(F.slice(letters, 1, i + 1), F.lit(0), lambda s, x: s + x))
+        found = found.withColumn("__upto", upto)
+        before = F.when(F.col("tok_start") > 0, F.get("__upto", F.col("tok_start") - 1)).otherwise(0)
+        last = F.greatest(F.col("tok_start") + 1, F.size(F.filter("__upto", lambda x: x <= before + reach)))
+    start = found.withColumn("tok_start", F.explode(F.sequence(F.lit(0), n - 1)))
     end = start.withColumn("tok_end", F.explode(F.sequence(F.col("tok_start") + 1, last)))
     return end.select(
         "q_id", "tok_start", "tok_end", F.array_join(F.slice(tokens, F.col("tok_start") + 1, F.col("tok_end") - F.col("tok_start")), " ").alias("span")
     )
 
 
+def longest_surface(surfaces: DataFrame) -> int:
+    """Letters of the longest surface: the one bound that spans need."""
+    return surfaces.agg(F.max(F.length("surface"))).first()[0] or 0
+
+
+def link_mentions(questions: DataFrame, surfaces: DataFrame, most: int = 3, least: float = 0.1) -> DataFrame:
+    """(q_id, m_id, entity, name, tok_start, tok_end, surface_score, popularity, perfect): the mentions of questions (q_id, text, tokens).
+
+    ``tokens`` are (lemma, tag) of the words of ``text`` between spaces. Runs of tokens that may name an entity meet the ``most``
+    first entities of their surface; a question none of whose mentions reaches the threshold keeps those over half of it.
+    """
+    worded = questions.select("q_id", "tokens", F.split("text", " ").alias("words"))
+    runs = spans(worded, "words", reach=longest_surface(surfaces))
+    best = top_per_span(surfaces, ["surface"], [F.desc("score"), F.asc("id")], most).drop("place")
+    found = candidates_for(runs, best).join(questions.select("q_id", "tokens"), "q_id")
+    valid = is_entity_occurrence(F.col("tokens"), F.col("tok_start"), F.col("tok_end"))
+    kept = strict_or_lax(found.withColumn("valid", valid).drop("tokens"), least)
+    m_id = F.row_number().over(Window.partitionBy("q_id").orderBy("tok_start", "tok_end", "id"))
+    return kept.select(
+        "q_id", m_id.alias("m_id"), F.col("id").alias("entity"), "name", "tok_start", "tok_end", "surface_score", F.col("score").alias("popularity"), "perfect"
+    )
+
+
 def is_entity_occurrence(tokens: Column, start: Column, end: Column) -> Column:
     """Whether tokens (lemma, tag) from ``start`` to ``end`` may name an entity."""
     part = F.slice(tokens, start + 1, end - start)

@@ -136,6 +136,53 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumnRenamed("k", "q_id")
 
 
+# Words of the question templates with their lemmas and tags; all other words are names.
+LEXICON = {
+    "which": ("which", "WDT"), "when": ("when", "WRB"), "where": ("where", "WRB"), "did": ("do", "VBD"), "is": ("be", "VBZ"),
+    "send": ("send", "VB"), "order": ("order", "VB"), "parts": ("part", "NNS"), "to": ("to", "TO"), "from": ("from", "IN"),
+}
+#: (word and its part of speech, words derived from it)
+DERIVATIONS = [("send.v", "supplier"), ("order.v", "orders")]
+#: (relation, word, score): words that stand beside facts of a relation
+CONTEXT_WORDS = [("trade.order.part", "send", 0.25), ("trade.order.date", "order", 0.5), ("trade.order.supplier", "send", 0.125)]
+
+
+def trade_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(q_id, text, customer, supplier): a question for each customer that has ordered, most with a supplier of the first order as second name."""
+    orders, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    first = orders.join(line, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("c")).agg(F.min(F.struct("o_orderkey", "l_suppkey")).alias("f"))
+    named = (
+        first.select("c", F.col("f.l_suppkey").alias("s"))
+        .join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), "c_name"), "c")
+        .join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), "s_name"), "s")
+    )
+    text = (
+        F.when(F.col("c") % 3 == 0, F.concat(F.lit("which parts did "), "s_name", F.lit(" send to "), "c_name"))
+        .when(F.col("c") % 3 == 1, F.concat(F.lit("when did "), "c_name", F.lit(" order from "), "s_name"))
+        .otherwise(F.concat(F.lit("where is "), "c_name"))
+    )
+    return named.select(F.col("c").cast("long").alias("q_id"), text.alias("text"), node("customer", "c").alias("customer"), node("supplier", "s").alias("supplier"))
+
+
+def trade_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(q_id, target): what the tables say, line by line: parts that the supplier delivered, days on which it was ordered from, the nation."""
+    asked = trade_questions(spark, sf_dir).select("q_id", "supplier")
+    orders, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    lines = orders.join(line, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.select(F.col("o_custkey").cast("long").alias("q_id"), node("supplier", "l_suppkey").alias("supplier"), "o_orderdate", "l_partkey").where("q_id % 3 != 2")
+    answer = F.when(F.col("q_id") % 3 == 0, node("part", "l_partkey")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    traded = lines.join(asked, ["q_id", "supplier"]).select("q_id", answer.alias("target"))
+    lives = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("q_id"), node("nation", "c_nationkey").alias("target"))
+    return traded.unionByName(lives.where("q_id % 3 = 2").join(asked.select("q_id"), "q_id")).distinct()
+
+
+def tagged(questions: DataFrame) -> DataFrame:
+    """Add ``tokens``, the (lemma, tag) of each word between spaces, by the lexicon."""
+    entries = F.create_map(*[x for w, (lemma, tag) in LEXICON.items() for x in (F.lit(w), F.struct(F.lit(lemma).alias("lemma"), F.lit(tag).alias("tag")))])
+    name = lambda w: F.struct(F.lower(w).alias("lemma"), F.lit("NNP").alias("tag"))
+    return questions.withColumn("tokens", F.transform(F.split("text", " "), lambda w: F.coalesce(F.element_at(entries, F.lower(w)), name(w))))
+
+
 def reverses(spark: SparkSession) -> DataFrame:
     """(relation, reverse), both ways."""
     rows = [*REVERSES.items(), *((b, a) for a, b in REVERSES.items())]
