@@ -92,7 +92,7 @@ def literal_language(value: Column) -> Column:
 
 
 def url_to_id(url: Column, prefix: str = "www.freebase.com/") -> Column:
-    return F.translate(F.substring(url, len(prefix) + 1, 1_000_000), "/", ".")
+    return F.translate(F.substr(url, F.lit(len(prefix) + 1)), "/", ".")
 
 
 def derivation_key(lemma: Column, tag: Column) -> Column:

@@ -46,8 +46,12 @@ def match_by_context(relation_words_: DataFrame, tokens: DataFrame) -> DataFrame
 
 
 def normalised_word_scores(words: DataFrame, most: int = 1000) -> DataFrame:
-    """(relation, word, place, score): the first ``most`` words of a relation, scores as shares of their sum."""
-    kept = words.where(F.col("place") < most)
+    """(relation, word, place, score): the first ``most`` words (relation, word, score) of a relation, from place 0, scores as shares of their sum.
+
+    The limit is on the row number itself, so each task drops what cannot be among the first before words are moved.
+    """
+    nth = F.row_number().over(Window.partitionBy("relation").orderBy(F.desc("score"), "word"))
+    kept = words.withColumn("nth", nth).where(F.col("nth") <= most).withColumn("place", (F.col("nth") - 1).cast("long")).drop("nth")
     return kept.withColumn("score", F.col("score") / F.sum("score").over(Window.partitionBy("relation")))
 
 

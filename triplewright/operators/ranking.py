@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from triplewright.sources.staging import written
+
 
 def rank_by(candidates: DataFrame, order: list[Column], most: int | None = None) -> DataFrame:
     """Add ``rank`` inside each question; keep the first ``most``."""
@@ -17,6 +19,21 @@ def rank_by(candidates: DataFrame, order: list[Column], most: int | None = None)
     return ranked if most is None else ranked.where(F.col("rank") <= most)
 
 
+def first_in_order(df: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """The first ``most`` rows of an order that ties no rows, over as many tasks as the table needs.
+
+    Rows are dealt by ranges of the order and numbered inside their range; a range's first number is what stands before it,
+    one count for each range.
+    """
+    placed = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__part", before.alias("__before")).where(F.col("__before") < most)
+    kept = placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    return kept.where(F.col("__before") + place < most).drop("__at", "__part", "__before")
+
+
 def shuffled(key: str, seed: int) -> Column:
     """A fixed order that follows nothing in the data."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")

@@ -198,15 +198,19 @@ def candidate_graph_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @group.query(
     "mediated_index",
-    """select * from (values ('trade.customer.orders', 'trade.order.part', 'a b'), ('trade.part.orders', 'trade.order.customer', 'a b'),
-         ('trade.part.orders', 'trade.order.supplier', 'c'), ('trade.supplier.orders', 'trade.order.part', 'c'),
-         ('trade.customer.orders', 'trade.order.date', 'd')) t(key, target, words)""",
+    """with m as (select o_orderkey as k, 'trade.order.customer' as p from orders union select o_orderkey, 'trade.order.date' from orders
+         union select l_orderkey, 'trade.order.part' from lineitem union select l_orderkey, 'trade.order.supplier' from lineitem),
+       pairs as (select a.p as rel_a, b.p as rel_b, count(*) as words from m a join m b on a.k = b.k and a.p < b.p group by 1, 2),
+       back(relation, reverse) as (values ('trade.order.customer', 'trade.customer.orders'), ('trade.order.part', 'trade.part.orders'), ('trade.order.supplier', 'trade.supplier.orders'))
+       select reverse as key, rel_b as target, words from pairs join back on rel_a = relation union all select reverse, rel_a, words from pairs join back on rel_b = relation""",
 )
 def mediated_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.createDataFrame(
-        [("trade.order.customer", "trade.order.part", "a b"), ("trade.order.part", "trade.order.supplier", "c"), ("trade.order.customer", "trade.order.date", "d")],
-        "rel_a string, rel_b string, words string",
-    )
+    """Pairs of relations of the same mediators, by how many mediators have both, under the reverse of either."""
+    held = kb.triples(spark, sf_dir).where(F.col("s").startswith("orders:")).groupBy("s").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+    # mediators are grouped by their sets of relations before pairs are made
+    shapes = held.groupBy("ps").agg(F.count("*").alias("n"))
+    first = shapes.select("ps", "n", F.posexplode("ps").alias("i", "rel_a"))
+    pairs = first.select("rel_a", F.explode(F.slice("ps", F.col("i") + 2, F.size("ps"))).alias("rel_b"), "n").groupBy("rel_a", "rel_b").agg(F.sum("n").alias("words"))
     return matching.mediated_index(pairs, kb.reverses(spark))
 
 
@@ -234,10 +238,12 @@ def text_answer_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @group.query(
     "domain_relations",
-    """select * from (values ('geo.nation.customers', 1), ('geo.nation.suppliers', 1), ('geo.nation.region', 1), ('geo.region.nations', 1),
-         ('org.customer.nation', 1), ('org.supplier.nation', 1)) t(relation, wanted)""",
+    """with r as (select 'org.customer.nation' as p, count(*) as n from customer union all select 'geo.nation.customers', count(*) from customer
+         union all select 'org.supplier.nation', count(*) from supplier union all select 'geo.nation.suppliers', count(*) from supplier
+         union all select 'geo.nation.region', count(*) from nation union all select 'geo.region.nations', count(*) from nation)
+       select p as relation, n as facts from r where n > 0""",
 )
 def domain_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations of the geographic domain, or whose reverse is of it."""
-    back = F.broadcast(kb.reverses(spark))
-    return patterns.in_domains(kb.reverses(spark).select("relation"), ["geo"], back).select("relation", F.lit(1).alias("wanted"))
+    found = kb.triples(spark, sf_dir, reverse=True).groupBy(F.col("p").alias("relation")).agg(F.count("*").alias("facts"))
+    return patterns.in_domains(found, ["geo"], F.broadcast(kb.reverses(spark))).select("relation", "facts")

@@ -317,8 +317,7 @@ def embedding_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relation_word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = kb.table(spark, sf_dir, "documents").select(F.col("source").alias("relation"), F.explode(F.split(F.lower("text"), " ")).alias("word"))
     counts = words.groupBy("relation", "word").agg(F.count("*").cast("double").alias("score"))
-    at = (F.row_number().over(Window.partitionBy("relation").orderBy(F.desc("score"), "word")) - 1).cast("long")
-    return matching.normalised_word_scores(counts.withColumn("place", at), 50).withColumn("score", F.round("score", 9))
+    return matching.normalised_word_scores(counts, 50).withColumn("score", F.round("score", 9))
 
 
 _TYPES = """ty as (select p_brand as relation, case when p_size % 5 = 0 then 'base.' || p_type else p_type end as type, count(*) as n from part group by 1, 2),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplewright.functions.names import url_to_id
+from triplewright.sources.lines import numbered_lines
 
 NESTED = (
     "Questions array<struct<QuestionId:string,RawQuestion:string,ProcessedQuestion:string,Parses:array<struct<ParseId:string,"
@@ -16,11 +17,13 @@ NESTED = (
 
 def simple_questions(spark: SparkSession, path: str) -> DataFrame:
     """(q_id, text, gold, parse) of tab-separated subject, relation, object and question; the id is the line number from 0."""
-    lines = spark.read.text(path, wholetext=True)
-    rows = lines.select(F.posexplode(F.split(F.regexp_replace("value", r"\n+$", ""), "\n")).alias("q_id", "line"))
-    f = F.split("line", "\t")
+    rows = numbered_lines(spark, path)
+    # empty lines at the end of a file are no questions
+    last = rows.where("value != ''").groupBy("file").agg(F.max("line").alias("last"))
+    rows = rows.join(F.broadcast(last), "file").where("line <= last")
+    f = F.split("value", "\t")
     ids = [url_to_id(F.get(f, i)) for i in range(3)]
-    return rows.select(F.col("q_id").cast("string").alias("q_id"), F.trim(F.get(f, 3)).alias("text"), F.array(ids[2]).alias("gold"), F.array(*ids).alias("parse"))
+    return rows.select(F.col("line").cast("string").alias("q_id"), F.trim(F.get(f, 3)).alias("text"), F.array(ids[2]).alias("gold"), F.array(*ids).alias("parse"))
 
 
 def list_questions(spark: SparkSession, path: str) -> DataFrame:
@@ -45,7 +48,7 @@ def parsed_questions(spark: SparkSession, path: str) -> DataFrame:
         F.col("RawQuestion").alias("text"),
         F.transform("p.Answers", lambda a: a["AnswerArgument"]).alias("gold"),
         parse.alias("parse"),
-    ).orderBy("q_id", "interp")
+    )
 
 
 READERS = {"tsv": simple_questions, "list": list_questions, "parsed": parsed_questions}

@@ -94,7 +94,7 @@ def entity_list(spark: SparkSession, path: str) -> DataFrame:
     """Lines of any width: id, name, popularity and then aliases."""
     f = F.split("value", "\t")
     return spark.read.text(path).select(
-        F.get(f, 0).alias("mid"), F.get(f, 1).alias("name"), F.get(f, 2).cast("int").alias("score"), F.slice(f, 4, 100_000).alias("aliases")
+        F.get(f, 0).alias("mid"), F.get(f, 1).alias("name"), F.get(f, 2).cast("int").alias("score"), F.slice(f, F.lit(4), F.greatest(F.size(f) - 3, F.lit(0))).alias("aliases")
     )
 
 
