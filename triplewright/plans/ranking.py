@@ -285,15 +285,6 @@ def rank_pairwise_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank_by_wins(rows.select("q_id", "c_id"), won)
 
 
-@group.query("ngram_scores")
-def ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.array_distinct(F.split(F.lower("text"), " "))
-    docs = kb.table(spark, sf_dir, "documents").select("doc_id", words.alias("grams"))
-    rows = docs.join(kb.table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
-    model = models.fit_ngram_scorer(rows.select("label", "grams"))
-    return models.positive_share(model.transform(docs), "p").select("doc_id", F.round("p", 3).alias("score"))
-
-
 @group.query("answer_type_model")
 def answer_type_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.split("text", " ")
