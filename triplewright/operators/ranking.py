@@ -99,6 +99,26 @@ def rank_with_comparator(candidates: DataFrame, before: Callable[[dict, dict], f
     return candidates.groupBy("q_id").applyInPandas(run, f"{schema}, rank int")
 
 
+def rank_by_insertion(candidates: DataFrame, before: Callable[[Column, Column], Column]) -> DataFrame:
+    """(q_id, c_id, rank) by a comparison that need not be a consistent order, without a Python worker.
+
+    A question's candidates, in order of c_id, are inserted one after another, each before the first that it comes before.
+    ``before`` takes two structs of all columns but q_id and gives a boolean, never null. Every insertion meets all that are
+    in place, so the work of a question grows with the square of its candidates: prune first.
+    """
+    others = [c for c in candidates.columns if c not in ("q_id", "c_id")]
+    items = candidates.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("c_id", *others))).alias("items"))
+
+    def insert(done: Column, x: Column) -> Column:
+        at = F.array_position(F.transform(done, lambda y: before(x, y)), True).cast("int")
+        inside = F.concat(F.slice(done, F.lit(1), F.greatest(at - 1, F.lit(0))), F.array(x), F.slice(done, F.greatest(at, F.lit(1)), F.size(done)))
+        return F.when(at == 0, F.concat(done, F.array(x))).otherwise(inside)
+
+    done = F.aggregate(F.slice("items", F.lit(2), F.size("items")), F.slice("items", 1, 1), insert)
+    placed = items.select("q_id", F.posexplode(F.transform(done, lambda c: c["c_id"])).alias("rank", "c_id"))
+    return placed.select("q_id", "c_id", (F.col("rank") + 1).cast("int").alias("rank"))
+
+
 def candidate_pairs(candidates: DataFrame) -> DataFrame:
     """Unordered pairs of a question's candidates, with the columns of both; prune before, as pairs grow with the square."""
     a = candidates.select("q_id", *[F.col(c).alias(f"{c}_a") for c in candidates.columns if c != "q_id"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplewright.operators import features, matching, models, ranking
@@ -178,11 +178,67 @@ def literal_before(x: dict, y: dict) -> float:
     return -1 if key(x) < key(y) else 1
 
 
+def literal_first(x: Column, y: Column) -> Column:
+    """``literal_before`` as an expression: whether ``x`` comes first."""
+    unlike = x["is_mediator"] != y["is_mediator"]
+
+    def kept(c: Column) -> Column:
+        return F.when(unlike, F.least(c["rel_lit"], F.lit(1))).otherwise(c["rel_lit"])
+
+    def firsts(c: Column) -> Column:
+        literal = c["ent_lit"] + kept(c)
+        return F.array(literal + c["coverage"], literal, c["coverage"], c["cover_card"] - c["coverage"])
+
+    some = (x["ent_lit"] == y["ent_lit"]) & (kept(x) == kept(y)) & ((x["ent_lit"] >= 1) | (kept(x) >= 1))
+
+    def key(c: Column) -> Column:
+        score, plain = c["entity_score"] + 3 * c["relation_score"], F.when(c["is_mediator"], 0.0).otherwise(1.0)
+        pop, length, card = c["popularity"].cast("double"), -c["rel_length"].cast("double"), c["rel_card"].cast("double")
+        return F.array(
+            F.when(some, pop).otherwise(score),
+            F.when(some, plain).otherwise(pop),
+            F.when(some, score).otherwise(plain),
+            F.when(c["is_mediator"], card).otherwise(length),
+            F.when(c["is_mediator"], length).otherwise(card),
+            c["result_size"].cast("double"),
+        )
+
+    return F.when(firsts(x) != firsts(y), firsts(x) > firsts(y)).otherwise(key(x) >= key(y))
+
+
+def _sql_firsts(c: str) -> str:
+    lit = f"{c}.ent_lit + case when x.is_mediator <> y.is_mediator then least({c}.rel_lit, 1) else {c}.rel_lit end"
+    return f"[{lit} + {c}.coverage, {lit}, {c}.coverage, {c}.cover_card - {c}.coverage]"
+
+
+def _sql_key(c: str) -> str:
+    kept = "case when x.is_mediator <> y.is_mediator then least({0}.rel_lit, 1) else {0}.rel_lit end"
+    some = f"x.ent_lit = y.ent_lit and {kept.format('x')} = {kept.format('y')} and (x.ent_lit >= 1 or {kept.format('x')} >= 1)"
+    score, plain, pop = f"{c}.entity_score + 3 * {c}.relation_score", f"(not {c}.is_mediator)::int::double", f"{c}.popularity::double"
+    length, card, mediator = f"(-{c}.rel_length)::double", f"{c}.rel_card::double", f"{c}.is_mediator"
+    return f"""[case when {some} then {pop} else {score} end, case when {some} then {plain} else {pop} end, case when {some} then {score} else {plain} end,
+         case when {mediator} then {card} else {length} end, case when {mediator} then {length} else {card} end, {c}.result_size::double]"""
+
+
 @group.query("rank_literal_exact")
 def rank_literal_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank_with_comparator(_literal(spark, sf_dir), literal_before).select("q_id", "c_id", "rank")
 
 
+@group.query(
+    "rank_literal_inserted",
+    f"""with recursive {_LITERAL}, i as (select q_id, list(l order by c_id) as items from l group by 1),
+       s as (select q_id, 1 as k, items, items[1:1] as done from i
+         union all select q_id, k + 1, items, case when pos = 0 then list_append(done, x) else list_concat(list_append(done[1:pos - 1], x), done[pos:len(done)]) end
+         from (select q_id, k, items, done, x, coalesce(list_position(list_transform(done, lambda y: case when {_sql_firsts("x")} <> {_sql_firsts("y")}
+             then {_sql_firsts("x")} > {_sql_firsts("y")} else {_sql_key("x")} >= {_sql_key("y")} end), true), 0) as pos
+           from (select *, items[k + 1] as x from s where k < len(items)) as n) as p)
+       select q_id, u.c_id as c_id, rank::int as rank from (select q_id, unnest(done) as u, generate_subscripts(done, 1) as rank from s where k = len(items)) as d""",
+)
+def rank_literal_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_by_insertion(_literal(spark, sf_dir), literal_first)
+
+
 @group.query(
     "candidate_pairs",
     f"""with {_CANDS} select a.q_id, a.c_id as c_id_a, b.c_id as c_id_b, a.result_size - b.result_size as result_size_diff, a.result_size as result_size_a, b.result_size as result_size_b
