@@ -99,7 +99,8 @@ def surface_index(entities: DataFrame) -> DataFrame:
 
 def candidates_for(spans_: DataFrame, surfaces: DataFrame, text: str = "span") -> DataFrame:
     """Join spans with the entities of their normalised surface."""
-    keyed = spans_.withColumn("surface", normalise_name(F.col(text)))
+    # Spark takes exploded spans for as small as the file of their questions, and would send all of them through the driver
+    keyed = spans_.withColumn("surface", normalise_name(F.col(text))).hint("merge")
     found = keyed.join(surfaces, "surface")
     return found.withColumn("perfect", is_main_name(F.col(text), F.col("name")))
 
