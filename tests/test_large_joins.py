@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from triplewright.operators import linking
+from triplewright.operators import linking, metrics
 
 
 def plan(df):
@@ -19,3 +19,12 @@ def test_exploded_spans_are_not_broadcast(spark, tmp_path):
     found = linking.candidates_for(linking.spans(questions), surfaces)
     assert "BroadcastExchange" not in plan(found)
     assert found.count() == 1000
+
+
+def test_scores_take_tasks_by_rows_and_stay_the_same(spark):
+    asked = spark.range(50).select(F.col("id").alias("q_id"))
+    gold = spark.range(400).selectExpr("id % 47 as q_id", "concat('t', id % 19) as target")
+    pred = spark.range(300).selectExpr("id % 43 as q_id", "concat('t', id % 23) as target")
+    dealt = metrics.scores(asked, gold, pred, ["q_id"], rows=2_500_000)
+    assert "hashpartitioning(q_id#" in plan(dealt) and ", 10), REPARTITION_BY_NUM" in plan(dealt)
+    assert sorted(dealt.collect()) == sorted(metrics.scores(asked, gold, pred, ["q_id"]).collect())

@@ -34,6 +34,11 @@ def _sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     return asked, gold, pred.unionByName(shown.where("l_suppkey % 5 = 0").select(key, kb.node("supplier", "l_suppkey").alias("target")))
 
 
+def _size(spark: SparkSession, sf_dir: str) -> int:
+    """Rows behind the gold answers, from the footers of the files."""
+    return kb.table(spark, sf_dir, "lineitem").count()
+
+
 def _rounded(df: DataFrame, names: tuple[str, ...] = ("precision", "recall", "f1")) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c).cast("double"), 9) for c in names})
 
@@ -43,16 +48,16 @@ _OUT = "q_id, tp, fp, fn, round(precision::double, 9) as precision, round(recall
 
 @group.query("prf_per_question", f"with {_PRF.format(empty=0)} select {_OUT} from prf")
 def prf_per_question(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(metrics.scores(*_sets(spark, sf_dir), ["q_id"]))
+    return _rounded(metrics.scores(*_sets(spark, sf_dir), ["q_id"], rows=_size(spark, sf_dir)))
 
 
 @group.query("prf_script", f"with {_PRF.format(empty=1)} select {_OUT} from prf")
 def prf_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(metrics.scores(*_sets(spark, sf_dir), ["q_id"], empty_precision=1.0))
+    return _rounded(metrics.scores(*_sets(spark, sf_dir), ["q_id"], empty_precision=1.0, rows=_size(spark, sf_dir)))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = metrics.scores(*_sets(spark, sf_dir), ["q_id"])
+    found = metrics.scores(*_sets(spark, sf_dir), ["q_id"], rows=_size(spark, sf_dir))
     return found.withColumn("answered", F.col("tp") + F.col("fp") > 0).withColumn("has_gold", F.col("tp") + F.col("fn") > 0).withColumn("n_candidates", F.col("q_id") % 7)
 
 
