@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from triplewright.operators import linking, metrics
+from triplewright.operators import candidates, linking, metrics
 
 
 def plan(df):
@@ -28,3 +28,20 @@ def test_scores_take_tasks_by_rows_and_stay_the_same(spark):
     dealt = metrics.scores(asked, gold, pred, ["q_id"], rows=2_500_000)
     assert "hashpartitioning(q_id#" in plan(dealt) and ", 10), REPARTITION_BY_NUM" in plan(dealt)
     assert sorted(dealt.collect()) == sorted(metrics.scores(asked, gold, pred, ["q_id"]).collect())
+
+
+def test_generation_meets_facts_by_entity_and_not_by_question(spark, tmp_path):
+    facts = spark.createDataFrame([("a", "x.to", "m"), ("a", "x.home", "t"), ("m", "m.date", "1990"), ("m", "m.back", "a")], "s string, p string, o string")
+    linked = spark.range(500).select(F.col("id").alias("q_id"), F.lit("a").alias("entity"))
+    media = spark.createDataFrame([("x.to",)], "relation string")
+    back = spark.createDataFrame([("x.to", "m.back"), ("m.back", "x.to")], "relation string, reverse string")
+    met = []
+    hop = candidates.one_hop
+    candidates.one_hop = lambda f, asked, *rest: met.append(asked.count()) or hop(f, asked, *rest)
+    try:
+        found = candidates.generate(facts, linked, media, back)
+    finally:
+        candidates.one_hop = hop
+    assert met == [1, 1]
+    got = {(r["pattern"], tuple(r["rels"])): r["n"] for r in found.groupBy("pattern", "rels").agg(F.count_distinct("q_id").alias("n")).collect()}
+    assert got == {("ERT", ("x.home",)): 500, ("ERMRT", ("x.to", "m.date")): 500}

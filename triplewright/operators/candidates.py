@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triplewright.operators.patterns import mediator_split, relation_suggestions, without_used
+from triplewright.sources.staging import by_size, written
 
 
 def extend_with_variable(candidates: DataFrame, relations: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def starts(linked: DataFrame) -> DataFrame:
 
 def one_hop(facts: DataFrame, linked: DataFrame, mediators: DataFrame, mediated: bool) -> DataFrame:
     """Candidates with one relation away from the entity, which leads to a mediator or does not."""
-    keyed = linked.select(F.struct("q_id", "entity").alias("q_id"), "entity").distinct()
+    keyed = by_size(written(linked.select(F.struct("q_id", "entity").alias("q_id"), "entity").distinct(), "keyed"))
     found = relation_suggestions(facts, keyed).select("q_id.q_id", "q_id.entity", "relation")
     kept = mediator_split(found, mediators, mediated).select("q_id", "entity", F.array().cast("array<string>").alias("rels"), "relation")
     return extend_with_variable(starts(linked), kept)
@@ -43,10 +44,12 @@ def _at_mediator(facts: DataFrame, first: DataFrame) -> DataFrame:
     return first.withColumn("r1", F.get("rels", 0)).join(away, ["entity", "r1"]).drop("r1")
 
 
-def two_hops(facts: DataFrame, first: DataFrame, reverses: DataFrame) -> DataFrame:
-    """Go on from mediators by each relation that is not the way back."""
+def two_hops(facts: DataFrame, first: DataFrame, reverses: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """Go on from mediators by each relation that is not the way back; ``near`` are the facts of the entities, if at hand."""
     leads = facts.select(F.col("s").alias("mediator"), F.col("p").alias("relation"))
-    found = _at_mediator(facts, first).join(leads, "mediator").select("q_id", "entity", "rels", "relation").distinct()
+    # written like all that meets the facts here, so that its size is known before they are moved
+    at = by_size(written(_at_mediator(facts if near is None else near, first), "at-mediators"))
+    found = written(at.join(leads, "mediator").select("q_id", "entity", "rels", "relation").distinct(), "from-mediators")
     key = F.struct("q_id", "entity", "rels")
     free = without_used(found.select(key.alias("q_id"), "relation"), first.select(key.alias("q_id"), F.get("rels", 0).alias("relation")), reverses)
     return extend_with_variable(first, free.select("q_id.*", "relation"))
@@ -66,16 +69,18 @@ def shared_mediator(facts: DataFrame, first: DataFrame, others: DataFrame, rever
 
 
 def generate(facts: DataFrame, linked: DataFrame, mediators: DataFrame, reverses: DataFrame, others: DataFrame | None = None) -> DataFrame:
-    """(q_id, entity, other, pattern, rels): the bag union of the candidates of all patterns."""
+    """(q_id, entity, other, pattern, rels): the bag union of the candidates of all patterns.
+
+    What leads away from an entity is found once for all questions that are linked to it; facts never meet questions.
+    """
     none = F.lit(None).cast("string")
-    first = one_hop(facts, linked, mediators, True)
-    parts = [
-        one_hop(facts, linked, mediators, False).withColumns({"other": none, "pattern": F.lit("ERT")}),
-        two_hops(facts, first, reverses).withColumns({"other": none, "pattern": F.lit("ERMRT")}),
-    ]
-    if others is not None:
-        parts.append(shared_mediator(facts, first, others, reverses).withColumn("pattern", F.lit("ERMRERT")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("q_id", "entity", "other", "pattern", "rels")
+    asked = linked.select("q_id", "entity").distinct()
+    keys = written(asked.select(F.col("entity").alias("q_id"), "entity").distinct(), "linked-entities")
+    near = written(facts.select("s", "p", "o").join(by_size(keys.select(F.col("entity").alias("s"))), "s", "left_semi"), "near-facts")
+    first = by_size(written(one_hop(near, keys, mediators, True), "to-mediators"))
+    alone = one_hop(near, keys, mediators, False).withColumn("pattern", F.lit("ERT")).unionByName(two_hops(facts, first, reverses, near).withColumn("pattern", F.lit("ERMRT")))
+    out = asked.join(by_size(written(alone.drop("q_id"), "entity-candidates")), "entity").withColumn("other", none).select("q_id", "entity", "other", "pattern", "rels")
+    if others is None:
+        return out
+    both = shared_mediator(facts, one_hop(facts, asked, mediators, True), others, reverses).withColumn("pattern", F.lit("ERMRERT"))
+    return out.unionByName(both.select("q_id", "entity", "other", "pattern", "rels"))

@@ -26,7 +26,8 @@ def match_by_prefix(words: DataFrame, tokens: DataFrame) -> DataFrame:
     starts = words.select(
         "relation", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.length("word"))), lambda k: F.substring("word", F.lit(1), k))).alias("lemma")
     ).distinct()
-    return tokens.where(F.length("lemma") > 1).join(starts, "lemma").select("q_id", "relation", "lemma").distinct()
+    # exploded tokens look as small as the file of their questions; they are not to be broadcast
+    return tokens.where(F.length("lemma") > 1).hint("merge").join(starts, "lemma").select("q_id", "relation", "lemma").distinct()
 
 
 def match_by_derivation(words: DataFrame, tokens: DataFrame, derivations: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from triplewright.plans.base import Group
 from triplewright.plans.evaluation import _PRF, _sets, _size
 from triplewright.plans.text import _CLASSES, _LINKED, _QUESTIONS, _classes
 from triplewright.sources import kb
+from triplewright.sources.staging import by_size, written
 
 group = Group()
 
@@ -48,7 +49,8 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = F.broadcast(spark.createDataFrame([(r,) for r in _TO_MEDIATOR], "relation string"))
-    return candidates.generate(kb.triples(spark, sf_dir, reverse=True), _linked(spark, sf_dir), media, F.broadcast(kb.reverses(spark)))
+    linked = written(_linked(spark, sf_dir), "linked")
+    return candidates.generate(kb.triples(spark, sf_dir, reverse=True), linked, media, F.broadcast(kb.reverses(spark)))
 
 
 @group.query("generated_candidates", f"with {_GENERATED} select q_id, entity, pattern, rels from cand")
@@ -85,16 +87,21 @@ def two_entity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions from text to answers: link, generate candidates, match their relations with words, rank, fetch, count."""
-    facts, found = kb.triples(spark, sf_dir, reverse=True), _generated(spark, sf_dir).withColumn("relation", F.array_join("rels", " "))
+    facts, found = kb.triples(spark, sf_dir, reverse=True), written(_generated(spark, sf_dir).withColumn("relation", F.array_join("rels", " ")), "generated")
     texts = found.select("relation", F.explode(F.split("relation", "[. ]")).alias("word")).distinct()
     tokens = kb.questions(spark, sf_dir).select("q_id", F.explode(F.split(F.lower("text"), " ")).alias("lemma")).distinct()
     hits = matching.match_by_prefix(texts, tokens).groupBy("q_id", "relation").agg(F.count("*").alias("hits"))
     scored = found.join(hits, ["q_id", "relation"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("long"))
-    top = rank_by(scored, [F.desc("hits"), F.asc("pattern"), F.asc("relation")]).where("rank = 1")
-    one = patterns.ert(facts, top.where("pattern = 'ERT'").select("q_id", "entity", F.get("rels", 0).alias("relation")))
-    two = patterns.ermrt(facts, top.where("pattern = 'ERMRT'").select("q_id", "entity", F.get("rels", 0).alias("r1"), F.get("rels", 1).alias("r2")))
-    count = one.unionByName(two).groupBy("q_id").agg(F.count("*").alias("answers"))
-    return top.join(count, "q_id", "left").select("q_id", F.col("relation").alias("rels"), "hits", F.coalesce("answers", F.lit(0)).cast("long").alias("answers"))
+    top = written(rank_by(scored, [F.desc("hits"), F.asc("pattern"), F.asc("relation")]).where("rank = 1"), "first-candidates")
+    # a candidate's answers are fetched and counted once for all questions that have it
+    graphs = written(top.select(F.struct("entity", "relation").alias("q_id"), "entity", "pattern", "rels").distinct(), "first-graphs")
+    near = written(facts.select("s", "p", "o").join(by_size(written(graphs.select(F.col("entity").alias("s")).distinct(), "starts")), "s", "left_semi"), "near-facts")
+    media = written(near.where(F.col("p").isin(_TO_MEDIATOR)).select(F.col("o").alias("s")).distinct(), "mediators")
+    around = written(facts.select("s", "p", "o").join(by_size(media), "s", "left_semi"), "mediator-facts").unionByName(near)
+    one = patterns.ert(near, graphs.where("pattern = 'ERT'").select("q_id", "entity", F.get("rels", 0).alias("relation")))
+    two = patterns.ermrt(around, graphs.where("pattern = 'ERMRT'").select("q_id", "entity", F.get("rels", 0).alias("r1"), F.get("rels", 1).alias("r2")))
+    count = one.unionByName(two).groupBy("q_id").agg(F.count("*").alias("answers")).select("q_id.entity", "q_id.relation", "answers")
+    return top.join(count, ["entity", "relation"], "left").select("q_id", F.col("relation").alias("rels"), "hits", F.coalesce("answers", F.lit(0)).cast("long").alias("answers"))
 
 
 @group.query(
