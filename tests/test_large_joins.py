@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from triplewright.operators import candidates, linking, metrics
+from triplewright.operators import candidates, frontier, linking, metrics
 
 
 def plan(df):
@@ -45,3 +45,14 @@ def test_generation_meets_facts_by_entity_and_not_by_question(spark, tmp_path):
     assert met == [1, 1]
     got = {(r["pattern"], tuple(r["rels"])): r["n"] for r in found.groupBy("pattern", "rels").agg(F.count_distinct("q_id").alias("n")).collect()}
     assert got == {("ERT", ("x.home",)): 500, ("ERMRT", ("x.to", "m.date")): 500}
+
+
+def test_relations_are_asked_of_the_staged_ways_and_not_of_all_facts(spark):
+    rows = [("a", "x.to", "m"), ("a", "x.home", "t"), ("m", "m.date", "1990"), ("m", "m.back", "a")]
+    facts = spark.createDataFrame(rows, "s string, p string, o string")
+    media = spark.createDataFrame([("x.to",)], "relation string")
+    back = spark.createDataFrame([("x.to", "m.back"), ("m.back", "x.to")], "relation string, reverse string")
+    asked = frontier.starts(spark.createDataFrame([(1, 1, "a", 0, 1)], "q_id long, m_id int, entity string, tok_start int, tok_end int"))
+    ways = facts.select("s", "p").distinct().where("p != 'x.home'")
+    assert frontier.Graph(facts, media, back, ways).to_target(asked).count() == 0
+    assert frontier.Graph(facts, media, back).to_target(asked).count() == 1
