@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from triplewright.operators import candidates, frontier, linking, metrics
+from triplewright.operators import candidates, frontier, linking, metrics, patterns
 
 
 def plan(df):
@@ -56,3 +56,16 @@ def test_relations_are_asked_of_the_staged_ways_and_not_of_all_facts(spark):
     ways = facts.select("s", "p").distinct().where("p != 'x.home'")
     assert frontier.Graph(facts, media, back, ways).to_target(asked).count() == 0
     assert frontier.Graph(facts, media, back).to_target(asked).count() == 1
+
+
+def test_mediators_without_a_wanted_value_are_not_looked_up(spark):
+    # every order holds part a and one of 300 other values; questions ask for a (the rarest by name) with each of the others
+    rows = [(v, f"m{i}") for i in range(300) for v in ("a", f"v{i}", f"w{i}")] + [(f"v{i}", f"x{j}") for i in range(300) for j in range(300)]
+    postings = spark.createDataFrame(rows, "value string, mediator string").cache()
+    marked = patterns.marked(postings).where("value = 'a'").withColumn("v", F.lit("v7"))
+    kept = marked.where(patterns.may_hold(patterns.marks(F.col("v")))).select("mediator").collect()
+    assert ("m7",) in [tuple(r) for r in kept] and len(kept) < 15
+    wanted = [(i, v) for i in range(300) for v in ("a", f"v{i}", f"w{i}")] + [(900, "a"), (901, "a"), (901, "gone"), (902, "v1"), (902, "v2"), (902, "v3")]
+    asked = spark.createDataFrame(wanted, "q_id long, value string")
+    found = {tuple(r) for r in patterns.nway_intersection(postings, asked).collect()}
+    assert found == {(i, f"m{i}") for i in range(300)} | {(900, f"m{i}") for i in range(300)} | {(902, f"x{j}") for j in range(300)}

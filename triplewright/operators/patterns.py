@@ -73,19 +73,44 @@ def text_answer_ratio(results: DataFrame, texts: DataFrame) -> DataFrame:
     return results.join(found, ["q_id", "target"], "left").groupBy("q_id").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("ratio"))
 
 
+def marks(value: Column) -> list[Column]:
+    """Two words of 64 bits with one bit set in each by a hash of ``value``."""
+    one = F.lit(1).cast("long")
+    return [F.call_function("shiftleft", one, F.pmod(F.xxhash64(value, F.lit(seed)), F.lit(64)).cast("int")) for seed in (1, 2)]
+
+
+def marked(held: DataFrame) -> DataFrame:
+    """Postings with ``marks``, the bits of all values of their mediator.
+
+    A value whose bits are missing is not held there, so most mediators are told apart beside a posting, without
+    a look-up; the marks are of one size, however many values a mediator has. What they let through is to be looked up.
+    """
+    bits = marks(F.col("value"))
+    of_all = held.groupBy("mediator").agg(*[F.bit_or(b).alias(f"b{i}") for i, b in enumerate(bits)])
+    return held.join(of_all.select("mediator", F.struct("b0", "b1").alias("marks")), "mediator")
+
+
+def may_hold(bits: list[Column]) -> Column:
+    """Whether the mediator of a marked posting has all these bits."""
+    first, second = (F.col("marks")[f"b{i}"].bitwiseAND(b) == b for i, b in enumerate(bits))
+    return first & second
+
+
 def nway_intersection(postings: DataFrame, wanted: DataFrame) -> DataFrame:
     """(q_id, mediator) where a mediator holds all values that ``wanted`` (q_id, value) names for a question.
 
-    Only the postings of each question's rarest value are read out; the other values are looked up at these mediators.
+    Only the postings of each question's rarest value are read out, and of these only the mediators whose marks have the
+    other values; these are looked up there.
     """
     held = postings.select("value", "mediator").distinct()
     sizes = held.groupBy("value").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.coalesce("n", F.lit(0)), "value"))
     ranked = wanted.select("q_id", "value").distinct().join(sizes, "value", "left").withColumn("place", place)
-    found = ranked.where("place = 1").join(held, "value").select("q_id", "mediator")
-    others = ranked.where("place > 1").groupBy("q_id").agg(F.collect_list("value").alias("values"))
-    open_ = found.join(others, "q_id", "left").withColumn("need", F.coalesce(F.size("values"), F.lit(0)))
-    alone = open_.where("need <= 0").select("q_id", "mediator")
+    other = F.when(F.col("place") > 1, F.col("value"))
+    bits = [F.coalesce(F.bit_or(F.when(F.col("place") > 1, b)), F.lit(0).cast("long")).alias(f"w{i}") for i, b in enumerate(marks(F.col("value")))]
+    asked = ranked.groupBy("q_id").agg(F.max(F.when(F.col("place") == 1, F.col("value"))).alias("value"), F.collect_list(other).alias("values"), *bits)
+    open_ = asked.join(marked(held), "value").where(may_hold([F.col("w0"), F.col("w1")])).select("q_id", "mediator", "values", F.size("values").alias("need"))
+    alone = open_.where("need = 0").select("q_id", "mediator")
     checks = open_.where("need > 0").select("q_id", "mediator", "need", F.explode("values").alias("value")).join(held, ["value", "mediator"], "left_semi")
     whole = checks.groupBy("q_id", "mediator").agg(F.count("*").alias("held"), F.first("need").alias("need")).where("held = need")
     return alone.unionByName(whole.select("q_id", "mediator"))
