@@ -165,6 +165,21 @@ def train_pairs(labelled: DataFrame, most: int, seed: int = 999) -> DataFrame:
     )
 
 
+def train_pair_features(rows: DataFrame, features: list[str], most: int, seed: int = 999) -> DataFrame:
+    """(label, features of the pair) of the ``train_pairs`` of rows (q_id, c_id, label, features) whose first has the smaller c_id.
+
+    The pairs are those of one join inside a question; nothing is looked up by pair.
+    """
+    w = Window.partitionBy("q_id").orderBy("label", shuffled("c_id", seed), "c_id")
+    kept = rows.withColumn("__n", F.row_number().over(w)).where((F.col("label") == 1) | (F.col("__n") <= most)).drop("__n")
+    pairs = candidate_pairs(kept).where("label_a != label_b")
+    return pairs.select(
+        F.col("label_a").alias("label"),
+        *[(F.col(f"{f}_a") - F.col(f"{f}_b")).alias(f"{f}_diff") for f in features],
+        *[f"{f}_{s}" for s in ("a", "b") for f in features],
+    )
+
+
 def class_weights(labels: DataFrame, label: str = "label", boost: float = 1.5) -> DataFrame:
     """(label, weight): weights inverse to how common a label is, shares of their sum, the positive one boosted."""
     counts = labels.agg(F.count("*").alias("n"), F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"))

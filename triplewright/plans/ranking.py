@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from triplewright.operators import features, matching, models, ranking
 from triplewright.plans.base import Group
 from triplewright.sources import kb
+from triplewright.sources.staging import written
 
 group = Group()
 
@@ -331,12 +332,12 @@ def prune_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @group.query("rank_pairwise_forest")
 def rank_pairwise_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _labelled_features(spark, sf_dir).select("q_id", "c_id", "label", *_SIMPLE)
-    keep = rows.where("q_id % 2 = 0").select("q_id", "c_id", "label")
-    ab = ranking.pair_features(ranking.candidate_pairs(rows.drop("label")), _SIMPLE)
+    # the features are computed once, for the pairs of the fit and for all pairs
+    rows = written(_labelled_features(spark, sf_dir).select("q_id", "c_id", "label", *_SIMPLE), "labelled-features")
     names = [f"{f}_{s}" for s in ("diff", "a", "b") for f in _SIMPLE]
-    chosen = ranking.train_pairs(keep, _WRONG).where("c_id_a < c_id_b").join(ab, ["q_id", "c_id_a", "c_id_b"])
+    chosen = written(ranking.train_pair_features(rows.where("q_id % 2 = 0"), _SIMPLE, _WRONG), "training-pairs")
     model = models.fit_pair_ranker(chosen.select("label", *names), names)
+    ab = ranking.pair_features(ranking.candidate_pairs(rows.drop("label")), _SIMPLE)
     won = models.positive_share(model.transform(ab)).select("q_id", "c_id_a", "c_id_b", "p_a")
     return ranking.rank_by_wins(rows.select("q_id", "c_id"), won)
 
