@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from triplewright.llm import toxicity
 
@@ -117,3 +118,24 @@ def test_scores_do_not_depend_on_which_tokens_are_split_early(spark):
     assert np.array_equal(scorer.scores(texts), plain.scores(texts))
     none = toxicity.Scorer(scorer.model, {}, scorer.beta, scorer.prior, words=scorer.words)
     assert len(none.scores(texts)) == len(texts)
+
+
+def test_all_labelled_texts_are_learnt_from(spark):
+    docs = spark.range(27_000).selectExpr("id as doc_id", "concat('text ', id div 2 * 2, if(id = 26998, ' rareinsult', '')) as text")
+    labels = spark.range(27_000).selectExpr("id as doc_id", "cast(id % 50 = 0 as int) as toxic")
+    got = {r["text"]: r["toxic"] for r in toxicity.labelled(docs, labels).collect()}
+    want = {}
+    for r in docs.collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            want[r["text"]] = max(want.get(r["text"], 0), int(r["doc_id"] % 50 == 0))
+    assert got == want
+    doubled = docs.unionByName(docs)
+    assert toxicity.labelled(doubled, labels).count() == len(want)
+
+
+def test_words_of_all_texts_are_counted(spark):
+    docs = spark.range(25_000).selectExpr("id as doc_id", "concat('some words ', if(id >= 24997, 'seldom', 'often')) as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    words = toxicity.train(docs.withColumn("text", F.concat("text", F.lit(" "), "doc_id")), labels).words
+    kept = sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in (24_997, 24_998, 24_999))
+    assert ("seldom" in words) == (kept >= toxicity.WORD_SUPPORT) and kept == 3

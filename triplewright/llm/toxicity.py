@@ -14,8 +14,8 @@ Never decoded, but scored as they stand: tokens without a letter, and addresses
 The score is a logistic function of how strongly the words of the restored text
 are tied to the toxic label: every word has the largest log-odds weight among
 its beginnings and itself, and the model sees the largest, the sum of the
-largest five, and the number of words. Weights, counted words and model come from at most
-``TRAIN_ROWS`` distinct labelled texts, chosen by hash; all that these texts hold is used.
+largest five, and the number of words. Weights, counted words and the score are fitted on
+all distinct labelled texts.
 
 Defined results: a null or empty text has no words and gets the model's score
 for that; without both labels in training every score is the share of toxic
@@ -40,11 +40,11 @@ from pyspark.sql import functions as F
 
 from triplewright.llm.common import fold, materialise, read, slices
 
-TRAIN_ROWS = 20_000
 LEAST_SUPPORT = 20.0  # twice the log-likelihood that a weight must explain
 THRESHOLD = 0.5
-WORD_SUPPORT = 3  # times that a word must stand in the sample to be a counted word
-MEMO = 60_000
+WORD_SUPPORT = 3  # times that a word must stand in the labelled texts to be a counted word
+LEAST_SHARE = 3e-7  # share of all words that a counted word must have, which bounds the dictionary of a task
+MEMO = 200_000  # tokens that a task remembers
 CELLS = 1 << 19  # places of runs that are split together, which bounds the arrays
 LONG_RUN = 64  # runs of more letters are split one at a time, with the same result
 PREFIXES = range(3, 11)
@@ -195,6 +195,14 @@ class CountedWords(dict):
     """Log-shares by word, and where the words stand in a run of letters."""
 
     _found = None
+    _undisguised = None
+
+    @property
+    def undisguised(self) -> frozenset[str]:
+        """The words that show no sign of disguise, which stay as they are."""
+        if self._undisguised is None:
+            self._undisguised = frozenset(w for w in self if w.isalpha() and not _REPEAT.search(w))
+        return self._undisguised
 
     def __reduce__(self):
         return CountedWords, (dict(self),)
@@ -414,9 +422,12 @@ def restore_tokens(
     """``restore_token`` of many tokens; words without a sign of disguise are split together. ``grid`` is ``model`` as an array."""
     out: list[str | None] = []
     runs: list[str] = []
+    undisguised = words.undisguised if isinstance(words, CountedWords) else frozenset()
     for t in tokens:
         core = t.lower().strip(_MARKS)
-        if not core.isalpha() or _REPEAT.search(core):
+        if core in undisguised:
+            out.append(core)
+        elif not core.isalpha() or _REPEAT.search(core):
             out.append(restore_token(t, model, words, telling))
         elif not words or core in words or telling is not None and next(telling.iter(core), None) is None:
             out.append(core)
@@ -505,10 +516,11 @@ class Scorer:
     words: dict[str, float] = field(default_factory=dict)
     telling: ahocorasick.Automaton | None = None
     grid: np.ndarray | None = None
-    starts: frozenset[str] = frozenset()
+    starts: frozenset[str] = frozenset()  # beginnings of the features, from three letters on, and the features that are shorter
 
     def __post_init__(self) -> None:
-        self.starts = frozenset(f.rstrip("$")[:3] for f in self.weights)
+        bare = [f.rstrip("$") for f in self.weights]
+        self.starts = frozenset(f[:k] for f in bare for k in range(min(3, len(f)), len(f) + 1))
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"memo": {}, "known": {}, "telling": None, "grid": None}
@@ -528,11 +540,21 @@ class Scorer:
         return restore(text, self.model, self.memo, self.words, self.telling)
 
     def word(self, restored: str) -> float:
-        """The largest weight among the features of its words; only words that begin as a feature does can have one."""
-        if restored[:3] not in self.starts and restored.isalpha():
-            return 0.0
-        got = [self.weights.get(f, 0.0) for w in _WORDS.findall(restored) if w[:3] in self.starts for f in word_features(w)]
-        return max(got, default=0.0)
+        """The largest weight among the features of its words."""
+        if restored.isalpha():
+            return self._weight(restored)
+        return max((self._weight(w) for w in _WORDS.findall(restored)), default=0.0)
+
+    def _weight(self, word: str) -> float:
+        """The largest weight among ``word_features``, 0 without any; it ends where no feature goes on as the word does."""
+        best, starts, weights = 0.0, self.starts, self.weights
+        for k in range(3, len(word) + 1):
+            start = word[:k]
+            if start not in starts:
+                return best
+            if start in weights and k in PREFIXES and weights[start] > best:
+                best = weights[start]
+        return max(best, weights.get(word + "$", 0.0))
 
     def features(self, text: str) -> list[float]:
         tokens = set(self.restored(text))
@@ -564,57 +586,70 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(x @ self.beta, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Ridge logistic regression by Newton steps."""
-    beta = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+def _logistic(rows: DataFrame, names: list[str], label: str, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+    """Ridge logistic regression by Newton steps; the first feature is the constant. A round moves the sums of a step only."""
+    beta = np.zeros(len(names))
+    penalty = np.full(len(names), ridge)
     penalty[0] = 1e-3
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((x * w[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * beta)
-        beta += step
+        z = sum((F.col(n) * float(b) for n, b in zip(names, beta, strict=True)), F.lit(0.0))
+        p = rows.select(*names, (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias("__p"), F.col(label).alias("__y"))
+        p = p.withColumn("__w", F.greatest(F.col("__p") * (1 - F.col("__p")), F.lit(1e-6)))
+        slopes = [F.sum(F.col(n) * (F.col("__y") - F.col("__p"))) for n in names]
+        got = np.array(p.agg(*slopes, *[F.sum(F.col("__w") * F.col(names[i]) * F.col(names[j])) for i, j in pairs]).first(), float)
+        curve = np.zeros((len(names), len(names)))
+        for (i, j), v in zip(pairs, got[len(names) :], strict=True):
+            curve[i, j] = curve[j, i] = v
+        step = np.linalg.solve(curve + np.diag(penalty), got[: len(names)] - penalty * beta)
+        beta = beta + step
         if np.abs(step).max() < 1e-6:
             break
     return beta
 
 
-def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """At most ``rows`` distinct texts with a label, of documents that are not held out."""
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic): all distinct texts with a label, of documents that are not held out; copies count once, as toxic if one of them is."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # the sample is taken on the ids, before any text is moved; some spare rows stand in for repeated texts
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).where("text is not null")
-    return texts.join(F.broadcast(chosen), "doc_id").groupBy(F.md5(F.col("text").cast("binary")).alias("copy")).agg(
-        F.first("text").alias("text"), F.max("toxic").alias("toxic")
-    )
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("copy"), text.alias("text"))
+    texts = texts.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0))
+    # one document of each text is chosen by digests, so that texts are moved once
+    chosen = texts.select("doc_id", "copy").join(marks, "doc_id").groupBy("copy").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    return texts.join(chosen, ["doc_id", "copy"]).groupBy("doc_id", "copy").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
-def word_shares(sample: DataFrame) -> CountedWords:
-    """Log-shares of the words that stand ``WORD_SUPPORT`` times or more in a bounded sample, letters that are set apart left out."""
+def word_shares(texts: DataFrame) -> CountedWords:
+    """Log-shares of the words that stand ``WORD_SUPPORT`` times or more and have ``LEAST_SHARE``, letters that are set apart left out.
+
+    All words of all texts are counted; the share bounds what each task holds, whatever the input, to 1 / ``LEAST_SHARE`` words.
+    """
     text = F.regexp_replace(F.lower("text"), "(?U)" + _SPACED.pattern, " ")
-    words = sample.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).where("word != ''")
-    rows = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= WORD_SUPPORT).collect()
+    words = texts.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).where("word != ''")
+    counts = materialise(words.groupBy("word").agg(F.count("*").alias("n")), "toxicity-words")
+    most = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.where(F.col("n") >= max(WORD_SUPPORT, LEAST_SHARE * most)).collect()
     total = sum(r["n"] for r in rows)
     return CountedWords({r["word"]: math.log(r["n"] / total) for r in rows})
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     table = language_model(trigram_counts(docs)).tolist()
-    sample = materialise(labelled(docs, labels, rows).select("text", "toxic"), "toxicity-sample")
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    known = materialise(labelled(docs, labels), "toxicity-labelled")
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
         return Scorer(table, {}, None, float(pos > 0))
     base = pos / (pos + neg)
 
-    words_known = word_shares(sample)
+    words_known = word_shares(known)
     grid = np.array(table, float)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, str] = {}
+        held: dict[str, list[str]] = {}
         counts = (Counter(), Counter())
 
         def flush() -> pa.RecordBatch:
@@ -631,18 +666,21 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Scorer:
             for texts in blocks(b.column(0).to_pylist()):
                 restore_ahead(texts, table, grid, memo, words_known)
                 for text, toxic in zip(texts, marks):  # noqa: B905
-                    words = {w for t in set(restore(text, table, memo, words_known)) for w in _WORDS.findall(t)}
-                    counts[toxic].update({f for w in words for f in word_features(w)})
+                    tokens = set(restore(text, table, memo, words_known))
+                    if len(held) > MEMO // 4:
+                        held.clear()
+                    for t in tokens.difference(held):
+                        held[t] = [f for w in _WORDS.findall(t) for f in word_features(w)]
+                    counts[toxic].update(set().union(*(held[t] for t in tokens)))
                     if len(counts[0]) + len(counts[1]) > 150_000:
                         yield flush()
         yield flush()
 
-    spread = sample.repartition(F.xxhash64("text"))
-    totals = spread.mapInArrow(count, "feature string, n long, p long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    totals = known.mapInArrow(count, "feature string, n long, p long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     share = (F.col("p") + base) / (F.col("p") + F.col("n") + 1)
     gain = 2 * F.col("p") * F.log(share / base)
     weight = F.log(((F.col("p") + base) / pos) / ((F.col("n") + 1 - base) / neg))
-    # features of a bounded sample, and of these the ones tied to the label
+    # of all features, the ones tied to the label
     found = totals.where((gain >= LEAST_SUPPORT) & (share > base)).select("feature", weight.alias("weight")).collect()
     scorer = Scorer(table, {r["feature"]: r["weight"] for r in found}, np.zeros(4), base, words=words_known)
 
@@ -651,10 +689,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Scorer:
             x = scorer.rows(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(4)), b.column(1)], names=["a", "b", "c", "d", "toxic"])
 
-    # one row of four numbers for each row of the bounded sample
-    rows_ = spread.mapInArrow(describe, "a double, b double, c double, d double, toxic int").collect()
-    x = np.array([tuple(r) for r in rows_], float)
-    scorer.beta = _logistic(x[:, :4], x[:, 4])
+    # one row of four numbers for each labelled text
+    rows = materialise(known.mapInArrow(describe, "a double, b double, c double, d double, toxic int"), "toxicity-features")
+    scorer.beta = _logistic(rows, ["a", "b", "c", "d"], "toxic")
     return scorer
 
 
