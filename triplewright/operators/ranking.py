@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cmp_to_key
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
-from triplewright.sources.staging import written
+from triplewright.sources.staging import group_by_group, written
 
 
 def rank_by(candidates: DataFrame, order: list[Column], most: int | None = None) -> DataFrame:
@@ -88,15 +88,13 @@ def rank_with_comparator(candidates: DataFrame, before: Callable[[dict, dict], f
 
     Candidates are put in order of c_id first; those of one question are held together, a few hundred at most.
     """
-    names = candidates.columns
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        items = rows.sort_values("c_id").to_dict("records")
-        ranked = sorted(items, key=cmp_to_key(lambda x, y: -before(x, y)))
-        return pd.DataFrame(ranked, columns=names).assign(rank=range(1, len(ranked) + 1))
+    def run(rows: list[dict]) -> list[dict]:
+        ranked = sorted(sorted(rows, key=lambda r: r["c_id"]), key=cmp_to_key(lambda x, y: -before(x, y)))
+        return [{**r, "rank": n} for n, r in enumerate(ranked, 1)]
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in candidates.dtypes)
-    return candidates.groupBy("q_id").applyInPandas(run, f"{schema}, rank int")
+    schema = StructType([StructField(f.name, f.dataType) for f in candidates.schema] + [StructField("rank", IntegerType())])
+    return group_by_group(candidates, "q_id", run, schema)
 
 
 def rank_by_insertion(candidates: DataFrame, before: Callable[[Column, Column], Column]) -> DataFrame:
@@ -139,9 +137,10 @@ def pair_features(pairs: DataFrame, features: list[str]) -> DataFrame:
 
 def rank_by_wins(candidates: DataFrame, wins: DataFrame) -> DataFrame:
     """Rank by won pairs (q_id, c_id_a, c_id_b, p_a), where ``p_a`` is the chance that the first is better."""
-    a = wins.select("q_id", F.col("c_id_a").alias("c_id"), F.when(F.col("p_a") > 0.5, 1).otherwise(0).alias("won"))
-    b = wins.select("q_id", F.col("c_id_b").alias("c_id"), F.when(F.col("p_a") > 0.5, 0).otherwise(1).alias("won"))
-    total = a.unionByName(b).groupBy("q_id", "c_id").agg(F.sum("won").alias("wins"))
+    first = F.when(F.col("p_a") > 0.5, 1).otherwise(0)
+    # both ends of a pair from one reading of it, so that pairs are made once
+    ends = F.array(F.struct(F.col("c_id_a").alias("c_id"), first.alias("won")), F.struct(F.col("c_id_b").alias("c_id"), (1 - first).alias("won")))
+    total = wins.select("q_id", F.explode(ends).alias("e")).groupBy("q_id", "e.c_id").agg(F.sum("e.won").alias("wins"))
     scored = candidates.join(total, ["q_id", "c_id"], "left").fillna(0, ["wins"])
     return rank_by(scored, [F.desc("wins"), F.asc("c_id")])
 

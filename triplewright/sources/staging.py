@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 FEW = 10_000  # rows of a staged table that may be broadcast
 TASK_ROWS = 250_000  # rows that a task gets where a step deals them itself
@@ -41,3 +46,29 @@ def dealt(df: DataFrame, rows: int | None, *keys: str | Column) -> DataFrame:
     Spark itself joins small partitions to as many as there are cores, up to 64 MB of compressed rows each.
     """
     return df if rows is None else df.repartition(max(8, -(-rows // TASK_ROWS)), *keys)
+
+
+def group_by_group(df: DataFrame, key: str, run: Callable[[list[dict]], list[dict]], schema: StructType) -> DataFrame:
+    """The rows that ``run`` gives for the rows of each key, which Spark deals and sorts by key.
+
+    For many small groups: handing each of them to pandas costs far more than the work inside.
+    """
+    arrow = to_arrow_schema(schema)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            yield from b.to_pylist()
+
+    def batch(found: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist(found, schema=arrow)
+
+    def all_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[dict] = []
+        for _, group in groupby(rows(batches), key=lambda r: r[key]):
+            found += run(list(group))
+            if len(found) >= 10_000:
+                yield batch(found)
+                found = []
+        yield batch(found)
+
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(all_groups, schema)
