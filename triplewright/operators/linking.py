@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from triplewright.functions.names import is_main_name, normalise_name, year_of
+from triplewright.sources.staging import group_by_group
 
 # Word classes and lemmas by which spans and tokens are chosen (fixed values).
 IGNORED_LEMMAS = ["be", "of", "the", "and", "or", "a"]
@@ -160,8 +161,8 @@ def maximal_sets(overlaps: DataFrame) -> DataFrame:
     A question has tens of mentions at most after ``top_per_span``; the sets of one are found in one group.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        clash = {int(m): set(map(int, o)) for m, o in zip(rows["m_id"], rows["others"], strict=True)}
+    def run(rows: list[dict]) -> list[dict]:
+        clash = {r["m_id"]: set(r["others"]) for r in rows}
         found: list[list[int]] = []
 
         def grow(chosen: set[int], open_: set[int], done: set[int]) -> None:
@@ -173,9 +174,10 @@ def maximal_sets(overlaps: DataFrame) -> DataFrame:
                 open_, done = open_ - {v}, done | {v}
 
         grow(set(), set(clash), set())
-        return pd.DataFrame({"q_id": [rows["q_id"].iloc[0]] * len(found), "members": sorted(found)})
+        return [{"q_id": rows[0]["q_id"], "members": members} for members in sorted(found)]
 
-    return overlaps.groupBy("q_id").applyInPandas(run, "q_id long, members array<long>")
+    schema = StructType([StructField("q_id", LongType()), StructField("members", ArrayType(LongType()))])
+    return group_by_group(overlaps, "q_id", run, schema)
 
 
 def entity_types(entities: DataFrame, types: DataFrame, denied: list[str], most: int = 10) -> DataFrame:
