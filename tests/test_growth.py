@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from triplewright.operators import ranking
+from triplewright.plans import registry
 from triplewright.sources import staging
 
 
@@ -33,3 +34,8 @@ def test_pairs_are_made_once_for_both_ends(spark):
     assert plan(ranked).count("Range (") == 3  # the candidates, and the two sides of one join
     got = {(r["q_id"], r["c_id"]): (r["wins"], r["rank"]) for r in ranked.collect()}
     assert got == {(0, 0): (0, 3), (0, 2): (2, 1), (0, 4): (1, 2), (1, 1): (0, 3), (1, 3): (1, 2), (1, 5): (2, 1)}
+
+
+def test_pruning_reads_features_that_are_computed_once(spark):
+    found = registry.QUERIES["prune_candidates"](spark, "/root/testdata/sf0.001")
+    assert all("labelled-features" in f for f in found.inputFiles())

@@ -325,9 +325,10 @@ def _labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @group.query("prune_candidates")
 def prune_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _labelled_features(spark, sf_dir)
+    # the features are computed once, for all passes of the fit and for what is pruned
+    rows = written(_labelled_features(spark, sf_dir).select("q_id", "c_id", "result_size", "label", *_SIMPLE), "labelled-features")
     model = models.fit_pruner(rows.where("q_id % 2 = 0").select("label", *_SIMPLE), _SIMPLE)
-    return models.prune(rows.select("q_id", "c_id", "result_size", "label", *_SIMPLE), model).select("q_id", "c_id")
+    return models.prune(rows, model).select("q_id", "c_id")
 
 
 @group.query("rank_pairwise_forest")
