@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from triplewright.functions.names import derivation_key, relation_suffix, relation_words
 from triplewright.functions.vectors import synonym_score
+from triplewright.sources.staging import dealt
 
 
 def relation_word_table(relations: DataFrame, n: int = 3) -> DataFrame:
@@ -41,9 +42,15 @@ def match_by_vector(pairs: DataFrame, cutoff: float = 0.4) -> DataFrame:
     return pairs.withColumn("score", synonym_score(F.col("a"), F.col("b"), cutoff)).where("score > 0").drop("a", "b")
 
 
-def match_by_context(relation_words_: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(q_id, relation, lemma, score) of context words (relation, word, score)."""
-    return tokens.join(relation_words_.withColumnRenamed("word", "lemma"), "lemma").groupBy("q_id", "relation", "lemma").agg(F.sum("score").alias("score"))
+def match_by_context(relation_words_: DataFrame, tokens: DataFrame, rows: int | None = None) -> DataFrame:
+    """(q_id, relation, lemma, score) of context words (relation, word, score).
+
+    Both sides are made distinct before they meet, so a row of the join is a row of the result and nothing is grouped after it.
+    With the number of token ``rows``, tokens are dealt to as many tasks as these need.
+    """
+    asked = dealt(tokens.select("q_id", "lemma"), rows, "lemma").groupBy("q_id", "lemma").agg(F.count("*").alias("times"))
+    words = relation_words_.groupBy("relation", F.col("word").alias("lemma")).agg(F.sum("score").alias("score"))
+    return asked.join(words, "lemma").select("q_id", "relation", "lemma", (F.col("score") * F.col("times")).alias("score"))
 
 
 def normalised_word_scores(words: DataFrame, most: int = 1000) -> DataFrame:

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triplewright.sources.staging import by_size, dealt, written
+
+TASK_TEXTS = 5_000  # texts whose words a task counts
+TASK_WORDS = 500_000  # words before counting that a task of the counts gets
+
 
 def entity_pair_relations(postings: DataFrame, pairs: DataFrame, reverses: DataFrame) -> DataFrame:
     """(q_id, reverse, rel_a, rel_b): relations of the mediators that both ends of a pair (q_id, start, target) hold.
@@ -32,12 +37,22 @@ def entity_pair_relations(postings: DataFrame, pairs: DataFrame, reverses: DataF
     return found.join(back, "rel_a", "left").select("q_id", F.coalesce("reverse", "rel_a").alias("reverse"), "rel_a", "rel_b")
 
 
-def pair_word_shares(rows: DataFrame) -> DataFrame:
-    """(rel_a, rel_b, word, score) of rows (rel_a, rel_b, word): each word's share of the words of its pair of relations."""
-    counts = rows.groupBy("rel_a", "rel_b", "word").agg(F.count("*").alias("n"))
+def pair_word_shares(texts: DataFrame) -> DataFrame:
+    """(rel_a, rel_b, word, score) of texts (id, rel_a, rel_b, text): each word's share of the words of its pair of relations.
+
+    Texts are dealt to tasks of ``TASK_TEXTS``, which count the words of each part of their texts, and these counts are dealt by
+    word, so that neither a task's words nor a word that stands in every text make a task grow with the input.
+    """
+    keys = ["rel_a", "rel_b"]
     # about one row for each pair of relations, joined and not taken from a window, which would hold all words of a pair
-    totals = counts.groupBy("rel_a", "rel_b").agg(F.sum("n").alias("total"))
-    return counts.join(totals, ["rel_a", "rel_b"]).select("rel_a", "rel_b", "word", (F.col("n") / F.col("total")).alias("score"))
+    totals = written(texts.groupBy(*keys).agg(F.count("*").alias("texts"), F.sum(F.when(F.col("text").isNotNull(), F.size(F.split("text", " ")))).alias("total")), "pair-totals")
+    n_texts, n_words = totals.agg(F.coalesce(F.sum("texts"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    tasks = max(8, -(-n_texts // TASK_TEXTS))
+    part = F.pmod(F.xxhash64("id"), F.lit(8 * tasks)).alias("part")
+    words = texts.select(part, *keys, "text").repartition(tasks, "part").select("part", *keys, F.explode(F.split("text", " ")).alias("word"))
+    counts = dealt(words.groupBy("part", *keys, "word").agg(F.count("*").alias("n")).drop("part"), n_words, "word", each=TASK_WORDS)
+    counts = counts.groupBy(*keys, "word").agg(F.sum("n").alias("n"))
+    return counts.join(by_size(totals.select(*keys, "total")), keys).select(*keys, "word", (F.col("n") / F.col("total")).alias("score"))
 
 
 def mediated_match(asked: DataFrame, index: DataFrame, tokens: DataFrame, matched_only: bool = False) -> DataFrame:

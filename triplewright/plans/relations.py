@@ -20,7 +20,7 @@ _TURNS = """tok as (select conv_id * 1000 + turn as q_id, unnest(string_split(te
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = kb.table(spark, sf_dir, "documents").where("source is not null and lang is not null")
-    return mediated.pair_word_shares(docs.select(F.col("source").alias("rel_a"), F.col("lang").alias("rel_b"), F.explode(F.split("text", " ")).alias("word")))
+    return mediated.pair_word_shares(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("rel_a"), F.col("lang").alias("rel_b"), "text"))
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +67,11 @@ def mediated_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def context_word_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a user against the context words of relations."""
-    tokens = _turns(spark, sf_dir).select("q_id", F.explode(F.split("text", " ")).alias("lemma"))
+    turns = _turns(spark, sf_dir)
+    n = turns.agg(F.coalesce(F.sum(F.size(F.split("text", " "))), F.lit(0))).first()[0]
+    tokens = turns.select("q_id", F.explode(F.split("text", " ")).alias("lemma"))
     words = _index(spark, sf_dir).select(F.concat("rel_a", F.lit("."), "rel_b").alias("relation"), "word", "score")
-    return matching.match_by_context(words, tokens).withColumn("score", F.round("score", 9))
+    return matching.match_by_context(words, tokens, n).withColumn("score", F.round("score", 9))
 
 
 @group.query(

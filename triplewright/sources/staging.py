@@ -40,12 +40,12 @@ def by_size(staged: DataFrame) -> DataFrame:
     return F.broadcast(staged) if staged.count() <= FEW else staged.hint("merge")
 
 
-def dealt(df: DataFrame, rows: int | None, *keys: str | Column) -> DataFrame:
-    """``df`` dealt by keys to as many tasks as ``rows`` rows need, so that the memory of one does not grow with the input; as it is without a number.
+def dealt(df: DataFrame, rows: int | None, *keys: str | Column, each: int = TASK_ROWS) -> DataFrame:
+    """``df`` dealt by keys to as many tasks of ``each`` rows as ``rows`` rows need, so that the memory of one does not grow with the input; as it is without a number.
 
     Spark itself joins small partitions to as many as there are cores, up to 64 MB of compressed rows each.
     """
-    return df if rows is None else df.repartition(max(8, -(-rows // TASK_ROWS)), *keys)
+    return df if rows is None else df.repartition(max(8, -(-rows // each)), *keys)
 
 
 def group_by_group(df: DataFrame, key: str, run: Callable[[list[dict]], list[dict]], schema: StructType) -> DataFrame:
