@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from triplewright.operators import matching, mediated
+from pyspark.sql import functions as F
+
+from triplewright.operators import candidates, matching, mediated
 
 
 def plan(df):
@@ -30,3 +32,19 @@ def test_word_shares_take_tasks_by_texts_and_words(spark, monkeypatch):
     assert ", 12), REPARTITION_BY_NUM" in physical and ", 11), REPARTITION_BY_NUM" in physical  # texts, and 31 words
     got = {(r["rel_a"], r["word"]): r["score"] for r in found.collect()}
     assert got == {("s", "x"): 20 / 30, ("t", ""): 1.0} | {("s", f"w{i}"): 1 / 30 for i in range(1, 20, 2)}
+
+
+def test_second_entities_are_bound_without_the_other_patterns(spark, monkeypatch):
+    rows = [("a", "x.to", "m"), ("a", "x.home", "t"), ("m", "m.date", "1990"), ("m", "m.back", "a"), ("m", "m.part", "b"), ("b", "y.to", "m")]
+    facts = spark.createDataFrame(rows, "s string, p string, o string")
+    linked = spark.range(3).select(F.col("id").alias("q_id"), F.lit("a").alias("entity"))
+    others = spark.createDataFrame([(0, "b"), (1, "b"), (2, "gone")], "q_id long, other string")
+    media = spark.createDataFrame([("x.to",), ("y.to",)], "relation string")
+    back = spark.createDataFrame([("x.to", "m.back"), ("m.back", "x.to"), ("y.to", "m.part"), ("m.part", "y.to")], "relation string, reverse string")
+    whole = candidates.generate(facts, linked, media, back, others).where("pattern = 'ERMRERT'").collect()
+    hop, met = candidates.one_hop, []
+    monkeypatch.setattr(candidates, "one_hop", lambda f, asked, m, mediated: met.append((mediated, asked.count())) or hop(f, asked, m, mediated))
+    found = candidates.generate_bound(facts, linked, media, back, others).collect()
+    assert met == [(True, 1)]
+    assert sorted(found) == sorted(whole)
+    assert {(r["q_id"], r["other"], tuple(r["rels"])) for r in found} == {(q, "b", ("x.to", "m.part", "m.date")) for q in (0, 1)}

@@ -55,14 +55,19 @@ def two_hops(facts: DataFrame, first: DataFrame, reverses: DataFrame, near: Data
     return extend_with_variable(first, free.select("q_id.*", "relation"))
 
 
-def shared_mediator(facts: DataFrame, first: DataFrame, others: DataFrame, reverses: DataFrame) -> DataFrame:
-    """Bind a second entity (q_id, other) at the mediator, then leave it by a relation that is not in use yet."""
-    at = _at_mediator(facts, first).join(others.select("q_id", "other").distinct(), "q_id").where("entity != other")
-    check = facts.select(F.col("s").alias("mediator"), F.col("p").alias("r2"), F.col("o").alias("other"))
-    both = at.join(check, ["mediator", "other"])
-    bound = extend_with_entity(first, both.select("q_id", "entity", "rels", F.col("r2").alias("relation"), "other").distinct())
+def shared_mediator(facts: DataFrame, first: DataFrame, others: DataFrame, reverses: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """Bind a second entity (q_id, other) at the mediator, then leave it by a relation that is not in use yet.
+
+    ``near`` are the facts of the entities, if at hand. Mediators that hold both entities are written, so that the facts meet them once.
+    """
+    asked = others.select("q_id", "other").distinct()
+    at = _at_mediator(facts if near is None else near, first).join(asked, "q_id").where("entity != other")
+    check = facts.select(F.col("s").alias("mediator"), F.col("p").alias("relation"), F.col("o").alias("other"))
+    both = at.join(check, ["mediator", "other"]).select("q_id", "entity", "other", F.concat("rels", F.array("relation")).alias("rels"), "mediator")
+    both = written(both.distinct(), "shared-mediators")
+    bound = both.select("q_id", "entity", "other", "rels").distinct()
     leads = facts.select(F.col("s").alias("mediator"), F.col("p").alias("relation"))
-    found = both.withColumn("rels", F.concat("rels", F.array("r2"))).join(leads, "mediator").select("q_id", "entity", "other", "rels", "relation").distinct()
+    found = by_size(both).join(leads, "mediator").select("q_id", "entity", "other", "rels", "relation").distinct()
     key = F.struct("q_id", "entity", "other", "rels")
     free = without_used(found.select(key.alias("q_id"), "relation"), bound.select(key.alias("q_id"), F.explode("rels").alias("relation")), reverses)
     return free.select("q_id.q_id", "q_id.entity", "q_id.other", F.concat("q_id.rels", F.array("relation")).alias("rels"))
@@ -75,12 +80,30 @@ def generate(facts: DataFrame, linked: DataFrame, mediators: DataFrame, reverses
     """
     none = F.lit(None).cast("string")
     asked = linked.select("q_id", "entity").distinct()
-    keys = written(asked.select(F.col("entity").alias("q_id"), "entity").distinct(), "linked-entities")
-    near = written(facts.select("s", "p", "o").join(by_size(keys.select(F.col("entity").alias("s"))), "s", "left_semi"), "near-facts")
+    keys, near = _near(facts, asked)
     first = by_size(written(one_hop(near, keys, mediators, True), "to-mediators"))
     alone = one_hop(near, keys, mediators, False).withColumn("pattern", F.lit("ERT")).unionByName(two_hops(facts, first, reverses, near).withColumn("pattern", F.lit("ERMRT")))
     out = asked.join(by_size(written(alone.drop("q_id"), "entity-candidates")), "entity").withColumn("other", none).select("q_id", "entity", "other", "pattern", "rels")
     if others is None:
         return out
-    both = shared_mediator(facts, one_hop(facts, asked, mediators, True), others, reverses).withColumn("pattern", F.lit("ERMRERT"))
-    return out.unionByName(both.select("q_id", "entity", "other", "pattern", "rels"))
+    return out.unionByName(_bound(facts, asked, near, first, others, reverses))
+
+
+def generate_bound(facts: DataFrame, linked: DataFrame, mediators: DataFrame, reverses: DataFrame, others: DataFrame) -> DataFrame:
+    """The candidates of ``generate`` that bind a second entity, without the work of the other patterns."""
+    asked = written(linked.select("q_id", "entity").distinct(), "linked")
+    keys, near = _near(facts, asked)
+    return _bound(facts, asked, near, by_size(written(one_hop(near, keys, mediators, True), "to-mediators")), others, reverses)
+
+
+def _near(facts: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The linked entities, each as its own q_id, and the facts that lead away from them."""
+    keys = written(asked.select(F.col("entity").alias("q_id"), "entity").distinct(), "linked-entities")
+    return keys, written(facts.select("s", "p", "o").join(by_size(keys.select(F.col("entity").alias("s"))), "s", "left_semi"), "near-facts")
+
+
+def _bound(facts: DataFrame, asked: DataFrame, near: DataFrame, first: DataFrame, others: DataFrame, reverses: DataFrame) -> DataFrame:
+    """Candidates with a second entity; ``first`` are the ways to a mediator, found once for each entity."""
+    ways = asked.join(first.drop("q_id"), "entity").select("q_id", "entity", "rels")
+    both = shared_mediator(facts, ways, others, reverses, near).withColumn("pattern", F.lit("ERMRERT"))
+    return both.select("q_id", "entity", "other", "pattern", "rels")

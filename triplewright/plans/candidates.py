@@ -68,10 +68,11 @@ def two_entity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with one of their parts: all ways on from an order that both share."""
     orders, line = kb.table(spark, sf_dir, "orders"), kb.table(spark, sf_dir, "lineitem")
     pairs = orders.join(line, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("q_id")).agg(F.min("l_partkey").alias("part"))
-    linked, others = pairs.select("q_id", kb.node("customer", "q_id").alias("entity")), pairs.select("q_id", kb.node("part", "part").alias("other"))
     media = F.broadcast(spark.createDataFrame([(r,) for r in _TO_MEDIATOR], "relation string"))
-    found = candidates.generate(kb.triples(spark, sf_dir, reverse=True), linked, media, F.broadcast(kb.reverses(spark)), others)
-    return found.where("pattern = 'ERMRERT'").select("q_id", "entity", "other", F.array_join("rels", " ").alias("rels"))
+    pairs = written(pairs, "pairs")
+    linked, others = pairs.select("q_id", kb.node("customer", "q_id").alias("entity")), pairs.select("q_id", kb.node("part", "part").alias("other"))
+    found = candidates.generate_bound(kb.triples(spark, sf_dir, reverse=True), linked, media, F.broadcast(kb.reverses(spark)), others)
+    return found.select("q_id", "entity", "other", F.array_join("rels", " ").alias("rels"))
 
 
 @group.query(
