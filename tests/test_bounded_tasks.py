@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from triplewright.operators import candidates, matching, mediated
+from triplewright.operators import candidates, linking, matching, mediated
 
 
 def plan(df):
@@ -48,3 +48,13 @@ def test_second_entities_are_bound_without_the_other_patterns(spark, monkeypatch
     assert met == [(True, 1)]
     assert sorted(found) == sorted(whole)
     assert {(r["q_id"], r["other"], tuple(r["rels"])) for r in found} == {(q, "b", ("x.to", "m.part", "m.date")) for q in (0, 1)}
+
+
+def test_words_that_no_question_has_are_not_counted(spark, monkeypatch):
+    words = spark.createDataFrame([(d, w, 1) for d in range(4) for w in ("a", "b", "b", f"x{d}", f"y{d}")], "doc_id long, word string, n long")
+    wanted = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, "gone"), (3, "x2")], "q_id long, word string")
+    keep, kept = linking.written, {}
+    monkeypatch.setattr(linking, "written", lambda df, name: kept.setdefault(name, keep(df, name)))
+    got = {tuple(r) for r in linking.text_entities(words, wanted, 3).collect()}
+    assert got == {(1, 0, 3, 1), (1, 1, 3, 2), (1, 2, 3, 3), (3, 2, 1, 1)}
+    assert {(r["doc_id"], r["word"], r["n"]) for r in kept["words-of-texts"].collect()} == {(d, w, n) for d in range(4) for w, n in (("a", 1), ("b", 2))} | {(2, "x2", 1)}

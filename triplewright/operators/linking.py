@@ -8,7 +8,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from triplewright.functions.names import is_main_name, normalise_name, year_of
-from triplewright.sources.staging import group_by_group
+from triplewright.sources.staging import by_size, group_by_group, written
 
 # Word classes and lemmas by which spans and tokens are chosen (fixed values).
 IGNORED_LEMMAS = ["be", "of", "the", "and", "or", "a"]
@@ -192,9 +192,12 @@ def entity_types(entities: DataFrame, types: DataFrame, denied: list[str], most:
 def text_entities(words: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(q_id, doc_id, score): texts that hold all words of a question, by how often they hold them.
 
-    ``words`` has (doc_id, word, n); ``wanted`` has (q_id, word).
+    ``words`` has (doc_id, word, n), the n of several rows of a word added up; ``wanted`` has (q_id, word).
     """
-    asked = wanted.distinct()
+    asked = written(wanted.distinct(), "asked-words")
+    # words that no question has are dropped before texts are counted; what is left is counted and written once
+    words = words.join(by_size(written(asked.select("word").distinct(), "wanted-words")), "word", "left_semi")
+    words = written(words.groupBy("doc_id", "word").agg(F.sum("n").alias("n")), "words-of-texts")
     # only the texts with a question's rarest word are looked at; its other words are then looked up in these
     common = asked.join(words.groupBy("word").agg(F.count("*").alias("texts")), "word", "left")
     rare = common.groupBy("q_id").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "word"))["word"].alias("word"), F.count("*").alias("need"))
