@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from triplewright.operators import candidates, linking, matching, mediated
+from triplewright.plans import learning
 
 
 def plan(df):
@@ -58,3 +59,9 @@ def test_words_that_no_question_has_are_not_counted(spark, monkeypatch):
     got = {tuple(r) for r in linking.text_entities(words, wanted, 3).collect()}
     assert got == {(1, 0, 3, 1), (1, 1, 3, 2), (1, 2, 3, 3), (3, 2, 1, 1)}
     assert {(r["doc_id"], r["word"], r["n"]) for r in kept["words-of-texts"].collect()} == {(d, w, n) for d in range(4) for w, n in (("a", 1), ("b", 2))} | {(2, "x2", 1)}
+
+
+def test_only_labelled_texts_are_taken_apart(spark):
+    lines = plan(learning._document_grams(spark, "/root/testdata/sf0.001")[1]).splitlines()
+    join = next(i for i, line in enumerate(lines) if "Join" in line)
+    assert any("array_distinct" in line for line in lines[:join]) and not any("array_distinct" in line for line in lines[join:])
