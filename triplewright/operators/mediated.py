@@ -15,9 +15,10 @@ def entity_pair_relations(postings: DataFrame, pairs: DataFrame, reverses: DataF
     """(q_id, reverse, rel_a, rel_b): relations of the mediators that both ends of a pair (q_id, start, target) hold.
 
     ``reverse`` leads from the start to the mediator; where none is known it is the relation itself. Only the postings
-    of a pair's rarer end are read out, the other end is looked up at these mediators.
+    of a pair's rarer end are read out, the other end is looked up at these mediators. Repeated postings are not made
+    distinct before: only what is found is.
     """
-    held = postings.select("value", "relation", "mediator").distinct()
+    held = postings.select("value", "relation", "mediator")
     sizes = held.groupBy("value").agg(F.count("*").alias("n"))
     sized = pairs.join(sizes.select(F.col("value").alias("start"), F.col("n").alias("ns")), "start")
     sized = sized.join(sizes.select(F.col("value").alias("target"), F.col("n").alias("nt")), "target")
