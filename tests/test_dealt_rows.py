@@ -27,3 +27,12 @@ def test_postings_are_not_made_distinct(spark):
     lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not any("Aggregate" in line and "mediator#" in line for line in lines)
     assert {tuple(r) for r in found.collect()} == {(1, "r2", "r", "s"), (2, "s", "s", "r"), (3, "t", "t", "r")} and found.count() == 3
+
+
+def test_few_derived_words_go_to_the_tokens(spark):
+    words = spark.createDataFrame([("r", "supplier"), ("s", "orders"), ("t", "none")], "relation string, word string")
+    derived = spark.createDataFrame([("supplies.v", "supplier"), ("orders.v", "orders"), ("orders.v", "gone")], "word_pos string, word string")
+    rows = [(1, "supplies", "VBZ"), (1, "supplies", "VBZ"), (2, "orders", "VBZ"), (3, "orders", "NN"), (4, "x", "DT")]
+    found = matching.match_by_derivation(words, spark.createDataFrame(rows, "q_id long, lemma string, tag string"), derived)
+    assert "SortMergeJoin" not in physical(found)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "r", "supplies"), (2, "s", "orders")]

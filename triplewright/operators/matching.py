@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from triplewright.functions.names import derivation_key, relation_suffix, relation_words
 from triplewright.functions.vectors import synonym_score
-from triplewright.sources.staging import dealt
+from triplewright.sources.staging import by_size, dealt, written
 
 
 def relation_word_table(relations: DataFrame, n: int = 3) -> DataFrame:
@@ -32,9 +32,13 @@ def match_by_prefix(words: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def match_by_derivation(words: DataFrame, tokens: DataFrame, derivations: DataFrame) -> DataFrame:
-    """(q_id, relation, lemma): relation words derived from a token; ``derivations`` has (word_pos, word)."""
+    """(q_id, relation, lemma): relation words derived from a token; ``derivations`` has (word_pos, word).
+
+    Derivations and relation words meet first and are written, so their number says whether tokens must be moved and sorted to meet them.
+    """
     keyed = tokens.withColumn("word_pos", derivation_key(F.col("lemma"), F.col("tag"))).where("word_pos is not null")
-    return keyed.join(derivations, "word_pos").join(words, "word").select("q_id", "relation", "lemma").distinct()
+    derived = written(derivations.join(words, "word").select("word_pos", "relation").distinct(), "derived-words")
+    return keyed.join(by_size(derived), "word_pos").select("q_id", "relation", "lemma").distinct()
 
 
 def match_by_vector(pairs: DataFrame, cutoff: float = 0.4) -> DataFrame:
