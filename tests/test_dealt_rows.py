@@ -36,3 +36,13 @@ def test_few_derived_words_go_to_the_tokens(spark):
     found = matching.match_by_derivation(words, spark.createDataFrame(rows, "q_id long, lemma string, tag string"), derived)
     assert "SortMergeJoin" not in physical(found)
     assert sorted(tuple(r) for r in found.collect()) == [(1, "r", "supplies"), (2, "s", "orders")]
+
+
+def test_simple_scores_move_rows_once_to_tasks_by_rows(spark, hundred):
+    mentions = spark.createDataFrame([(1, 1, 0.5, 2), (1, 1, 0.25, 1), (1, 2, 1.0, 1)], "q_id long, c_id long, surface_score double, n_tokens int")
+    rows = [(1, 1, 0, "name", 0.9), (1, 1, 0, "word", 0.5), (1, 1, 1, "weak", 1.0), (2, 3, 0, "weak", 0.5), (2, 4, 0, "derivation", 1.0)]
+    matches = spark.createDataFrame(rows, "q_id long, c_id long, tok int, kind string, score double")
+    found = ranking.simple_score(mentions, matches, 1000)
+    assert physical(found).count("Exchange") == 1 and ", 10), REPARTITION_BY_NUM" in physical(found)
+    got = {(r["q_id"], r["c_id"]): round(r["score"], 9) for r in found.collect()}
+    assert got == {(1, 1): 1.25 + 3 * 0.6, (1, 2): 1.0, (2, 3): 0.15}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
-from triplewright.sources.staging import group_by_group, written
+from triplewright.sources.staging import dealt, group_by_group, written
 
 
 def rank_by(candidates: DataFrame, order: list[Column], most: int | None = None) -> DataFrame:
@@ -39,18 +39,21 @@ def shuffled(key: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
 
 
-def simple_score(mentions: DataFrame, matches: DataFrame) -> DataFrame:
+def simple_score(mentions: DataFrame, matches: DataFrame, rows: int | None = None) -> DataFrame:
     """(q_id, c_id, score): surface score times length of the mentions, and three times the best score of each matched token.
 
-    A token matched by name counts 0.3 at least, a weak match a tenth of its score.
+    A token matched by name counts 0.3 at least, a weak match a tenth of its score. Both tables lie one below the other, so
+    they are moved once; with the number of ``rows`` of both, to as many tasks by question as these need.
     """
     keys = ["q_id", "c_id"]
-    ent = mentions.groupBy(*keys).agg(F.sum(F.col("surface_score") * F.col("n_tokens")).alias("ent"))
     value = F.when(F.col("kind") == "name", F.lit(0.3)).when(F.col("kind") == "word", F.col("score")).when(F.col("kind") == "weak", F.col("score") * 0.1)
-    best = matches.where(F.col("kind").isin("name", "word", "weak")).groupBy(*keys, "tok").agg(F.max(value).alias("best"))
-    rel = best.groupBy(*keys).agg(F.sum("best").alias("rel"))
+    found = matches.where(F.col("kind").isin("name", "word", "weak")).select(*keys, "tok", value.alias("value"))
+    surface = mentions.select(*keys, (F.col("surface_score") * F.col("n_tokens")).alias("ent"))
+    parts = dealt(surface.unionByName(found, allowMissingColumns=True), rows, "q_id")
+    best = parts.groupBy(*keys, "tok").agg(F.sum("ent").alias("ent"), F.max("value").alias("best"))
     zero = F.lit(0.0)
-    return ent.join(rel, keys, "full").select(*keys, (F.coalesce("ent", zero) + F.coalesce("rel", zero) * 3).alias("score"))
+    whole = best.groupBy(*keys).agg(F.sum("ent").alias("ent"), F.sum("best").alias("rel"))
+    return whole.select(*keys, (F.coalesce("ent", zero) + F.coalesce("rel", zero) * 3).alias("score"))
 
 
 def literal_order() -> list[Column]:

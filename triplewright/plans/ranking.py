@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from triplewright.operators import features, matching, models, ranking
 from triplewright.plans.base import Group
 from triplewright.sources import kb
-from triplewright.sources.staging import written
+from triplewright.sources.staging import dealt, written
 
 group = Group()
 
@@ -38,7 +38,9 @@ def _cands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kb.table(spark, sf_dir, "lineitem").join(kb.table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    line = kb.table(spark, sf_dir, "lineitem")
+    n = line.count()
+    return dealt(line, n, "l_orderkey").join(dealt(kb.table(spark, sf_dir, "orders"), n, "o_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
 
 
 def _ems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +121,8 @@ def candidate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
        select q_id, c_id, score, row_number() over (partition by q_id order by score desc, c_id) as rank from s""",
 )
 def rank_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = ranking.simple_score(_ems(spark, sf_dir), _rms(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    n = 2 * kb.table(spark, sf_dir, "lineitem").count()
+    scored = ranking.simple_score(_ems(spark, sf_dir), _rms(spark, sf_dir), n).withColumn("score", F.round("score", 9))
     return ranking.rank_by(scored, [F.desc("score"), F.asc("c_id")]).withColumn("rank", F.col("rank").cast("long"))
 
 
