@@ -46,3 +46,13 @@ def test_simple_scores_move_rows_once_to_tasks_by_rows(spark, hundred):
     assert physical(found).count("Exchange") == 1 and ", 10), REPARTITION_BY_NUM" in physical(found)
     got = {(r["q_id"], r["c_id"]): round(r["score"], 9) for r in found.collect()}
     assert got == {(1, 1): 1.25 + 3 * 0.6, (1, 2): 1.0, (2, 3): 0.15}
+
+
+def test_answer_types_are_matched_in_tasks_by_rows(spark, hundred):
+    classes = spark.createDataFrame([(1, "date", 0.5), (2, "region", 0.25)], "q_id long, class string, prob double")
+    rows = [(q, r, e, None) for q in (1, 2, 3) for r, e in (("a.date", "type.datetime"), ("geo.region", "x.region"))]
+    relations = spark.createDataFrame(rows, "q_id long, relation string, expected string, target_types array<string>")
+    found = matching.answer_type_match(classes, relations, 1000)
+    assert physical(found).count("Exchange") == 2 and physical(found).count(", 10), REPARTITION_BY_NUM") == 2
+    got = {(r["q_id"], r["relation"]): r["match"] for r in found.collect()}
+    assert got == {(q, r): {(1, "a.date"): 0.5, (2, "geo.region"): 0.25}.get((q, r), 0.0) for q in (1, 2, 3) for r in ("a.date", "geo.region")}

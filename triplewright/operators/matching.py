@@ -93,11 +93,12 @@ def frequent_types(types: DataFrame, least: int, most: int) -> DataFrame:
     return good.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 
 
-def answer_type_match(classes: DataFrame, relations: DataFrame) -> DataFrame:
+def answer_type_match(classes: DataFrame, relations: DataFrame, rows: int | None = None) -> DataFrame:
     """(q_id, relation, match): sum of the probabilities of the answer classes that a relation answers with.
 
     ``classes`` has (q_id, class, prob); ``relations`` (q_id, relation, expected, target_types).
-    Target types, where there are any, keep the expected type from being looked at.
+    Target types, where there are any, keep the expected type from being looked at. With the number of ``rows`` of ``relations``,
+    both tables are dealt by question to as many tasks as these need.
     """
     suffix = F.element_at(F.split("class", r"\."), -1)
     by_target = F.exists("target_types", lambda t: t.contains(F.col("class")))
@@ -111,7 +112,8 @@ def answer_type_match(classes: DataFrame, relations: DataFrame) -> DataFrame:
         .otherwise(answers)
     )
     return (
-        relations.join(classes, "q_id", "left")
+        dealt(relations, rows, "q_id")
+        .join(dealt(classes, rows, "q_id"), "q_id", "left")
         .groupBy("q_id", "relation")
         .agg(F.sum(F.when(F.coalesce(matches, F.lit(False)), F.col("prob")).otherwise(0.0)).alias("match"))
     )

@@ -247,8 +247,9 @@ def answer_type_match(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(r).alias("relation"), F.lit(e).alias("expected"), (F.array(*[F.lit(x) for x in t]) if t else F.lit(None).cast("array<string>")).alias("target_types"))
         for r, e, t in rows
     ])
-    relations = kb.questions(spark, sf_dir).select("q_id", F.explode(four).alias("r")).select("q_id", "r.*")
-    found = matching.answer_type_match(_classes(spark, sf_dir), relations)
+    asked = kb.questions(spark, sf_dir)
+    relations = asked.select("q_id", F.explode(four).alias("r")).select("q_id", "r.*")
+    found = matching.answer_type_match(_classes(spark, sf_dir), relations, len(rows) * asked.count())
     return found.withColumn("match", F.round("match", 9))
 
 
