@@ -56,3 +56,15 @@ def test_answer_types_are_matched_in_tasks_by_rows(spark, hundred):
     assert physical(found).count("Exchange") == 2 and physical(found).count(", 10), REPARTITION_BY_NUM") == 2
     got = {(r["q_id"], r["relation"]): r["match"] for r in found.collect()}
     assert got == {(q, r): {(1, "a.date"): 0.5, (2, "geo.region"): 0.25}.get((q, r), 0.0) for q in (1, 2, 3) for r in ("a.date", "geo.region")}
+
+
+def test_suggestions_take_tasks_by_rows(spark, hundred):
+    facts = spark.createDataFrame([("a", "r", "1"), ("a", "r", "2"), ("a", "s", "3"), ("b", "r", "4"), ("b", "t", "5")], "s string, p string, o string")
+    anchors = spark.createDataFrame([(1, "a"), (2, "b")], "q_id long, entity string")
+    used = spark.createDataFrame([(1, "back"), (2, "t")], "q_id long, relation string")
+    back = spark.createDataFrame([("back", "s"), ("s", "back")], "relation string, reverse string")
+    found = patterns.without_used(patterns.relation_suggestions(facts, anchors, rows=1000), used, back, 1000)
+    assert physical(found).count(", 10), REPARTITION_BY_NUM") == 4 and "SortMergeJoin [q_id" in physical(found)
+    assert {tuple(r) for r in found.select("q_id", "relation").collect()} == {(1, "r"), (2, "r")}
+    plain = patterns.without_used(patterns.relation_suggestions(facts, anchors), used, back)
+    assert sorted(plain.collect()) == sorted(found.collect())

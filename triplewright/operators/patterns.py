@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from triplewright.sources.staging import dealt
+
 
 def ert(facts: DataFrame, starts: DataFrame) -> DataFrame:
     """(E, r, ?0): ``starts`` has (q_id, entity, relation); returns distinct (q_id, target), never the start itself."""
@@ -116,9 +118,15 @@ def nway_intersection(postings: DataFrame, wanted: DataFrame) -> DataFrame:
     return alone.unionByName(whole.select("q_id", "mediator"))
 
 
-def relation_suggestions(facts: DataFrame, anchors: DataFrame, most: int = 300) -> DataFrame:
-    """(q_id, relation): relations that lead away from an anchor (q_id, entity), the first ``most`` in order."""
-    found = anchors.join(facts.select(F.col("s").alias("entity"), F.col("p").alias("relation")), "entity").select("q_id", "relation").distinct()
+def relation_suggestions(facts: DataFrame, anchors: DataFrame, most: int = 300, rows: int | None = None) -> DataFrame:
+    """(q_id, relation): relations that lead away from an anchor (q_id, entity), the first ``most`` in order.
+
+    With the number of ``rows`` of the facts, facts and anchors are dealt by entity and what is found by question, to as many tasks as these need.
+    """
+    ways = facts.select(F.col("s").alias("entity"), F.col("p").alias("relation"))
+    # dealt by entity, ways are made distinct where they lie
+    ways = ways if rows is None else dealt(ways, rows, "entity").distinct()
+    found = dealt(dealt(anchors, rows, "entity").join(ways, "entity").select("q_id", "relation"), rows, "q_id").distinct()
     good = found.where(~F.col("relation").startswith("http") & (F.col("relation") != "type.object.name") & ~F.col("relation").contains(".."))
     w = Window.partitionBy("q_id").orderBy("relation")
     return good.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
@@ -131,10 +139,15 @@ def in_domains(relations: DataFrame, domains: list[str], reverses: DataFrame) ->
     return r.where(own | F.coalesce(F.element_at(F.split("reverse", r"\."), 1).isin(domains), F.lit(False))).drop("reverse")
 
 
-def without_used(suggested: DataFrame, used: DataFrame, reverses: DataFrame) -> DataFrame:
-    """Suggestions (q_id, relation) that are not on the mediator already, nor the reverse of one that is."""
+def without_used(suggested: DataFrame, used: DataFrame, reverses: DataFrame, rows: int | None = None) -> DataFrame:
+    """Suggestions (q_id, relation) that are not on the mediator already, nor the reverse of one that is.
+
+    With a number of ``rows``, both sides are dealt to as many tasks as these need.
+    """
+    keys = ["q_id", "relation"]
     back = used.join(reverses, "relation").select("q_id", F.col("reverse").alias("relation"))
-    return suggested.join(used.select("q_id", "relation").unionByName(back).distinct(), ["q_id", "relation"], "left_anti")
+    taken = dealt(used.select(*keys).unionByName(back), rows, *keys).distinct()
+    return dealt(suggested, rows, *keys).join(taken, keys, "left_anti")
 
 
 def mediator_split(relations: DataFrame, mediators: DataFrame, mediated: bool) -> DataFrame:

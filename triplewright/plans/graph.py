@@ -148,10 +148,11 @@ def unused_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations of an order that lead on, without the one that it was reached by (through its reverse)."""
     orders = kb.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("q_id"))
     facts = kb.triples(spark, sf_dir)
-    found = patterns.relation_suggestions(facts, orders.select("q_id", kb.node("orders", "q_id").alias("entity")))
+    n = facts.count()
+    found = patterns.relation_suggestions(facts, orders.select("q_id", kb.node("orders", "q_id").alias("entity")), rows=n)
     media = spark.createDataFrame([(m,) for m in kb.MEDIATOR_RELATIONS], "relation string")
     used = orders.select("q_id", F.lit("trade.customer.orders").alias("relation"))
-    return patterns.without_used(patterns.mediator_split(found, F.broadcast(media), True), used, F.broadcast(kb.reverses(spark))).select("q_id", "relation")
+    return patterns.without_used(patterns.mediator_split(found, F.broadcast(media), True), used, F.broadcast(kb.reverses(spark)), n).select("q_id", "relation")
 
 
 @group.query(
