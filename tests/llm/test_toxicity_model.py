@@ -139,3 +139,39 @@ def test_words_of_all_texts_are_counted(spark):
     words = toxicity.train(docs.withColumn("text", F.concat("text", F.lit(" "), "doc_id")), labels).words
     kept = sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in (24_997, 24_998, 24_999))
     assert ("seldom" in words) == (kept >= toxicity.WORD_SUPPORT) and kept == 3
+
+
+def test_weights_are_those_of_all_features_counted_over_all_texts(spark, monkeypatch):
+    rows = [(f"vile vilest word{i % 7} the", 1) for i in range(30)] + [(f"the mild{i} word{i % 5} vigour w o r d", 0) for i in range(60)]
+    known = spark.createDataFrame(rows, "text string, toxic int")
+    table = toxicity.language_model(toxicity.trigram_counts(known)).tolist()
+    words, base = toxicity.word_shares(known), 30 / 90
+    p, n = Counter(), Counter()
+    for text, toxic in rows:
+        found = {f for t in toxicity.restore(text, table, {}, words) for w in toxicity._WORDS.findall(t) for f in toxicity.word_features(w)}
+        (p if toxic else n).update(found)
+    want = {}
+    for f in p:
+        share = (p[f] + base) / (p[f] + n[f] + 1)
+        if share > base and 2 * p[f] * math.log(share / base) >= toxicity.LEAST_SUPPORT:
+            want[f] = math.log(((p[f] + base) / 30) / ((n[f] + 1 - base) / 60))
+    assert "vile$" in want and "the" not in want
+    count, told = toxicity.feature_counts, []
+    monkeypatch.setattr(toxicity, "feature_counts", lambda texts, table, words, kept=None: told.append(kept) or count(texts, table, words, kept))
+    for most in (toxicity.MOST_KEPT, 1):  # with the features that may gain enough, and with all
+        monkeypatch.setattr(toxicity, "MOST_KEPT", most)
+        assert toxicity.feature_weights(known, table, words, 30, 60) == pytest.approx(want)
+    assert want.keys() <= told[1] and not any(f.startswith("mild") for f in told[1]) and told[3] is None
+
+
+def test_texts_are_described_once_for_the_fit_and_the_score(spark, monkeypatch):
+    rows = [(i, "vile words here" if i % 4 == 0 else f"mild words {i % 9}") for i in range(80)] + [(3, None), (7, "mild words 7"), (7, "mild words 7")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")).distinct()
+    want = sorted(toxicity.score_documents(docs, toxicity.train(docs, labels)).collect())
+    describe, told = toxicity.described, []
+    monkeypatch.setattr(toxicity, "described", lambda texts, *rest: told.append(texts.count()) or describe(texts, *rest))
+    got = sorted(toxicity.trained_scores(docs, labels).collect())
+    assert told == [83]
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in want]
+    assert [r["score"] for r in got] == pytest.approx([r["score"] for r in want], abs=1e-12)

@@ -45,6 +45,7 @@ THRESHOLD = 0.5
 WORD_SUPPORT = 3  # times that a word must stand in the labelled texts to be a counted word
 LEAST_SHARE = 3e-7  # share of all words that a counted word must have, which bounds the dictionary of a task
 MEMO = 200_000  # tokens that a task remembers
+MOST_KEPT = 200_000  # features of toxic texts that a task tells apart while it counts those of clean texts
 CELLS = 1 << 19  # places of runs that are split together, which bounds the arrays
 LONG_RUN = 64  # runs of more letters are split one at a time, with the same result
 PREFIXES = range(3, 11)
@@ -470,16 +471,30 @@ def restore(
     text: str, model: list, memo: dict[str, str], words: dict[str, float] | None = None, telling: ahocorasick.Automaton | None = None
 ) -> list[str]:
     """Restored tokens of a text."""
+    tokens, apart = _taken_apart(text, model, words)
+    for t in set(tokens).difference(memo):
+        memo[t] = restore_token(t, model, words, telling)
+    return [memo[t] for t in tokens] + apart
+
+
+def restored_set(text: str, model: list, memo: dict[str, str], words: dict[str, float] | None = None, telling: ahocorasick.Automaton | None = None) -> set[str]:
+    """The different tokens among those of ``restore``."""
+    tokens, apart = _taken_apart(text, model, words)
+    different = set(tokens)
+    for t in different.difference(memo):
+        memo[t] = restore_token(t, model, words, telling)
+    return {memo[t] for t in different}.union(apart)
+
+
+def _taken_apart(text: str, model: list, words: dict[str, float] | None) -> tuple[list[str], list[str]]:
+    """The tokens of a text without its spaced words, and the words restored from these."""
     apart = []
 
     def join(m: re.Match) -> str:
         apart.extend(restore_run("".join(c for c in m[0].lower() if c.isalnum()), model, words or {}).split(" "))
         return " "
 
-    tokens = _SPACED.sub(join, text).split()
-    for t in set(tokens).difference(memo):
-        memo[t] = restore_token(t, model, words, telling)
-    return [memo[t] for t in tokens] + apart
+    return _SPACED.sub(join, text).split(), apart
 
 
 def restored_texts(docs: DataFrame, model: np.ndarray) -> DataFrame:
@@ -513,6 +528,7 @@ class Scorer:
     prior: float
     memo: dict[str, str] = field(default_factory=dict)
     known: dict[str, float] = field(default_factory=dict)
+    strong: dict[str, float] = field(default_factory=dict)  # the known tokens whose weight is not 0
     words: dict[str, float] = field(default_factory=dict)
     telling: ahocorasick.Automaton | None = None
     grid: np.ndarray | None = None
@@ -523,7 +539,7 @@ class Scorer:
         self.starts = frozenset(f[:k] for f in bare for k in range(min(3, len(f)), len(f) + 1))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}, "known": {}, "telling": None, "grid": None}
+        return self.__dict__ | {"memo": {}, "known": {}, "strong": {}, "telling": None, "grid": None}
 
     def _ahead(self, texts: list[str]) -> None:
         """Restore the tokens of a block of texts; those that hold nothing with a weight are not split, which changes no score."""
@@ -557,18 +573,16 @@ class Scorer:
         return max(best, weights.get(word + "$", 0.0))
 
     def features(self, text: str) -> list[float]:
-        tokens = set(self.restored(text))
-        known = self.known
+        tokens = restored_set(text, self.model, self.memo, self.words, self.telling)
+        known, strong = self.known, self.strong
         if len(known) > MEMO:
             known.clear()
-        top = []
-        for t in tokens:
-            v = known.get(t)
-            if v is None:
-                v = known[t] = self.word(t)
+            strong.clear()
+        for t in tokens.difference(known):
+            v = known[t] = self.word(t)
             if v:
-                top.append(v)
-        top.sort(reverse=True)
+                strong[t] = v
+        top = sorted((strong[t] for t in strong.keys() & tokens), reverse=True)
         return [1.0, top[0] if top else 0.0, sum(top[:5]), math.log1p(len(tokens))]
 
     def rows(self, texts: list[str]) -> np.ndarray:
@@ -609,7 +623,10 @@ def _logistic(rows: DataFrame, names: list[str], label: str, ridge: float = 1.0,
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic): all distinct texts with a label, of documents that are not held out; copies count once, as toxic if one of them is."""
+    """(text, toxic, doc_id, copy): all distinct texts with a label, of documents that are not held out; copies count once, as toxic if one of them is.
+
+    ``doc_id`` is the first document of a text, ``copy`` the digest of the text.
+    """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -618,7 +635,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts = texts.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0))
     # one document of each text is chosen by digests, so that texts are moved once
     chosen = texts.select("doc_id", "copy").join(marks, "doc_id").groupBy("copy").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
-    return texts.join(chosen, ["doc_id", "copy"]).groupBy("doc_id", "copy").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
+    return texts.join(chosen, ["doc_id", "copy"]).groupBy("doc_id", "copy").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic", "doc_id", "copy")
 
 
 def word_shares(texts: DataFrame) -> CountedWords:
@@ -635,66 +652,128 @@ def word_shares(texts: DataFrame) -> CountedWords:
     return CountedWords({r["word"]: math.log(r["n"] / total) for r in rows})
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Scorer:
-    table = language_model(trigram_counts(docs)).tolist()
-    known = materialise(labelled(docs, labels), "toxicity-labelled")
-    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
-    if not pos or not neg:
-        return Scorer(table, {}, None, float(pos > 0))
-    base = pos / (pos + neg)
+def feature_counts(texts: DataFrame, table: list, words: CountedWords, kept: frozenset[str] | None = None) -> DataFrame:
+    """(feature, n): in how many texts a feature stands.
 
-    words_known = word_shares(known)
+    With ``kept``, only these are counted: with a feature it must hold all of its beginnings that are features, so that a
+    word is left at its first beginning that is not kept.
+    """
     grid = np.array(table, float)
 
+    def of_word(word: str) -> list[str]:
+        if kept is None:
+            return word_features(word)
+        out = []
+        for k in PREFIXES:
+            if k > len(word):
+                break
+            if word[:k] not in kept:
+                return out
+            out.append(word[:k])
+        return [*out, word + "$"] if word + "$" in kept else out
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, str] = {}
         held: dict[str, list[str]] = {}
-        counts = (Counter(), Counter())
+        seen: set[str] = set()
+        counts: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            names = list(counts[0].keys() | counts[1].keys())
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in counts)], names=["feature", "n", "p"]
-            )
-            for c in counts:
-                c.clear()
+            batch = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["feature", "n"])
+            counts.clear()
             return batch
 
         for b in slices(batches):
-            marks = iter(b.column(1).to_pylist())
-            for texts in blocks(b.column(0).to_pylist()):
-                restore_ahead(texts, table, grid, memo, words_known)
-                for text, toxic in zip(texts, marks):  # noqa: B905
-                    tokens = set(restore(text, table, memo, words_known))
-                    if len(held) > MEMO // 4:
+            for block in blocks(b.column(0).to_pylist()):
+                restore_ahead(block, table, grid, memo, words)
+                for text in block:
+                    tokens = restored_set(text, table, memo, words)
+                    if len(held) > MEMO // 4 or len(seen) > MEMO:
                         held.clear()
-                    for t in tokens.difference(held):
-                        held[t] = [f for w in _WORDS.findall(t) for f in word_features(w)]
-                    counts[toxic].update(set().union(*(held[t] for t in tokens)))
-                    if len(counts[0]) + len(counts[1]) > 150_000:
+                        seen.clear()
+                    new = tokens - seen
+                    seen |= new
+                    for t in new:
+                        found = [f for w in _WORDS.findall(t) for f in of_word(w)]
+                        if found:
+                            held[t] = found
+                    counts.update(set().union(*(held[t] for t in held.keys() & tokens)))
+                    if len(counts) > 150_000:
                         yield flush()
         yield flush()
 
-    totals = known.mapInArrow(count, "feature string, n long, p long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    return texts.select("text").mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+
+
+def feature_weights(known: DataFrame, table: list, words: CountedWords, pos: int, neg: int) -> dict[str, float]:
+    """The features tied to the toxic label, with their weights.
+
+    All features of the toxic texts are counted first. More clean texts with a feature make its gain smaller, so a feature that
+    would gain too little if no clean text had it need not be counted in these; if very many are left, all are counted there.
+    """
+    base = pos / (pos + neg)
+    gain = lambda share: 2 * F.col("p") * F.log(share / base)
+    marked = feature_counts(known.where("toxic = 1"), table, words).withColumnRenamed("n", "p")
+    marked = materialise(marked.where(gain((F.col("p") + base) / (F.col("p") + 1)) >= LEAST_SUPPORT), "toxicity-marked")
+    some = marked.select("feature").limit(MOST_KEPT + 1).collect()
+    kept = frozenset(r["feature"] for r in some) if len(some) <= MOST_KEPT else None
+    clean = feature_counts(known.where("toxic = 0"), table, words, kept)
+    totals = marked.join(clean, "feature", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     share = (F.col("p") + base) / (F.col("p") + F.col("n") + 1)
-    gain = 2 * F.col("p") * F.log(share / base)
     weight = F.log(((F.col("p") + base) / pos) / ((F.col("n") + 1 - base) / neg))
-    # of all features, the ones tied to the label
-    found = totals.where((gain >= LEAST_SUPPORT) & (share > base)).select("feature", weight.alias("weight")).collect()
-    scorer = Scorer(table, {r["feature"]: r["weight"] for r in found}, np.zeros(4), base, words=words_known)
+    found = totals.where((gain(share) >= LEAST_SUPPORT) & (share > base)).select("feature", weight.alias("weight")).collect()
+    return {r["feature"]: r["weight"] for r in found}
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[Scorer, DataFrame]:
+    """All of a scorer but its fit, and the labelled texts; without both labels there is nothing to fit, and no ``beta``."""
+    table = language_model(trigram_counts(docs)).tolist()
+    known = materialise(labelled(docs, labels), "toxicity-labelled")
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
+    if not pos or not neg:
+        return Scorer(table, {}, None, float(pos > 0)), known
+    words = word_shares(known)
+    return Scorer(table, feature_weights(known, table, words, pos, neg), np.zeros(4), pos / (pos + neg), words=words), known
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+_NUMBERS = ["a", "b", "c", "d"]
+
+
+def described(docs: DataFrame, scorer: Scorer, *keys: str) -> DataFrame:
+    """The ``keys`` and the four numbers of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            x = scorer.rows(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(4)), b.column(1)], names=["a", "b", "c", "d", "toxic"])
+            x = scorer.rows([t or "" for t in b.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(4)), *b.columns[1:]], names=[*_NUMBERS, *keys])
+
+    rows = docs.select("text", *keys)
+    return rows.mapInArrow(run, ", ".join([*(f"{n} double" for n in _NUMBERS), *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])]))
 
-    # one row of four numbers for each labelled text
-    rows = materialise(known.mapInArrow(describe, "a double, b double, c double, d double, toxic int"), "toxicity-features")
-    scorer.beta = _logistic(rows, ["a", "b", "c", "d"], "toxic")
+
+def train(docs: DataFrame, labels: DataFrame) -> Scorer:
+    scorer, known = learn(docs, labels)
+    if scorer.beta is not None:
+        # one row of four numbers for each labelled text
+        scorer.beta = _logistic(materialise(described(known, scorer, "toxic"), "toxicity-features"), _NUMBERS, "toxic")
     return scorer
 
 
+def trained_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, score) for every row, as ``score_documents`` gives with ``train``: each text is restored once, for the fit and for its score."""
+    scorer, known = learn(docs, labels)
+    if scorer.beta is None:
+        return score_documents(docs, scorer)
+    text = F.col("text").cast("string")
+    texts = docs.select(text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("copy"))
+    rows = materialise(described(texts, scorer, "doc_id", "copy"), "toxicity-features")
+    fit = rows.join(known.select("doc_id", "copy", "toxic"), ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"])
+    beta = _logistic(materialise(fit.select(*_NUMBERS, "toxic"), "toxicity-fit"), _NUMBERS, "toxic")
+    z = sum((F.col(n) * float(b) for n, b in zip(_NUMBERS, beta, strict=True)), F.lit(0.0))
+    return rows.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias("score"))
+
+
 def score_documents(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """(doc_id, score) for every row."""
 
@@ -723,5 +802,5 @@ def keep_clean(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) ->
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    found = score_documents(docs, train(docs, read(spark, sf_dir, "labels")))
+    found = trained_scores(docs, read(spark, sf_dir, "labels"))
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
