@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from triplewright.operators import frontier
+from triplewright.operators import answering, frontier
 from triplewright.sources import staging
 
 
@@ -42,3 +42,27 @@ def test_a_second_entity_is_looked_up_at_the_mediators_of_the_rarer_end(spark, m
     # 42 mediators of the rarer ends are tried, 40 are shared, and no pair meets the 200 of the hub
     assert sizes["looked-up"] == [42] and sizes["shared-mediators"] == [80]
     assert max(n for name, found in sizes.items() for n in found if name != "shapes") < 200
+
+
+def test_results_are_counted_and_looked_up_without_being_written(spark, monkeypatch):
+    # e has ten mediators with two targets each, half of them seen twice; b is bound at two of these
+    rows = [f for m in range(10) for f in (("e", "x.to", f"m{m}"), (f"m{m}", "m.x", "e"), (f"m{m}", "m.t", f"t{m % 5}"), (f"m{m}", "m.t", f"u{m}"), (f"m{m}", "m.t", "e"))]
+    rows += [f for m in range(2) for f in (("b", "y.to", f"m{m}"), (f"m{m}", "m.y", "b"), (f"m{m}", "m.t", "b"))] + [("e", "x.home", "h"), ("e", "x.home", "e")]
+    facts = spark.createDataFrame(rows, "s string, p string, o string")
+    asked = [
+        (1, "c1", "ERT", "e", None, ["x.home"]), (1, "c2", "ERMRT", "e", None, ["x.to", "m.t"]), (2, "c2", "ERMRT", "e", None, ["x.to", "m.t"]),
+        (2, "c3", "ERMRERT", "e", "b", ["x.to", "m.y", "m.t"]), (2, "c4", "ERMRT", "e", None, ["x.to", "m.none"]),
+    ]
+    candidates = spark.createDataFrame(asked, "q_id long, c_id string, pattern string, entity string, other string, rels array<string>")
+    want = {("c1", "h")} | {("c2", t) for m in range(10) for t in (f"t{m % 5}", f"u{m}")} | {("c2", "b"), ("c3", "t0"), ("c3", "t1"), ("c3", "u0"), ("c3", "u1")}
+    assert {tuple(r) for r in answering.results(facts, candidates).collect()} == want
+    shared = spark.createDataFrame([("e", "b", "x.to", "m.y", m) for m in ("m0", "m1")], "entity string, other string, r1 string, r2 string, mediator string")
+    assert {tuple(r) for r in answering.results(facts, candidates, shared).collect()} == want
+    keep, tables = answering.written, []
+    monkeypatch.setattr(answering, "written", lambda df, name: tables.append(keep(df, name)) or tables[-1])
+    gold = spark.createDataFrame([(1, "u3"), (1, "gone"), (2, "u3"), (2, "t0"), (2, "t0"), (9, "h")], "q_id long, target string")
+    found = answering.result_sizes(facts, candidates, shared, gold)
+    assert {tuple(r) for r in found.collect()} == {("c1", None, 1), ("c2", "u3", 1), ("c2", "t0", 1), ("c2", None, 14), ("c3", "t0", 1), ("c3", None, 3)}
+    assert max(t.count() for t in tables) < 10 < len(want)
+    scores = {(r["q_id"], r["c_id"]): (round(r["precision"], 6), r["recall"]) for r in answering.candidate_scores(candidates, found, gold).collect()}
+    assert scores == {(1, "c1"): (0, 0), (1, "c2"): (round(1 / 16, 6), 0.5), (2, "c2"): (round(2 / 16, 6), 1), (2, "c3"): (0.25, 0.5), (2, "c4"): (0, 0)}
