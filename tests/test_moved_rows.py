@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from triplewright.operators import answering, frontier
+from triplewright.operators import answering, frontier, patterns
 from triplewright.sources import staging
 
 
@@ -66,3 +66,15 @@ def test_results_are_counted_and_looked_up_without_being_written(spark, monkeypa
     assert max(t.count() for t in tables) < 10 < len(want)
     scores = {(r["q_id"], r["c_id"]): (round(r["precision"], 6), r["recall"]) for r in answering.candidate_scores(candidates, found, gold).collect()}
     assert scores == {(1, "c1"): (0, 0), (1, "c2"): (round(1 / 16, 6), 0.5), (2, "c2"): (round(2 / 16, 6), 1), (2, "c3"): (0.25, 0.5), (2, "c4"): (0, 0)}
+
+
+def test_only_postings_of_rarest_values_meet_their_marks(spark, monkeypatch):
+    # a is held by 300 mediators, each other value by two; postings are repeated
+    rows = [(v, f"m{i}") for i in range(300) for v in ("a", f"v{i // 2}")] * 2
+    postings = spark.createDataFrame(rows, "value string, mediator string")
+    asked = spark.createDataFrame([(i, v) for i in range(150) for v in ("a", f"v{i}", "a")] + [(900, "v1"), (901, "a"), (901, "gone")], "q_id long, value string")
+    mark, met = patterns.marked, []
+    monkeypatch.setattr(patterns, "marked", lambda held, *rest: met.append(held.where("value = 'a'").count()) or mark(held, *rest))
+    got = sorted(tuple(r) for r in patterns.nway_intersection(postings, asked).collect())
+    assert got == sorted([(i, f"m{2 * i + k}") for i in range(150) for k in (0, 1)] + [(900, "m2"), (900, "m3")])
+    assert met == [0]

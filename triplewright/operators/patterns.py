@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from triplewright.sources.staging import dealt
+from triplewright.sources.staging import dealt, thinned, written
 
 
 def ert(facts: DataFrame, starts: DataFrame) -> DataFrame:
@@ -81,14 +81,14 @@ def marks(value: Column) -> list[Column]:
     return [F.call_function("shiftleft", one, F.pmod(F.xxhash64(value, F.lit(seed)), F.lit(64)).cast("int")) for seed in (1, 2)]
 
 
-def marked(held: DataFrame) -> DataFrame:
-    """Postings with ``marks``, the bits of all values of their mediator.
+def marked(held: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """Postings with ``marks``, the bits of all values of their mediator (in ``postings``, if these are only some of them).
 
     A value whose bits are missing is not held there, so most mediators are told apart beside a posting, without
     a look-up; the marks are of one size, however many values a mediator has. What they let through is to be looked up.
     """
     bits = marks(F.col("value"))
-    of_all = held.groupBy("mediator").agg(*[F.bit_or(b).alias(f"b{i}") for i, b in enumerate(bits)])
+    of_all = (held if postings is None else postings).groupBy("mediator").agg(*[F.bit_or(b).alias(f"b{i}") for i, b in enumerate(bits)])
     return held.join(of_all.select("mediator", F.struct("b0", "b1").alias("marks")), "mediator")
 
 
@@ -102,19 +102,26 @@ def nway_intersection(postings: DataFrame, wanted: DataFrame) -> DataFrame:
     """(q_id, mediator) where a mediator holds all values that ``wanted`` (q_id, value) names for a question.
 
     Only the postings of each question's rarest value are read out, and of these only the mediators whose marks have the
-    other values; these are looked up there.
+    other values; these are looked up there. Repeated postings are not made distinct before: only what is found is. Postings
+    are thinned to the rarest values before they meet their marks, and to what is looked up before they are looked up.
     """
-    held = postings.select("value", "mediator").distinct()
+    held = postings.select("value", "mediator")
     sizes = held.groupBy("value").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.coalesce("n", F.lit(0)), "value"))
-    ranked = wanted.select("q_id", "value").distinct().join(sizes, "value", "left").withColumn("place", place)
-    other = F.when(F.col("place") > 1, F.col("value"))
-    bits = [F.coalesce(F.bit_or(F.when(F.col("place") > 1, b)), F.lit(0).cast("long")).alias(f"w{i}") for i, b in enumerate(marks(F.col("value")))]
-    asked = ranked.groupBy("q_id").agg(F.max(F.when(F.col("place") == 1, F.col("value"))).alias("value"), F.collect_list(other).alias("values"), *bits)
-    open_ = asked.join(marked(held), "value").where(may_hold([F.col("w0"), F.col("w1")])).select("q_id", "mediator", "values", F.size("values").alias("need"))
-    alone = open_.where("need = 0").select("q_id", "mediator")
-    checks = open_.where("need > 0").select("q_id", "mediator", "need", F.explode("values").alias("value")).join(held, ["value", "mediator"], "left_semi")
-    whole = checks.groupBy("q_id", "mediator").agg(F.count("*").alias("held"), F.first("need").alias("need")).where("held = need")
+    named = wanted.select("q_id", "value").join(sizes, "value", "left").groupBy("q_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "value"))["value"].alias("value"), F.collect_set("value").alias("all"))
+    asked = named.select("q_id", "value", F.array_except("all", F.array("value")).alias("values"))
+
+    def bits(i: int) -> Column:
+        return F.aggregate("values", F.lit(0).cast("long"), lambda s, v: s.bitwiseOR(marks(v)[i])).alias(f"w{i}")
+
+    asked = written(asked.select("*", bits(0), bits(1)), "asked-values")
+    rare = marked(thinned(held, asked, "value"), held)
+    open_ = asked.join(rare, "value").where(may_hold([F.col("w0"), F.col("w1")])).select("q_id", "mediator", "values", F.size("values").alias("need"))
+    # repeated postings lie in one task, so what is written is about what is found
+    open_ = written(open_, "open-mediators")
+    alone = open_.where("need = 0").select("q_id", "mediator").distinct()
+    checks = open_.where("need > 0").select("q_id", "mediator", "need", F.explode("values").alias("value"))
+    checks = checks.join(thinned(held, checks, "value", "mediator"), ["value", "mediator"], "left_semi")
+    whole = checks.groupBy("q_id", "mediator", "need").agg(F.count_distinct("value").alias("held")).where("held = need")
     return alone.unionByName(whole.select("q_id", "mediator"))
 
 
