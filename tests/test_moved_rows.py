@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from triplewright.operators import answering, frontier, patterns
+from triplewright.operators import answering, features, frontier, patterns
 from triplewright.sources import staging
 
 
@@ -78,3 +78,12 @@ def test_only_postings_of_rarest_values_meet_their_marks(spark, monkeypatch):
     got = sorted(tuple(r) for r in patterns.nway_intersection(postings, asked).collect())
     assert got == sorted([(i, f"m{2 * i + k}") for i in range(150) for k in (0, 1)] + [(900, "m2"), (900, "m3")])
     assert met == [0]
+
+
+def test_neighbours_are_joined_side_by_side(spark):
+    texts = [[], ["a"], ["a", "b"], ["a", "", "c", "a"], [f"w{i}" for i in range(40)]]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t array<string>")
+    for n in (1, 2, 3):
+        found = rows.select("id", features.ngrams(F.col("t"), n).alias("g"))
+        assert "concat_ws" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert {r["id"]: r["g"] for r in found.collect()} == {i: ["_".join(t[k : k + n]) for k in range(len(t) - n + 1)] for i, t in enumerate(texts)}
